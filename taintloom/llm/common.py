@@ -63,7 +63,9 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
     _written.append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
+    # the shuffle files behind it go once nothing refers to them: let the driver see that nothing does
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(df: DataFrame) -> None:

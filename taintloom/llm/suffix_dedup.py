@@ -6,13 +6,13 @@ equal triggers at equal places. Triggers cut a text into phrases; the windows th
 one phrase region. Two levels of names stand for suffix order:
 
 - parse level: the name of the suffix that follows a trigger, over the bytes every window of it holds;
-- dictionary level: the name of a whole phrase region, and, where regions of one parse name differ,
-  of each of its windows.
+- dictionary level: the name of a whole phrase region; where regions of one parse name differ, of runs of
+  its windows; and where those differ too, of each window.
 
 A suffix array is needed here only for "which suffixes agree on 200 bytes", that is for its equal
 classes, so suffixes get names (hashes, as in naming by prefix doubling) and are grouped, not sorted:
-grouping combines before a shuffle and splits hot names, a total order does neither. A (parse name,
-window name) pair has 128 bits.
+grouping combines before a shuffle and splits hot names, a total order does neither. What counts as
+equal agrees on two names, of 128 bits together.
 """
 
 from __future__ import annotations
@@ -25,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taintloom.llm.common import byte_slices, prepare, utf8
+from taintloom.llm.common import byte_slices, forget, prepare, utf8, written
 
 WINDOW = 200  # bytes that must agree
 GRAM = 16  # bytes a trigger's hash covers
 SPAN = 160  # positions of a window among which its trigger lies
 TAIL = WINDOW - SPAN + 1  # bytes from a trigger on that all its windows hold
+STEP = 16  # windows of a region compared as one before each of them
 CHUNK = 1 << 18  # window starts handled at once
 
 _rng = np.random.default_rng(20240607)
@@ -91,7 +92,7 @@ def _least(values: np.ndarray) -> np.ndarray:
 
 
 def anchors(joined: np.ndarray, offsets: np.ndarray):
-    """For chunks of documents: (document, first start, last start, parse name, region name, hashes, base).
+    """For chunks of documents: (document, first start, last start, parse name, region name, trigger).
 
     Starts are places in joined; a very long document comes in several chunks, which may split a region.
     """
@@ -139,58 +140,91 @@ def _chunk(data: np.ndarray, lo: int, offsets: np.ndarray, ids: tuple[int, int])
     document = np.searchsorted(bounds, starts, side="right") - 1 + ids[0]
     parse = second.of(trigger[starts], TAIL)
     region = first.of(starts, ends - starts + WINDOW) ^ (trigger[starts] - starts).astype(np.uint64)
-    yield document, starts + lo, ends + lo, parse.view(np.int64), region.view(np.int64), first, lo
+    yield document, starts + lo, ends + lo, parse.view(np.int64), region.view(np.int64), trigger[starts] + lo
 
 
 def _phrases(batches):
     for batch in batches:
         joined, offsets = byte_slices(batch.column(1))
         texts = batch.column(0).to_numpy(zero_copy_only=False)
-        for document, _, _, parse, region, _, _ in anchors(joined, offsets):
+        for document, _, _, parse, region, _ in anchors(joined, offsets):
             yield pa.RecordBatch.from_arrays([pa.array(texts[document]), pa.array(parse), pa.array(region)], ["tid", "parse", "region"])
 
 
-def _flag_maps(flags):
-    return {(p, r): k for p, r, k in zip(flags["parse"], flags["region"], flags["kind"])}
-
-
 def _each_region(text: bytes, flags):
-    """(first start, last start, kind, parse name, hashes, base) of the flagged regions of one text."""
+    """(first start, last start, trigger, kind) of the flagged regions of one text."""
     kinds: dict[tuple[int, int], int] = {}
     for f in flags:
         kinds[(f["parse"], f["region"])] = f["kind"]
     data = np.frombuffer(text, np.uint8)
-    for _, starts, ends, parse, region, hashes, lo in anchors(data, np.array([0, len(data)], np.int64)):
+    for _, starts, ends, parse, region, trigger in anchors(data, np.array([0, len(data)], np.int64)):
         for i, pair in enumerate(zip(parse.tolist(), region.tolist())):
             if (kind := kinds.get(pair)) is not None:
-                yield int(starts[i]), int(ends[i]), kind, pair[0], hashes, lo
+                yield int(starts[i]), int(ends[i]), int(trigger[i]), kind
 
 
-def _windows(batches):
-    """Every window of the regions that stand for a mixed parse name."""
+def _contexts(batches):
+    """The bytes of each region that stands for a mixed parse name: all its windows."""
     for batch in batches:
-        tids, texts, flags = (batch.column(i) for i in range(3))
-        for t, text, flag in zip(tids.to_pylist(), texts.to_pylist(), flags):
-            out = []
-            for lo, hi, kind, parse, hashes, base in _each_region(text, flag.as_py()):
+        out = []
+        for t, text, flag in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for lo, hi, trigger, kind in _each_region(text, flag.as_py()):
                 if kind:
-                    p = np.arange(lo, hi + 1)
-                    out.append((np.full(len(p), parse), hashes.of(p - base, WINDOW).view(np.int64), p, np.full(len(p), kind == 2)))
-            if out:
-                parse, name, p, edge = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), t)), pa.array(parse), pa.array(name), pa.array(p), pa.array(edge)], ["tid", "parse", "name", "pos", "edge"])
+                    out.append((t, lo, trigger - lo, trigger - hi, kind == 2, text[lo : hi + WINDOW]))
+        if out:
+            tid, lo, far, near, edge, context = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array(tid), pa.array(lo), pa.array(far), pa.array(near), pa.array(edge), pa.array(context, pa.binary())], ["tid", "lo", "far", "near", "edge", "context"])
+
+
+def _parts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of so many parts: each part's row and its number within the row."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _buckets(batches):
+    """Each region cut into runs of at most STEP windows by distance from the trigger.
+
+    name: what all windows of such a run hold, wherever they occur; hull: all of this run's windows.
+    """
+    for batch in batches:
+        tid, lo, far, near, edge = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        joined, offsets = byte_slices(batch.column(5))
+        first, second = _Hashes(joined, 0), _Hashes(joined, 1)
+        row, k = _parts(far // STEP - near // STEP + 1)
+        bucket = near[row] // STEP + k
+        trigger = offsets[row] + far[row]
+        core = second.of(trigger - bucket * STEP, WINDOW - STEP + 1) + bucket.astype(np.uint64)
+        a, b = np.minimum(far[row], bucket * STEP + STEP - 1), np.maximum(near[row], bucket * STEP)
+        hull = first.of(trigger - a, a - b + WINDOW) ^ a.astype(np.uint64)
+        start = lo[row] + far[row]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (tid[row], lo[row], start - a, start - b, core.view(np.int64), hull.view(np.int64), edge[row])], ["tid", "region", "lo", "hi", "name", "hull", "edge"])
+
+
+def _windows(batches):
+    """Every window of the open runs of a region."""
+    for batch in batches:
+        tid, lo, edge = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        joined, offsets = byte_slices(batch.column(3))
+        first, second = _Hashes(joined, 0), _Hashes(joined, 1)
+        runs = [[(r, x["lo"], x["hi"]) for x in runs.as_py()] for r, runs in enumerate(batch.column(4))]
+        r, a, b = np.array([x for some in runs for x in some], np.int64).reshape(-1, 3).T
+        part, k = _parts(b - a + 1)
+        row, pos = r[part], a[part] + k
+        at = offsets[row] + pos - lo[row]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (tid[row], pos, first.of(at, WINDOW).view(np.int64), second.of(at, WINDOW).view(np.int64), edge[row])], ["tid", "pos", "name", "other", "edge"])
 
 
 def _cut(text: bytes, flags, found) -> tuple[int, int, bytes]:
     """(bytes removed, maximal removed runs, what is left)."""
     mark = np.zeros(len(text) + 1, np.int32)
-    for lo, hi, kind, *_ in _each_region(text, flags):
+    for lo, hi, _, kind in _each_region(text, flags):
         if kind < 2:
             mark[lo] += 1
             mark[hi + WINDOW] -= 1
     if found is not None and len(found):
-        np.add.at(mark, np.asarray(found), 1)
-        np.add.at(mark, np.asarray(found) + WINDOW, -1)
+        np.add.at(mark, [x["lo"] for x in found], 1)
+        np.add.at(mark, [x["hi"] + WINDOW for x in found], -1)
     gone = np.cumsum(mark[:-1]) > 0
     runs = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])) if len(gone) else 0
     return int(np.count_nonzero(gone)), runs, np.frombuffer(text, np.uint8)[~gone].tobytes()
@@ -201,10 +235,7 @@ def _cutter(with_text: bool):
     def cut(text: pd.Series, flags: pd.Series, found: pd.Series) -> pd.DataFrame:
         rows = []
         for t, f, e in zip(text, flags, found):
-            if f is None:
-                rows.append((0, 0, hashlib.sha256(t).hexdigest(), t if with_text else None))
-                continue
-            n, runs, left = _cut(t, [{"parse": x["parse"], "region": x["region"], "kind": x["kind"]} for x in f], e)
+            n, runs, left = _cut(t, f, e)
             rows.append((n, runs, hashlib.sha256(left).hexdigest(), left if with_text else None))
         return pd.DataFrame(rows, columns=["n_removed", "n_spans", "kept_sha256", "kept"])
 
@@ -222,32 +253,47 @@ def suffix_dedup(docs: DataFrame, text: str = "text", with_text: bool = False) -
     spark = docs.sparkSession
     prepare(spark)
     made = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    keyed = docs.drop(*made, "__b", "__tid", "__tid2").withColumn("__b", utf8(text))
-    keyed = keyed.withColumns({"__tid": F.xxhash64("__b"), "__tid2": F.xxhash64(F.lit(1), "__b")})
+    keyed = docs.drop(*made, "__b", "__tid").withColumn("__b", utf8(text)).withColumn("__tid", F.xxhash64("__b"))
     source = keyed.select("__tid", "__b").filter(F.octet_length("__b") >= WINDOW)
-    phrases = source.mapInArrow(_phrases, "tid long, parse long, region long")
+    phrases = written(source.mapInArrow(_phrases, "tid long, parse long, region long"))
     # parse names that occur twice; mixed: before different phrase regions
     names = phrases.groupBy("parse").agg(F.count("*").alias("n"), F.min("region").alias("r0"), F.max("region").alias("r1"))
     names = names.filter("n > 1").select("parse", (F.col("r0") != F.col("r1")).alias("mixed"))
-    shared = phrases.join(names, "parse")
+    shared = written(phrases.join(names, "parse"))
+    forget(phrases)
     regions = shared.filter("mixed").groupBy("parse", "region").agg(F.count("*").alias("n"), F.min("tid").alias("stands"))
     mixed = shared.filter("mixed").join(regions, ["parse", "region"])
     # 0: all of it goes; 1: so too, and its windows are compared; 2: only its windows that are found elsewhere go
     kind = F.when(F.col("n") == 1, 2).when(F.col("tid") == F.col("stands"), 1).otherwise(0)
     flagged = shared.filter("not mixed").select("tid", "parse", "region", F.lit(0).alias("kind"))
     flagged = flagged.unionByName(mixed.select("tid", "parse", "region", kind.alias("kind")))
-    flags = flagged.groupBy("tid").agg(F.collect_set(F.struct("parse", "region", "kind")).alias("flags"))
-    texts = keyed.select("__tid", "__tid2", "__b").groupBy("__tid").agg(F.max_by("__b", "__tid2").alias("__b"), F.max("__tid2").alias("__tid2"))
-    texts = texts if with_text else texts.filter(F.octet_length("__b") >= WINDOW)
-    joined = texts.join(flags.withColumnRenamed("tid", "__tid"), "__tid", "left" if with_text else "inner")
-    windows = joined.filter(F.exists("flags", lambda f: f["kind"] > 0)).select("__tid", "__b", "flags")
-    windows = windows.mapInArrow(_windows, "tid long, parse long, name long, pos long, edge boolean")
+    flags = flagged.groupBy(F.col("tid").alias("__tid")).agg(F.collect_set(F.struct("parse", "region", "kind")).alias("flags"))
+    texts = source.groupBy("__tid").agg(F.first("__b").alias("__b"))
+    touched = written(texts.join(flags, "__tid"))
+    forget(shared)
+    standing = touched.filter(F.exists("flags", lambda f: f["kind"] > 0))
+    contexts = written(standing.mapInArrow(_contexts, "tid long, lo long, far long, near long, edge boolean, context binary"))
+    runs = contexts.mapInArrow(_buckets, "tid long, region long, lo long, hi long, name long, hull long, edge boolean")
+    names = runs.groupBy("name").agg(F.count("*").alias("n"), F.min("hull").alias("h0"), F.max("hull").alias("h1"))
+    names = names.filter("n > 1").select("name", (F.col("h0") != F.col("h1")).alias("mixed"))
+    runs = written(runs.join(names, "name").drop("name", "hull"))
+    interval = F.struct("lo", "hi")
+    still = runs.filter("mixed").groupBy("tid", F.col("region").alias("lo")).agg(F.collect_list(interval).alias("runs"))
+    windows = contexts.join(still, ["tid", "lo"]).select("tid", "lo", "edge", "context", "runs")
+    windows = written(windows.mapInArrow(_windows, "tid long, pos long, name long, other long, edge boolean"))
+    forget(contexts)
     place = F.struct("tid", "pos")
-    twice = windows.groupBy("parse", "name").agg(F.min(place).alias("p0"), F.max(place).alias("p1")).filter("p0 != p1").select("parse", "name")
-    found = windows.filter("edge").join(twice, ["parse", "name"]).groupBy(F.col("tid").alias("__tid")).agg(F.collect_set("pos").alias("found"))
-    cut = joined.join(found, "__tid", "left").select("__tid", _cutter(with_text)("__b", "flags", "found").alias("__cut"))
+    twice = windows.groupBy("name", "other").agg(F.min(place).alias("p0"), F.max(place).alias("p1")).filter("p0 != p1").select("name", "other")
+    found = windows.filter("edge").join(twice, ["name", "other"]).select("tid", F.col("pos").alias("lo"), F.col("pos").alias("hi"))
+    found = found.unionByName(runs.filter("edge and not mixed").select("tid", "lo", "hi"))
+    found = found.groupBy(F.col("tid").alias("__tid")).agg(F.collect_list(interval).alias("found"))
+    cut = touched.join(found, "__tid", "left").select("__tid", _cutter(with_text)("__b", "flags", "found").alias("__cut"))
+    cut = written(cut)
+    forget(touched)
+    forget(windows)
+    forget(runs)
     out = keyed.join(cut, "__tid", "left")
     size = F.octet_length("__b").cast("long")
     none = {"n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"), "kept_sha256": F.sha2("__b", 256)}
-    out = out.withColumns({"n_bytes": size} | {k: F.coalesce(F.col(f"__cut.{k}"), v) for k, v in none.items()} | ({"kept": F.col("__cut.kept")} if with_text else {}))
-    return out.drop("__b", "__tid", "__tid2", "__cut")
+    out = out.withColumns({"n_bytes": size} | {k: F.coalesce(F.col(f"__cut.{k}"), v) for k, v in none.items()} | ({"kept": F.coalesce(F.col("__cut.kept"), F.col("__b"))} if with_text else {}))
+    return out.drop("__b", "__tid", "__cut")
