@@ -35,3 +35,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.size(F.filter("__base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(joined("__base"), 256).alias("base_sha256"), joined("__all").alias("spans"))
+
+
+@query
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from taintloom.llm.simhash import simhash
+
+    return simhash(table(spark, sf_dir, "documents"))
