@@ -42,3 +42,20 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from taintloom.llm.simhash import simhash
 
     return simhash(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from taintloom.llm.packing import TOKENIZER, pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+@query
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from taintloom.llm.bpe import TOKENIZER, round_trip
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return round_trip(docs, public_tokenizers.path(TOKENIZER)).drop("text")
