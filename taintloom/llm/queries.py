@@ -59,3 +59,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return round_trip(docs, public_tokenizers.path(TOKENIZER)).drop("text")
+
+
+@query
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from taintloom.llm.media import stored_digest
+
+    return stored_digest(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
