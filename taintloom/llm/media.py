@@ -222,7 +222,7 @@ def parse(data: bytes) -> Parsed:
                     ok = verify(data, at, h)
                     out.good += ok is True
                     out.bad += ok is False
-                at = after
+                at += h.size
                 continue
         in_step = False
         nxt_at = data.find(b"\xff", at + 1, end)
