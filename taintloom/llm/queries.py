@@ -66,3 +66,49 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from taintloom.llm.media import stored_digest
 
     return stored_digest(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+@query
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from taintloom.llm.chat import format_chats, loss_text
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    clash = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    out = format_chats(turns.unionByName(clash)).withColumn("loss", loss_text("turns"))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(told, 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from taintloom.llm.quality import score_quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_quality(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+# formatted_chars: 3 + 6 + 4 characters of marks a turn; conversation -1 has 2 marks escaped in each turn
+ORACLES["op7_chat"] = """
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), marked AS (
+    SELECT *, contains(role || text, '<s>') OR contains(text, '</s>') OR contains(role, '</s>') OR contains(role, '[INST') AS clash,
+           length(role || text) AS n, length(regexp_replace(role || text, '[^<\\[\\\\]', '', 'g')) AS more
+    FROM turns
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(n + 13 + CASE WHEN clash THEN 1 + more ELSE 0 END)::BIGINT AS formatted_chars
+FROM marked GROUP BY conv_id
+"""
