@@ -112,3 +112,27 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        sum(n + 13 + CASE WHEN clash THEN 1 + more ELSE 0 END)::BIGINT AS formatted_chars
 FROM marked GROUP BY conv_id
 """
+
+
+@query
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from taintloom.llm.html_text import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
+# these pages have one article, blocks h1 and p, and four character references
+ORACLES["op3_html"] = r"""
+WITH cut AS (
+    SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS a FROM pages
+), parts AS (
+    SELECT page_id, url, unnest(regexp_split_to_array(a, '</?(?:p|h1)>')) AS part, generate_subscripts(regexp_split_to_array(a, '</?(?:p|h1)>'), 1) AS i FROM cut
+), clean AS (
+    SELECT page_id, url, i, trim(regexp_replace(replace(replace(replace(replace(replace(
+        regexp_replace(regexp_replace(part, '<br>', ' ', 'g'), '</?b>', '', 'g'),
+        '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM parts
+), texts AS (
+    SELECT page_id, url, coalesce(string_agg(t, chr(10) || chr(10) ORDER BY i) FILTER (t <> ''), '') AS text FROM clean GROUP BY page_id, url
+)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM texts
+"""
