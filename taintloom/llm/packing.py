@@ -13,31 +13,34 @@ import heapq
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from taintloom.llm.common import prepare, utf8, written
+from taintloom.llm.common import prepare, written
 
 SIZE = 4096
 END = 2
 TOKENIZER = "word_bpe_49k.json"
-#: Distinct words that a worker remembers.
-REMEMBERED = 400_000
+#: Distinct parts of words that a worker remembers.
+REMEMBERED = 1_000_000
 #: Pieces of one length that are ranked together.
 RANKED = 200_000
 
-# Letters that composing leaves alone and whose lower case needs no context, then marks that the
-# tokenizer splits off; the apostrophe begins contractions and is left out.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
+# Characters that composing leaves alone and whose lower case needs no context, white space that all agree on
+_OTHER = re.compile(r"[^\t\n\v\f\r -~À-ÖØ-öø-ÿ]|<\|")
+# what the tokenizer splits such text into, in lower case
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 
 
 class WordIds:
-    """The ids of words, as little-endian bytes, remembered.
+    """The ids of a text, as little-endian bytes, from those of its parts, which are remembered.
 
-    The tokenizer never joins over white space, so a text's ids are those of its words.
+    The tokenizer never joins over white space, so a text's ids are those of its words; a text of simple
+    characters alone is split into the tokenizer's own parts at once.
     """
 
     def __init__(self, path: str) -> None:
@@ -47,31 +50,17 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def learn(self, words: set[bytes]) -> None:
-        known, parts = self.words, self.parts
+    def encode(self, texts: list[str]) -> list[bytes]:
+        lists = [t.encode().split() if _OTHER.search(t) else _PARTS.findall(t.lower()) for t in texts]
+        lists = [[w.decode() for w in ws] if ws and isinstance(ws[0], bytes) else ws for ws in lists]
+        known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        if len(parts) > REMEMBERED:
-            parts.clear()
-        split: dict[bytes, tuple[str, ...]] = {}
-        for w in words:
-            if w not in known:
-                text = w.decode()
-                m = _PLAIN.match(text)
-                split[w] = (m[1].lower(), m[2]) if m and m[2] else (m[1].lower(),) if m else (text,)
-        new = list({p for ps in split.values() for p in ps if p not in parts})
-        parts.update(zip(new, self._encoded(new)))
-        for w, ps in split.items():
-            known[w] = b"".join([parts[p] for p in ps])
-
-    def encode(self, words: list[bytes]) -> bytes:
-        return b"".join(map(self.words.__getitem__, words))
+        new = list(set().union(*lists).difference(known))
+        known.update(zip(new, [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]))
+        return [b"".join([known[w] for w in ws]) for ws in lists]
 
 
 _made: dict[str, WordIds] = {}
@@ -88,12 +77,10 @@ def _pieces(path: str, size: int, with_ids: bool):
         encoder = word_ids(path)
         for batch in batches:
             doc, start, length, crc, total, kept = [], [], [], [], [], []
-            texts = [t.split() for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
             for lo in range(0, len(texts), 64):
-                some = texts[lo : lo + 64]
-                encoder.learn(set().union(*some))
-                for i, words in enumerate(some, lo):
-                    ids = encoder.encode(words) + END.to_bytes(4, "little")
+                for i, ids in enumerate(encoder.encode(texts[lo : lo + 64]), lo):
+                    ids += END.to_bytes(4, "little")
                     n = len(ids) // 4
                     for at in range(0, n, size):
                         piece = ids[4 * at : 4 * (at + size)]
@@ -175,7 +162,7 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc
     An empty table gives an empty table. Of docs, only the two named columns are read.
     """
     prepare(docs.sparkSession)
-    source = docs.select(F.col(doc_id).alias("doc_id"), utf8(text).alias("b"))
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     kind = source.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
     pieces = written(source.mapInArrow(_pieces(tokenizer, size, with_ids), schema))
