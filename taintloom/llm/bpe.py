@@ -23,7 +23,7 @@ TOKENIZER = "byte_bpe_50k.json"
 # the published pattern of this tokenizer family
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct words, and pairs of tokens, that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 1_200_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -64,7 +64,8 @@ class TrieBpe:
                     self.ends.append(-1)
             self.ends[node] = i
         self.apart: dict[int, bool] = {}
-        self.words: dict[str, tuple[bytes, bytes]] = {}
+        self.ids_of: dict[str, bytes] = {}
+        self.other: dict[str, bytes] = {}
         self.pattern = regex.compile(PATTERN)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
 
@@ -90,7 +91,7 @@ class TrieBpe:
     def walk(self, words: list[bytes]):
         """The ids of each word; words are sorted and distinct."""
         step, ends, apart = self.step, self.ends, self.apart
-        if len(apart) > 8 * REMEMBERED:
+        if len(apart) > REMEMBERED:
             apart.clear()
         last: list[int] = [0]  # last token of each prefix of the word before
         size: list[int] = [0]
@@ -129,36 +130,33 @@ class TrieBpe:
             yield ids[::-1]
 
     def learn(self, words: set[str]) -> None:
-        """Remember each word's ids, as decimals each with a comma, and the bytes that they decode to."""
-        known = self.words
-        if len(known) > REMEMBERED:
-            known.clear()
-            new = list(words)
-        else:
-            new = [w for w in words if w not in known]
-        raw = sorted({w.encode(): w for w in new}.items())
-        for (_, w), ids in zip(raw, self.walk([b for b, _ in raw])):
-            known[w] = (",".join(map(str, ids)).encode() + b",", b"".join([self.token[i] for i in ids]))
-
-    def split(self, text: str) -> list[str]:
-        """Words, and special tokens as they stand."""
-        if self.special is None or not any(s in text for s in self.specials):
-            return self.pattern.findall(text)
-        out = []
-        for part in self.special.split(text):
-            out += [part] if part in self.specials else self.pattern.findall(part)
-        return out
+        """Remember each word's ids, as decimals each with a comma; and what they decode to, where that is not the word."""
+        if len(self.ids_of) > REMEMBERED:
+            self.ids_of, self.other = {}, {}
+        new = sorted([(w.encode(), w) for w in words.difference(self.ids_of)])
+        for (raw, w), ids in zip(new, self.walk([b for b, _ in new])):
+            self.ids_of[w] = (",".join(map(str, ids)) + ",").encode()
+            if (decoded := b"".join([self.token[i] for i in ids])) != raw:
+                self.other[w] = decoded
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """(ids as decimals joined by commas, decoded bytes) of each text."""
-        lists = [self.split(t) for t in texts]
-        self.learn({w for ws in lists for w in ws if w not in self.specials})
-        special = {s: (b"%d," % i, s.encode()) for s, i in self.specials.items()}
-        known = self.words
-        out = []
-        for ws in lists:
-            pairs = [known.get(w) or special[w] for w in ws] if any(s in ws for s in special) else [known[w] for w in ws]
-            out.append((b"".join([p[0] for p in pairs])[:-1], b"".join([p[1] for p in pairs])))
+        """(ids as decimals joined by commas, decoded bytes) of each text.
+
+        Decoding too is done once for each distinct word; a text of words that decode to themselves decodes to itself.
+        """
+        special = [any(s in t for s in self.specials) for t in texts]
+        # a text with special tokens: its parts, every second one such a token
+        lists = [[p if k % 2 else self.pattern.findall(p) for k, p in enumerate(self.special.split(t))] if s else self.pattern.findall(t) for s, t in zip(special, texts)]
+        self.learn(set().union(*[ws for s, ws in zip(special, lists) if not s], *[p for s, ws in zip(special, lists) if s for p in ws[::2]]))
+        ids, out = self.ids_of.__getitem__, []
+        for s, ws, t in zip(special, lists, texts):
+            if s:
+                found = b"".join([b"%d," % self.specials[p] if k % 2 else b"".join(map(ids, p)) for k, p in enumerate(ws)])
+                ws = [w for k, p in enumerate(ws) for w in ([p] if k % 2 else p)]
+            else:
+                found = b"".join(map(ids, ws))
+            decoded = b"".join([self.other.get(w) or w.encode() for w in ws]) if self.other else t.encode()
+            out.append((found[:-1], decoded))
         return out
 
     def ids(self, text: str) -> list[int]:
@@ -196,7 +194,7 @@ def _digests(path: str):
         for t in texts:
             waiting.append(t.decode())
             size += len(t)
-            if size > 1 << 18:
+            if size > 1 << 20:
                 flush()
                 size = 0
         flush()
