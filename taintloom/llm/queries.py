@@ -136,3 +136,10 @@ WITH cut AS (
 )
 SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM texts
 """
+
+
+@query
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from taintloom.llm.embeddings import near_embeddings
+
+    return near_embeddings(table(spark, sf_dir, "embeddings"))
