@@ -231,19 +231,20 @@ def _cut(text: bytes, flags, found) -> tuple[int, int, bytes]:
 
 
 def _cutter(with_text: bool):
-    @F.pandas_udf("n_removed long, n_spans long, kept_sha256 string, kept binary")
+    @F.pandas_udf("n_removed long, n_spans long, kept_sha256 string, kept string")
     def cut(text: pd.Series, flags: pd.Series, found: pd.Series) -> pd.DataFrame:
         rows = []
         for t, f, e in zip(text, flags, found):
             n, runs, left = _cut(t, f, e)
-            rows.append((n, runs, hashlib.sha256(left).hexdigest(), left if with_text else None))
+            rows.append((n, runs, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if with_text else None))
         return pd.DataFrame(rows, columns=["n_removed", "n_spans", "kept_sha256", "kept"])
 
     return cut
 
 
 def suffix_dedup(docs: DataFrame, text: str = "text", with_text: bool = False) -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans, kept_sha256 and, with_text, kept (the bytes that stay).
+    """docs with n_bytes, n_removed, n_spans, kept_sha256 and, with_text, kept: the text that stays, without
+    the bytes of characters cut in two; null for a null text.
 
     A byte goes if a WINDOW-byte string over it also starts anywhere else, in the same text or another;
     strings are judged on the input. A null text is empty; a text of under WINDOW bytes stays whole; every
@@ -259,6 +260,8 @@ def suffix_dedup(docs: DataFrame, text: str = "text", with_text: bool = False) -
     # parse names that occur twice; mixed: before different phrase regions
     names = phrases.groupBy("parse").agg(F.count("*").alias("n"), F.min("region").alias("r0"), F.max("region").alias("r1"))
     names = names.filter("n > 1").select("parse", (F.col("r0") != F.col("r1")).alias("mixed"))
+    # written: a join of two plain tables, so that Spark can split a hot name
+    names = written(names)
     shared = written(phrases.join(names, "parse"))
     forget(phrases)
     regions = shared.filter("mixed").groupBy("parse", "region").agg(F.count("*").alias("n"), F.min("tid").alias("stands"))
@@ -276,6 +279,7 @@ def suffix_dedup(docs: DataFrame, text: str = "text", with_text: bool = False) -
     runs = contexts.mapInArrow(_buckets, "tid long, region long, lo long, hi long, name long, hull long, edge boolean")
     names = runs.groupBy("name").agg(F.count("*").alias("n"), F.min("hull").alias("h0"), F.max("hull").alias("h1"))
     names = names.filter("n > 1").select("name", (F.col("h0") != F.col("h1")).alias("mixed"))
+    names = written(names)
     runs = written(runs.join(names, "name").drop("name", "hull"))
     interval = F.struct("lo", "hi")
     still = runs.filter("mixed").groupBy("tid", F.col("region").alias("lo")).agg(F.collect_list(interval).alias("runs"))
@@ -284,6 +288,7 @@ def suffix_dedup(docs: DataFrame, text: str = "text", with_text: bool = False) -
     forget(contexts)
     place = F.struct("tid", "pos")
     twice = windows.groupBy("name", "other").agg(F.min(place).alias("p0"), F.max(place).alias("p1")).filter("p0 != p1").select("name", "other")
+    twice = written(twice)
     found = windows.filter("edge").join(twice, ["name", "other"]).select("tid", F.col("pos").alias("lo"), F.col("pos").alias("hi"))
     found = found.unionByName(runs.filter("edge and not mixed").select("tid", "lo", "hi"))
     found = found.groupBy(F.col("tid").alias("__tid")).agg(F.collect_list(interval).alias("found"))
@@ -295,5 +300,5 @@ def suffix_dedup(docs: DataFrame, text: str = "text", with_text: bool = False) -
     out = keyed.join(cut, "__tid", "left")
     size = F.octet_length("__b").cast("long")
     none = {"n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"), "kept_sha256": F.sha2("__b", 256)}
-    out = out.withColumns({"n_bytes": size} | {k: F.coalesce(F.col(f"__cut.{k}"), v) for k, v in none.items()} | ({"kept": F.coalesce(F.col("__cut.kept"), F.col("__b"))} if with_text else {}))
+    out = out.withColumns({"n_bytes": size} | {k: F.coalesce(F.col(f"__cut.{k}"), v) for k, v in none.items()} | ({"kept": F.coalesce(F.col("__cut.kept"), F.col(text))} if with_text else {}))
     return out.drop("__b", "__tid", "__cut")
