@@ -8,6 +8,7 @@ Trained by numpy stochastic gradient descent on the driver, on a bounded sample
 from __future__ import annotations
 
 import zlib
+from array import array
 from dataclasses import dataclass
 from itertools import pairwise
 
@@ -46,7 +47,7 @@ def repeats(words: list[bytes]) -> int:
     return max(0, len(words) - 1 - len(set(pairwise(words))))
 
 
-def features(text: bytes, seen: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def features(text: bytes, seen: dict[bytes, array]) -> tuple[np.ndarray, np.ndarray]:
     """A document's places and their weights, which sum to 1."""
     words = text.split()
     counts: dict[bytes, int] = {}
@@ -57,12 +58,12 @@ def features(text: bytes, seen: dict[bytes, list[int]]) -> tuple[np.ndarray, np.
     for w, n in counts.items():
         own = seen.get(w)
         if own is None:
-            own = seen[w] = places(w)
+            own = seen[w] = array("i", places(w))
         at += own
         weight += [n] * len(own)
-    unique, where = np.unique(np.array(at), return_inverse=True)
+    unique, where = np.unique(np.array(at, np.int32), return_inverse=True)
     sums = np.bincount(where, weights=weight)
-    return unique, sums / sums.sum()
+    return unique, (sums / sums.sum()).astype(np.float32)
 
 
 @dataclass(frozen=True)
@@ -81,8 +82,12 @@ def train(texts: list[bytes], labels: list[int], seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
     out = np.zeros((2, DIM))
-    seen: dict[bytes, list[int]] = {}
-    docs = [features(t, seen) for t in texts]
+    seen: dict[bytes, array] = {}
+    docs = []
+    for t in texts:
+        if len(seen) > REMEMBERED // 4:
+            seen.clear()
+        docs.append(features(t, seen))
     seen.clear()
     steps, done = EPOCHS * len(docs), 0
     for _ in range(EPOCHS):
