@@ -27,8 +27,9 @@ END = 2
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct parts of words that a worker remembers.
 REMEMBERED = 1_000_000
-#: Pieces of one length that are ranked together.
+#: Pieces of one length that are ranked together at most, if all had one; there are GROUPS groups at least.
 RANKED = 200_000
+GROUPS = 64
 
 # Characters that composing leaves alone and whose lower case needs no context, white space that all agree on
 _OTHER = re.compile(r"[^\t\n\v\f\r -~À-ÖØ-öø-ÿ]|<\|")
@@ -166,7 +167,7 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc
     kind = source.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
     pieces = written(source.mapInArrow(_pieces(tokenizer, size, with_ids), schema))
-    groups = max(1, pieces.count() // RANKED)
+    groups = max(GROUPS, pieces.count() // RANKED)
     pieces = pieces.withColumn("__group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
     counts = written(pieces.groupBy("length", "__group").count())
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("count")).collect()}  # at most `size` rows
