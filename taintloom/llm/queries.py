@@ -143,3 +143,10 @@ def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from taintloom.llm.embeddings import near_embeddings
 
     return near_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
