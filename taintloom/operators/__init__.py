@@ -1 +1 @@
-""""""
+"""Relational operators: DataFrames and column names in, DataFrames out."""

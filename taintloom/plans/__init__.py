@@ -1 +1 @@
-""""""
+"""Plans: compositions of operators over sources, and the registered queries."""
