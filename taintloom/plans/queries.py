@@ -604,3 +604,60 @@ def _(tiers_now):
 def _(annotations):
     known, used = D.registry(annotations.sparkSession).select("name"), annotations.select("name")
     return known.subtract(used).withColumn("side", F.lit("missing")).unionByName(known.intersect(used).withColumn("side", F.lit("shared")))
+
+
+# sources ----------------------------------------------------------------------------------------------
+
+SAMPLE = {
+    "app/core.py": '''
+from trust import external_boundary, validates_shape, integral_writer, fail_open, fail_closed
+
+@external_boundary
+def fetch(url):
+    try:
+        return client.get(url, None)
+    except Exception:
+        pass
+
+@validates_shape
+def check(data):
+    if "key" in data:
+        return data
+
+def handle(url):
+    raw = fetch(url)
+    name = getattr(raw, "name", "none")
+    if isinstance(raw, dict):
+        return name
+    return raw.title or "untitled"
+
+@fail_open
+@fail_closed
+def confused(x):
+    return x
+''',
+    "app/broken.py": "def f(:\n",
+    "app/audit.py": '''
+class Store:
+    def save(self, row):
+        if row:
+            return None
+        self.audit_log(row)
+        return row
+''',
+}
+
+
+def _scan_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from taintloom.facts.extract import facts
+    from taintloom.plans import scan
+
+    sources = spark.createDataFrame([(p, bytearray(t.encode())) for p, t in SAMPLE.items()], "path string, content binary")
+    found = facts(sources).cache()
+    tiers = spark.createDataFrame([(0, "app", "ASSURED")], "ordinal int, path string, default_taint string")
+    none = spark.createDataFrame([], "function string, transition string, overlay_scope string")
+    fields = spark.createDataFrame([], "field string, approved_default string, scope string")
+    return scan.findings(found, scan.function_taints(found, tiers, level=3), none, fields)
+
+
+QUERIES["scan_sample_sources"] = _scan_sample
