@@ -18,6 +18,7 @@ equal agrees on two names, of 128 bits together.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ WINDOW = 200  # bytes that must agree
 GRAM = 16  # bytes a trigger's hash covers
 SPAN = 160  # positions of a window among which its trigger lies
 TAIL = WINDOW - SPAN + 1  # bytes from a trigger on that all its windows hold
-STEP = 16  # windows of a region compared as one before each of them
+STEPS = (16, 4, 1)  # windows of a region compared as one: runs of so many, in turn
 CHUNK = 1 << 18  # window starts handled at once
 
 _rng = np.random.default_rng(20240607)
@@ -144,11 +145,16 @@ def _chunk(data: np.ndarray, lo: int, offsets: np.ndarray, ids: tuple[int, int])
 
 
 def _phrases(batches):
+    """The phrases of each text, repeats within a text counted."""
     for batch in batches:
         joined, offsets = byte_slices(batch.column(1))
         texts = batch.column(0).to_numpy(zero_copy_only=False)
         for document, _, _, parse, region, _ in anchors(joined, offsets):
-            yield pa.RecordBatch.from_arrays([pa.array(texts[document]), pa.array(parse), pa.array(region)], ["tid", "parse", "region"])
+            order = np.lexsort((region, parse, document))
+            d, p, r = document[order], parse[order], region[order]
+            new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (p[1:] != p[:-1]) | (r[1:] != r[:-1])])
+            count = np.diff(np.r_[new, len(d)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(texts[d[new]]), pa.array(p[new]), pa.array(r[new]), pa.array(count)], ["tid", "parse", "region", "n"])
 
 
 def _each_region(text: bytes, flags):
@@ -182,37 +188,32 @@ def _parts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def _buckets(batches):
-    """Each region cut into runs of at most STEP windows by distance from the trigger.
+def _runs(step: int):
+    """The open windows of each region in runs of at most `step` by distance from the trigger.
 
     name: what all windows of such a run hold, wherever they occur; hull: all of this run's windows.
+    Runs of one window have that window as both, by two independent names.
     """
-    for batch in batches:
-        tid, lo, far, near, edge = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-        joined, offsets = byte_slices(batch.column(5))
-        first, second = _Hashes(joined, 0), _Hashes(joined, 1)
-        row, k = _parts(far // STEP - near // STEP + 1)
-        bucket = near[row] // STEP + k
-        trigger = offsets[row] + far[row]
-        core = second.of(trigger - bucket * STEP, WINDOW - STEP + 1) + bucket.astype(np.uint64)
-        a, b = np.minimum(far[row], bucket * STEP + STEP - 1), np.maximum(near[row], bucket * STEP)
-        hull = first.of(trigger - a, a - b + WINDOW) ^ a.astype(np.uint64)
-        start = lo[row] + far[row]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (tid[row], lo[row], start - a, start - b, core.view(np.int64), hull.view(np.int64), edge[row])], ["tid", "region", "lo", "hi", "name", "hull", "edge"])
-
-
-def _windows(batches):
-    """Every window of the open runs of a region."""
-    for batch in batches:
-        tid, lo, edge = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        joined, offsets = byte_slices(batch.column(3))
-        first, second = _Hashes(joined, 0), _Hashes(joined, 1)
-        runs = [[(r, x["lo"], x["hi"]) for x in runs.as_py()] for r, runs in enumerate(batch.column(4))]
-        r, a, b = np.array([x for some in runs for x in some], np.int64).reshape(-1, 3).T
-        part, k = _parts(b - a + 1)
-        row, pos = r[part], a[part] + k
-        at = offsets[row] + pos - lo[row]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (tid[row], pos, first.of(at, WINDOW).view(np.int64), second.of(at, WINDOW).view(np.int64), edge[row])], ["tid", "pos", "name", "other", "edge"])
+
+    def run(batches):
+        for batch in batches:
+            tid, lo, far, edge = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            joined, offsets = byte_slices(batch.column(4))
+            first, second = _Hashes(joined, 0), _Hashes(joined, 1)
+            lists = batch.column(5)
+            row0 = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            start, end = (lists.flatten().field(k).to_numpy() for k in ("lo", "hi"))
+            high, low = lo[row0] + far[row0] - start, lo[row0] + far[row0] - end
+            part, k = _parts(high // step - low // step + 1)
+            row, bucket = row0[part], low[part] // step + k
+            trigger = offsets[row] + far[row]
+            core = second.of(trigger - bucket * step, WINDOW - step + 1) + bucket.astype(np.uint64)
+            a, b = np.minimum(high[part], bucket * step + step - 1), np.maximum(low[part], bucket * step)
+            hull = first.of(trigger - a, a - b + WINDOW) ^ a.astype(np.uint64)
+            at = lo[row] + far[row]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (tid[row], lo[row], at - a, at - b, core.view(np.int64), hull.view(np.int64), edge[row])], ["tid", "region", "lo", "hi", "name", "hull", "edge"])
+
+    return run
 
 
 def _cut(text: bytes, flags, found) -> tuple[int, int, bytes]:
@@ -256,18 +257,17 @@ def suffix_dedup(docs: DataFrame, text: str = "text", with_text: bool = False) -
     made = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     keyed = docs.drop(*made, "__b", "__tid").withColumn("__b", utf8(text)).withColumn("__tid", F.xxhash64("__b"))
     source = keyed.select("__tid", "__b").filter(F.octet_length("__b") >= WINDOW)
-    phrases = written(source.mapInArrow(_phrases, "tid long, parse long, region long"))
+    phrases = written(source.mapInArrow(_phrases, "tid long, parse long, region long, n int"))
     # parse names that occur twice; mixed: before different phrase regions
-    names = phrases.groupBy("parse").agg(F.count("*").alias("n"), F.min("region").alias("r0"), F.max("region").alias("r1"))
-    names = names.filter("n > 1").select("parse", (F.col("r0") != F.col("r1")).alias("mixed"))
-    # written: a join of two plain tables, so that Spark can split a hot name
-    names = written(names)
+    names = phrases.groupBy("parse").agg(F.sum("n").alias("n"), F.min("region").alias("r0"), F.max("region").alias("r1"))
+    # written, here and below: a join of two plain tables, so that Spark can split a hot name
+    names = written(names.filter("n > 1").select("parse", (F.col("r0") != F.col("r1")).alias("mixed")))
     shared = written(phrases.join(names, "parse"))
     forget(phrases)
-    regions = shared.filter("mixed").groupBy("parse", "region").agg(F.count("*").alias("n"), F.min("tid").alias("stands"))
+    regions = written(shared.filter("mixed").groupBy("parse", "region").agg(F.sum("n").alias("all"), F.min("tid").alias("stands")))
     mixed = shared.filter("mixed").join(regions, ["parse", "region"])
     # 0: all of it goes; 1: so too, and its windows are compared; 2: only its windows that are found elsewhere go
-    kind = F.when(F.col("n") == 1, 2).when(F.col("tid") == F.col("stands"), 1).otherwise(0)
+    kind = F.when(F.col("all") == 1, 2).when(F.col("tid") == F.col("stands"), 1).otherwise(0)
     flagged = shared.filter("not mixed").select("tid", "parse", "region", F.lit(0).alias("kind"))
     flagged = flagged.unionByName(mixed.select("tid", "parse", "region", kind.alias("kind")))
     flags = flagged.groupBy(F.col("tid").alias("__tid")).agg(F.collect_set(F.struct("parse", "region", "kind")).alias("flags"))
@@ -276,27 +276,25 @@ def suffix_dedup(docs: DataFrame, text: str = "text", with_text: bool = False) -
     forget(shared)
     standing = touched.filter(F.exists("flags", lambda f: f["kind"] > 0))
     contexts = written(standing.mapInArrow(_contexts, "tid long, lo long, far long, near long, edge boolean, context binary"))
-    runs = contexts.mapInArrow(_buckets, "tid long, region long, lo long, hi long, name long, hull long, edge boolean")
-    names = runs.groupBy("name").agg(F.count("*").alias("n"), F.min("hull").alias("h0"), F.max("hull").alias("h1"))
-    names = names.filter("n > 1").select("name", (F.col("h0") != F.col("h1")).alias("mixed"))
-    names = written(names)
-    runs = written(runs.join(names, "name").drop("name", "hull"))
     interval = F.struct("lo", "hi")
-    still = runs.filter("mixed").groupBy("tid", F.col("region").alias("lo")).agg(F.collect_list(interval).alias("runs"))
-    windows = contexts.join(still, ["tid", "lo"]).select("tid", "lo", "edge", "context", "runs")
-    windows = written(windows.mapInArrow(_windows, "tid long, pos long, name long, other long, edge boolean"))
-    forget(contexts)
-    place = F.struct("tid", "pos")
-    twice = windows.groupBy("name", "other").agg(F.min(place).alias("p0"), F.max(place).alias("p1")).filter("p0 != p1").select("name", "other")
-    twice = written(twice)
-    found = windows.filter("edge").join(twice, ["name", "other"]).select("tid", F.col("pos").alias("lo"), F.col("pos").alias("hi"))
-    found = found.unionByName(runs.filter("edge and not mixed").select("tid", "lo", "hi"))
-    found = found.groupBy(F.col("tid").alias("__tid")).agg(F.collect_list(interval).alias("found"))
-    cut = touched.join(found, "__tid", "left").select("__tid", _cutter(with_text)("__b", "flags", "found").alias("__cut"))
-    cut = written(cut)
-    forget(touched)
-    forget(windows)
-    forget(runs)
+    whole = F.array(F.struct("lo", (F.col("lo") + F.col("far") - F.col("near")).alias("hi")))
+    opened = contexts.withColumn("runs", whole)
+    found, made = [], []
+    for step in STEPS:
+        if step != STEPS[0]:
+            still = runs.filter("mixed").groupBy("tid", F.col("region").alias("lo")).agg(F.collect_list(interval).alias("runs"))
+            opened = contexts.join(still, ["tid", "lo"])
+        runs = opened.select("tid", "lo", "far", "edge", "context", "runs").mapInArrow(_runs(step), "tid long, region long, lo long, hi long, name long, hull long, edge boolean")
+        by = ["name"] if step > 1 else ["name", "hull"]
+        names = runs.groupBy(*by).agg(F.count("*").alias("n"), F.min("hull").alias("h0"), F.max("hull").alias("h1"))
+        names = written(names.filter("n > 1").select(*by, (F.col("h0") != F.col("h1")).alias("mixed")))
+        runs = written(runs.join(names, by).filter("mixed or edge").select("tid", "region", "lo", "hi", "edge", "mixed"))
+        found.append(runs.filter("edge and not mixed").select(F.col("tid").alias("__tid"), "lo", "hi"))
+        made.append(runs)
+    found = reduce(DataFrame.unionByName, found).groupBy("__tid").agg(F.collect_list(interval).alias("found"))
+    cut = written(touched.join(found, "__tid", "left").select("__tid", _cutter(with_text)("__b", "flags", "found").alias("__cut")))
+    for old in (touched, contexts, *made):
+        forget(old)
     out = keyed.join(cut, "__tid", "left")
     size = F.octet_length("__b").cast("long")
     none = {"n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"), "kept_sha256": F.sha2("__b", 256)}
