@@ -182,7 +182,9 @@ def simhash(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius:
     least = made.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = link_fingerprints(least.select("fp"), radius)
     known = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written: a join of two plain tables, so that Spark can split a large component
+    known = written(known)
+    ids = written(known.groupBy("root").agg(F.min("least").alias("component_id")))
     of_print = written(known.join(ids, "root").select("fp", "component_id"))
     return made.join(of_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
