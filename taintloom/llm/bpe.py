@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from taintloom.llm.common import prepare, utf8
+from taintloom.llm.common import prepare, take_cache, utf8
 
 TOKENIZER = "byte_bpe_50k.json"
 # the published pattern of this tokenizer family
@@ -129,10 +129,13 @@ class TrieBpe:
             before = word
             yield ids[::-1]
 
+    def forget(self) -> None:
+        self.ids_of, self.other = {}, {}
+
     def learn(self, words: set[str]) -> None:
         """Remember each word's ids, as decimals each with a comma; and what they decode to, where that is not the word."""
         if len(self.ids_of) > REMEMBERED:
-            self.ids_of, self.other = {}, {}
+            self.forget()
         new = sorted([(w.encode(), w) for w in words.difference(self.ids_of)])
         for (raw, w), ids in zip(new, self.walk([b for b, _ in new])):
             self.ids_of[w] = (",".join(map(str, ids)) + ",").encode()
@@ -184,6 +187,7 @@ def _digests(path: str):
     @F.pandas_udf(_DIGEST)
     def run(texts: pd.Series) -> pd.DataFrame:
         bpe, rows, waiting, size = trie_bpe(path), [], [], 0
+        take_cache("bpe", bpe.forget)
 
         def flush() -> None:
             for ids, decoded in bpe.encode(waiting):

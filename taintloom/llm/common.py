@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
@@ -34,6 +35,16 @@ def prepare(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def take_cache(name: str, drop: Callable[[], None]) -> None:
+    """In a worker: from now on only this operator remembers words; what others remembered is dropped."""
+    for other in [o for o in _caches if o != name]:
+        _caches.pop(other)()
+    _caches[name] = drop
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share. Where the cluster names none (tests), a temporary one is set."""
     conf = spark.sparkContext.getConf()

@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from taintloom.llm.common import prepare, written
+from taintloom.llm.common import prepare, take_cache, written
 
 SIZE = 4096
 END = 2
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct parts of words that a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 800_000
 #: Pieces of one length that are ranked together at most, if all had one; there are GROUPS groups at least.
 RANKED = 200_000
 GROUPS = 64
@@ -76,6 +76,7 @@ def word_ids(path: str) -> WordIds:
 def _pieces(path: str, size: int, with_ids: bool):
     def run(batches):
         encoder = word_ids(path)
+        take_cache("packing", encoder.known.clear)
         for batch in batches:
             doc, start, length, crc, total, kept = [], [], [], [], [], []
             texts = batch.column(1).to_pylist()

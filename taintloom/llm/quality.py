@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from taintloom.llm.common import prepare, utf8
+from taintloom.llm.common import prepare, take_cache, utf8
 
 #: Labelled documents, and bytes of them, that training takes at most: those first in the order of a hash of their ids.
 SAMPLE = 6000
@@ -141,6 +141,7 @@ def scorer(spark, model: Model):
 
     @F.pandas_udf(DoubleType())
     def run(texts: pd.Series) -> pd.Series:
+        take_cache("quality", _known.clear)
         if _known_of != [key]:
             _known.clear()
             _known_of[:] = [key]
