@@ -21,7 +21,6 @@ import hashlib
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -157,11 +156,9 @@ def _phrases(batches):
             yield pa.RecordBatch.from_arrays([pa.array(texts[d[new]]), pa.array(p[new]), pa.array(r[new]), pa.array(count)], ["tid", "parse", "region", "n"])
 
 
-def _each_region(text: bytes, flags):
-    """(first start, last start, trigger, kind) of the flagged regions of one text."""
-    kinds: dict[tuple[int, int], int] = {}
-    for f in flags:
-        kinds[(f["parse"], f["region"])] = f["kind"]
+def _each_region(text: bytes, flags: list[tuple[int, int, int]]):
+    """(first start, last start, trigger, kind) of the flagged regions of one text; flags: (parse, region, kind)."""
+    kinds = {(p, r): k for p, r, k in flags}
     data = np.frombuffer(text, np.uint8)
     for _, starts, ends, parse, region, trigger in anchors(data, np.array([0, len(data)], np.int64)):
         for i, pair in enumerate(zip(parse.tolist(), region.tolist())):
@@ -169,16 +166,27 @@ def _each_region(text: bytes, flags):
                 yield int(starts[i]), int(ends[i]), int(trigger[i]), kind
 
 
+def _lists(column: pa.Array, *fields: str):
+    """For each row of an array of structs the tuples of those fields; none for null."""
+    offsets = column.offsets.to_numpy()
+    flat = column.values if isinstance(column, pa.ListArray) else column.flatten()
+    columns = [flat.field(f) for f in fields]
+    for k in range(len(column)):
+        a, b = int(offsets[k]), int(offsets[k + 1])
+        yield list(zip(*[c.slice(a, b - a).to_pylist() for c in columns])) if b > a else []
+
+
 def _contexts(batches):
     """The bytes of each region that stands for a mixed parse name: all its windows."""
     for batch in batches:
         out = []
-        for t, text, flag in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            for lo, hi, trigger, kind in _each_region(text, flag.as_py()):
+        for t, text, flags in zip(batch.column(0).to_pylist(), batch.column(1), _lists(batch.column(2), "parse", "region", "kind")):
+            text = text.as_py()
+            for lo, hi, trigger, kind in _each_region(text, flags):
                 if kind:
                     out.append((t, lo, trigger - lo, trigger - hi, kind == 2, text[lo : hi + WINDOW]))
-        if out:
-            tid, lo, far, near, edge, context = zip(*out)
+        for k in range(0, len(out), 5000):
+            tid, lo, far, near, edge, context = zip(*out[k : k + 5000])
             yield pa.RecordBatch.from_arrays([pa.array(tid), pa.array(lo), pa.array(far), pa.array(near), pa.array(edge), pa.array(context, pa.binary())], ["tid", "lo", "far", "near", "edge", "context"])
 
 
@@ -216,31 +224,33 @@ def _runs(step: int):
     return run
 
 
-def _cut(text: bytes, flags, found) -> tuple[int, int, bytes]:
+def _cut(text: bytes, flags: list[tuple[int, int, int]], found: list[tuple[int, int]]) -> tuple[int, int, bytes]:
     """(bytes removed, maximal removed runs, what is left)."""
     mark = np.zeros(len(text) + 1, np.int32)
     for lo, hi, _, kind in _each_region(text, flags):
         if kind < 2:
             mark[lo] += 1
             mark[hi + WINDOW] -= 1
-    if found is not None and len(found):
-        np.add.at(mark, [x["lo"] for x in found], 1)
-        np.add.at(mark, [x["hi"] + WINDOW for x in found], -1)
+    for lo, hi in found:
+        mark[lo] += 1
+        mark[hi + WINDOW] -= 1
     gone = np.cumsum(mark[:-1]) > 0
     runs = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])) if len(gone) else 0
     return int(np.count_nonzero(gone)), runs, np.frombuffer(text, np.uint8)[~gone].tobytes()
 
 
 def _cutter(with_text: bool):
-    @F.pandas_udf("n_removed long, n_spans long, kept_sha256 string, kept string")
-    def cut(text: pd.Series, flags: pd.Series, found: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t, f, e in zip(text, flags, found):
-            n, runs, left = _cut(t, f, e)
-            rows.append((n, runs, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if with_text else None))
-        return pd.DataFrame(rows, columns=["n_removed", "n_spans", "kept_sha256", "kept"])
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for t, text, flags, found in zip(batch.column(0).to_pylist(), batch.column(1), _lists(batch.column(2), "parse", "region", "kind"), _lists(batch.column(3), "lo", "hi")):
+                n, runs, left = _cut(text.as_py(), flags, found)
+                rows.append((t, n, runs, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if with_text else None))
+            if rows:
+                columns = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))], ["__tid", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return cut
+    return run
 
 
 def suffix_dedup(docs: DataFrame, text: str = "text", with_text: bool = False) -> DataFrame:
@@ -292,7 +302,8 @@ def suffix_dedup(docs: DataFrame, text: str = "text", with_text: bool = False) -
         found.append(runs.filter("edge and not mixed").select(F.col("tid").alias("__tid"), "lo", "hi"))
         made.append(runs)
     found = reduce(DataFrame.unionByName, found).groupBy("__tid").agg(F.collect_list(interval).alias("found"))
-    cut = written(touched.join(found, "__tid", "left").select("__tid", _cutter(with_text)("__b", "flags", "found").alias("__cut")))
+    cut = touched.join(found, "__tid", "left").select("__tid", "__b", "flags", "found")
+    cut = written(cut.mapInArrow(_cutter(with_text), "__tid long, n_removed long, n_spans long, kept_sha256 string, kept string").select("__tid", F.struct("n_removed", "n_spans", "kept_sha256", "kept").alias("__cut")))
     for old in (touched, contexts, *made):
         forget(old)
     out = keyed.join(cut, "__tid", "left")
