@@ -20,9 +20,8 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound Arrow batches by rows and bytes, and send this package to executors that lack it."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """Bound Arrow batches, and send this package to executors that lack it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
