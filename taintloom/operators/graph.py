@@ -25,8 +25,10 @@ def propagate_ranks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     An anchored node keeps its rank and gives its callers its return rank; every other node takes the highest
     of its own and its callees' ranks. Ranks only grow and are few, so only nodes that changed send on.
     """
-    state = _cut(nodes.select("name", "anchored", F.when(F.col("anchored"), F.col("return_rank")).otherwise(F.col("rank")).alias("sends"), F.col("rank").alias("refined")))
-    calls = edges.select("src", "dst").distinct()
+    nodes = _cut(nodes)
+    state = nodes.select("name", "anchored", F.when(F.col("anchored"), F.col("return_rank")).otherwise(F.col("rank")).alias("sends"), F.col("rank").alias("refined"))
+    # calls that can change a rank: of a caller that floats
+    calls = _cut(edges.select("src", "dst").distinct().join(nodes.filter("not anchored").select(F.col("name").alias("src")), "src", "left_semi"))
     changed = state
     while not changed.isEmpty():
         offers = calls.join(changed.select(F.col("name").alias("dst"), "sends"), "dst").groupBy(F.col("src").alias("name")).agg(F.max("sends").alias("offer"))
@@ -55,11 +57,12 @@ def low_resolution(counts: DataFrame, limit: float = 0.7) -> DataFrame:
 
 def bounded_expand(seed: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
     """Names reached from the seed by at most `rounds` steps to callers, with the round that found them."""
-    found = seed.select("name").distinct().withColumn("round", F.lit(0))
+    edges = _cut(edges.select("src", "dst").distinct())
+    found = _cut(seed.select("name").distinct().withColumn("round", F.lit(0)))
     edge = found
     for k in range(1, rounds + 1):
         callers = edges.join(edge.select(F.col("name").alias("dst")), "dst", "left_semi").select(F.col("src").alias("name")).distinct()
-        edge = callers.join(found, "name", "left_anti").withColumn("round", F.lit(k))
+        edge = _cut(callers.join(found, "name", "left_anti").withColumn("round", F.lit(k)))
         found = found.unionByName(edge)
     return found
 

@@ -251,7 +251,14 @@ def _acyclic(edges):
     return edges.filter(line("src") < line("dst"))
 
 
-QUERIES["g3_via_callee"] = lambda spark, d: G.via_callee(G.propagate_ranks(relation(spark, d, "nodes"), _acyclic(relation(spark, d, "edges"))), _acyclic(relation(spark, d, "edges"))).select("name", "refined", "via")
+
+
+def _g3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _acyclic(relation(spark, sf_dir, "edges"))
+    return G.via_callee(G.propagate_ranks(relation(spark, sf_dir, "nodes"), edges), edges).select("name", "refined", "via")
+
+
+QUERIES["g3_via_callee"] = _g3
 ORACLES["g3_via_callee"] = G2.replace(
     "b.l_linenumber = a.l_linenumber + 1 OR (a.l_orderkey % 5 = 0 AND b.l_linenumber = a.l_linenumber - 2)", "b.l_linenumber = a.l_linenumber + 1"
 ) + """, refined AS (SELECT n.*, greatest(n.rank, coalesce(b.m, 0))::INT AS refined FROM nodes n LEFT JOIN best b ON b.origin = n.name),

@@ -5,6 +5,8 @@ The tables hold no source code; each relation has the shape that an operator wor
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from taintloom.functions.domains import MATRIX, PAIRS, RANK, TAINTS, TIER
@@ -99,7 +101,8 @@ RELATIONS["tiers_then"] = "SELECT 'm' || CAST(s_suppkey AS STRING) AS path, CAST
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The relation as a DataFrame over the tables of sf_dir."""
-    for t in TABLES:
+    words = set(re.findall(r"\w+", RELATIONS[name]))
+    for t in words.intersection(TABLES):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
     return spark.sql(RELATIONS[name])
 
