@@ -77,3 +77,17 @@ def test_secret_accepted(spark):
     got = find_pii(df).select("doc_id", F.size(F.filter("__all", lambda x: x["kind"] == 4)).alias("n")).collect()
     assert all(r.n == 1 for r in got if r.doc_id < 100)
     assert sum(r.n for r in got if r.doc_id >= 100) < 10
+
+
+def test_query_against_brute_force(spark):
+    from taintloom.llm.queries import QUERIES
+
+    d = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    rows = QUERIES["op2_pii"](spark, d).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = brute(texts[r.doc_id] or "")
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(w.startswith(k + ":") for w in want) for k in KINDS]
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert set(want) <= set(filter(None, r.spans.split(",")))
