@@ -17,6 +17,7 @@ from taintloom.operators import fingerprints as P
 from taintloom.operators import functions_level as T
 from taintloom.operators import graph as G
 from taintloom.operators import paths as W
+from taintloom.operators import regime as M
 from taintloom.plans.standins import MATRIX_SQL, MODULES, NOW, PAIRS_SQL, RANK_SQL, TIER_SQL, relation, values, with_relations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -613,6 +614,58 @@ def _(annotations):
     return known.subtract(used).withColumn("side", F.lit("missing")).unionByName(known.intersect(used).withColumn("side", F.lit("shared")))
 
 
+# regime -----------------------------------------------------------------------------------------------
+
+HARD_CELLS = values([m[:2] for m in D.MATRIX if m[3] == "UNCONDITIONAL"], "hc", "r", "t")
+
+
+@query("v7_regime_verify", "register baseline boundaries", f""", i AS ({V4})
+    SELECT 'coherence_checks' AS "check", count(*) = 0 AS passed, 'ERROR' AS severity FROM i
+    UNION ALL SELECT 'no_disabled_unconditional', false, 'ERROR'
+    UNION ALL SELECT 'exception_register_valid', count(*) = 0, 'ERROR' FROM register r JOIN {HARD_CELLS} ON hc.r = r.rule_id AND hc.t = r.taint_state
+    UNION ALL SELECT 'expedited_ratio', count_if(governance_path = 'expedited') / count(*)::DOUBLE < 0.15::DOUBLE, 'WARNING' FROM register
+    UNION ALL SELECT 'fingerprint_baseline_exists', count(*) > 0, 'WARNING' FROM baseline
+    UNION ALL SELECT 'fingerprint_baseline_fresh', min(date_diff('day', CAST(last_changed AS DATE), DATE '{NOW}')) < 180, 'WARNING' FROM baseline
+    UNION ALL SELECT 'no_expired_exceptions', count_if({EXPIRED}) = 0, 'WARNING' FROM register
+    UNION ALL SELECT 'ratification_current', date_diff('day', DATE '1999-01-01', DATE '{NOW}') <= 90, 'WARNING'
+    UNION ALL SELECT 'ratification_metadata_present', true, 'ERROR' UNION ALL SELECT 'temporal_separation_declared', false, 'ERROR'
+    UNION ALL SELECT 'annotation_change_tracking', count(last_changed) > 0, 'WARNING' FROM baseline""")
+def _(register, baseline, boundaries):
+    ratified = literal(register, [("1999-01-01", "board", 90, None)], "last_ratified string, authority string, interval int, separation string")
+    return M.verify(register, literal(register, DISABLED, "rule_id string"), C.with_policy(C.missing_scope(boundaries)), baseline, ratified, NOW, assurance=True)
+
+
+@query("v8_fingerprint_metrics", "current", f"SELECT count(*)::BIGINT AS total, max(last_changed) AS latest, date_diff('day', CAST(max(last_changed) AS DATE), DATE '{NOW}')::INT AS age_days, count_if(last_changed IS NULL)::BIGINT AS undated FROM current")
+def _(current):
+    return M.fingerprint_metrics(current, NOW)
+
+
+@query("v8_rule_metrics", "findings", "SELECT count(DISTINCT rule_id)::BIGINT AS total, 2::BIGINT AS disabled, 1::BIGINT AS disabled_unconditional FROM findings")
+def _(findings):
+    return M.rule_metrics(findings.select("rule_id").distinct(), literal(findings, DISABLED, "rule_id string"))
+
+
+@query("v16_governance_events", "findings", """, g AS (SELECT CASE WHEN ordinal % 50 = 0 THEN 'GOVERNANCE-STALE-EXCEPTION' WHEN ordinal % 70 = 0 THEN 'TOOL-ERROR' ELSE rule_id END AS rule_id, file_path FROM findings)
+    SELECT rule_id, count(*)::BIGINT AS n, min(file_path) AS first_file, max(file_path) AS last_file FROM g WHERE rule_id LIKE 'GOVERNANCE-%' OR rule_id = 'TOOL-ERROR' GROUP BY rule_id""")
+def _(findings):
+    return M.governance_events(findings.withColumn("rule_id", F.when(F.col("ordinal") % 50 == 0, "GOVERNANCE-STALE-EXCEPTION").when(F.col("ordinal") % 70 == 0, "TOOL-ERROR").otherwise(F.col("rule_id"))))
+
+
+@query("v13_explain", "findings annotations register", f""", t AS (SELECT file_path, qualname, min(taint_state) AS body_taint, max(taint_state) AS return_taint, 'decorator' AS taint_source FROM findings GROUP BY file_path, qualname),
+    f AS (SELECT min(file_path) AS file_path FROM t WHERE qualname = 'click5'), o AS (SELECT t.* FROM t JOIN f USING (file_path) WHERE qualname = 'click5'), {SEVERE}
+    SELECT 'file_path' AS topic, file_path AS detail FROM o UNION ALL SELECT 'body_taint', body_taint FROM o UNION ALL SELECT 'return_taint', return_taint FROM o UNION ALL SELECT 'taint_source', taint_source FROM o
+    UNION ALL SELECT 'decorator', pos || ':' || name FROM annotations JOIN f USING (file_path) WHERE qualname = 'click5'
+    UNION ALL SELECT 'finding', rule_id || ' ' || severity || ' ' || line FROM severe JOIN f USING (file_path) WHERE qualname = 'click5' UNION ALL SELECT 'exception', id FROM register WHERE split_part(location, '::', 2) = 'click5'""")
+def _(findings, annotations, register):
+    taints = findings.groupBy("file_path", "qualname").agg(F.min("taint_state").alias("body_taint"), F.max("taint_state").alias("return_taint"), F.lit("decorator").alias("taint_source"))
+    return M.explain("click5", taints, annotations, R.with_severity(findings), register)
+
+
+@query("p10_regime_gate", "tiers_now", "SELECT * FROM (VALUES ('a', false, 'ERROR')) AS v(\"check\", passed, severity)")
+def _(tiers_now):
+    return M.gate(literal(tiers_now, [("a", False, "ERROR"), ("b", False, "WARNING"), ("c", True, "ERROR")], "check string, passed boolean, severity string"))
+
+
 # sources ----------------------------------------------------------------------------------------------
 
 SAMPLE = {
