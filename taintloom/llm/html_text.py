@@ -11,6 +11,7 @@ without those under tags, roles or class names of page furniture.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -32,7 +33,7 @@ BOUNDARY = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("ta
 FURNITURE_TAGS = frozenset("nav footer aside form script style noscript template head title textarea select button iframe object svg math menu dialog input datalist canvas audio video".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 FURNITURE_NAMES = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar|side-?bar|footer|site-?header|masthead|topbar|cookies?|consent|gdpr|notice|notification|alert|popup|modal|newsletter|subscri\w*|signup|login|share|sharing|social\w*|related|recommend\w*|widget|comments?|comment-?list|respond|reply|replies|disqus|pagination|pager|skip-?link|toolbar|hidden)(?=$|[\s_-])"
+    r"(?i)(?:^|[\s_-])(?<!has-)(?<!with-)(?<!no-)(?:ads?|advert\w*|adsense|adbox|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar|side-?bar|footer|site-?header|masthead|topbar|cookies?|consent|gdpr|notice|notification|alert|popup|modal|newsletter|subscri\w*|signup|login|share|sharing|social\w*|related|recommend\w*|widget|comments?|comment-?list|respond|reply|replies|disqus|pagination|pager|skip-?link|toolbar|hidden)(?=$|[\s_-])"
 )
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？؟]")
 TOKENS = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?>[^>\"']+|\"[^\"]*\"|'[^']*')*+[^>]*)(?:>|\Z)", re.S)
@@ -47,7 +48,6 @@ class Element:
     main: bool
     path: str
     depth: int
-    mass: float = 0.0
 
 
 @dataclass
@@ -69,6 +69,8 @@ def _element(tag: str, rest: str, parent: Element | None) -> Element:
     role = a.get("role", "").lower()
     main = tag in ("article", "main") or role in ("main", "article") or "articlebody" in a.get("itemprop", "").lower()
     bad = parent is not None and parent.furniture
+    if bad and tag == "main" and all(e.tag not in FURNITURE_TAGS for e in _up(parent)):
+        bad = False  # a class name alone does not hide the page's main element
     if not bad:
         named = bool(FURNITURE_NAMES.search(a.get("class", "")) or FURNITURE_NAMES.search(a.get("id", "")))
         # a header is the page's own unless it heads the article
@@ -79,12 +81,15 @@ def _element(tag: str, rest: str, parent: Element | None) -> Element:
     return Element(tag, parent, bad, main and not bad, (parent.path + "/" if parent else "") + tag, depth)
 
 
-def _within_main(e: Element | None) -> bool:
+def _up(e: Element | None) -> Iterator[Element]:
+    """The element and all around it."""
     while e is not None:
-        if e.main:
-            return True
+        yield e
         e = e.parent
-    return False
+
+
+def _within_main(e: Element | None) -> bool:
+    return any(x.main for x in _up(e))
 
 
 def blocks(html: str) -> list[Block]:
@@ -216,10 +221,7 @@ def extract(html: str | None) -> str:
     best = _content_element(passing)
     kept = []
     for b in found:
-        e: Element | None = b.element
-        while e is not None and e is not best:
-            e = e.parent
-        if e is best:
+        if any(e is best for e in _up(b.element)):
             kept.append(b.text)
     return "\n\n".join(kept)
 
@@ -232,11 +234,9 @@ def _content_element(passing: list[Block]) -> Element:
     total = 0.0
     for b in passing:
         total += len(b.text)
-        e: Element | None = b.element
-        while e is not None:
+        for e in _up(b.element):
             mass[id(e)] = mass.get(id(e), 0) + len(b.text)
             by_id[id(e)] = e
-            e = e.parent
     mains = [e for k, e in by_id.items() if e.main and mass[k] >= 0.4 * total]
     if mains:
         return min(mains, key=lambda e: e.depth)

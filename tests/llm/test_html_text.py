@@ -21,6 +21,11 @@ def test_article_without_furniture(wrap):
     assert got.split("\n\n") == ["A & B", LONG.strip(), "Ti.", "one", "two bold", "x<y z w v", "c1", "c2", LONG.strip()]
 
 
+def test_names_that_only_look_like_furniture():
+    for tag in ('<div class="content has-sidebar">{}</div>', '<div class="no-comments post">{}</div>', '<div class="sidebar-layout"><main>{}</main></div>', '<div class="address">{}</div>', '<div class="shadow">{}</div>'):
+        assert extract(page(FURNITURE[0] + tag.format(f"<p>{LONG}</p>"))) == LONG.strip(), tag
+
+
 def test_broken_markup():
     for html in [None, "", "<", "<p", "<p class='", "a < b", "<!-- never closed <p>x", "<script>never", "</p></p></div>", "<a <b", "&", "&#xZZ; &bogus;", "<p>" * 5000 + "deep", "<div>" * 2000 + "x", "<x " + "'" * 3001]:
         extract(html)
