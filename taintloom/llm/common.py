@@ -15,6 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Edges that one task of a round of components() takes.
+ROUND_ROWS = 10_000
+
 _shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
 
@@ -72,7 +75,7 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
     _written.append((spark, path))
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     # the shuffle files behind it go once nothing refers to them: let the driver see that nothing does
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
@@ -145,8 +148,10 @@ def components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
     nothing changes. A node of high degree is a hot key only in its rows, never in a list.
     """
     known = written(edges.select("a", "b").mapInArrow(_spanning, "a long, b long").filter("a != b"))
-    before = None
+    n, before = known.count(), None
     while True:
+        # a round never has many more edges than the one before: few edges need few tasks and files
+        parts = n // ROUND_ROWS + 1
         both = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # large star: larger neighbours move to the least neighbour
@@ -155,10 +160,10 @@ def components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
         small_least = large.filter("b < a").groupBy("a").agg(F.min("b").alias("m"))
         small = large.filter("b < a").join(small_least, "a")
         nxt = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small_least.select("a", F.col("m").alias("b")))
-        nxt = written(nxt.filter("a != b").distinct())
+        nxt = written(nxt.filter("a != b").distinct().coalesce(parts))
         sums = nxt.agg(F.count("*"), F.sum(F.col("a").cast("decimal(20,0)")), F.sum(F.col("b").cast("decimal(20,0)")), F.expr("bit_xor(xxhash64(a, b))")).first()
         forget(known)
-        known = nxt
+        known, n = nxt, sums[0]
         if sums == before:
             break
         before = sums
