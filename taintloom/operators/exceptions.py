@@ -66,6 +66,11 @@ def health(register: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
 
 
+def level_stale(register: DataFrame, level: int) -> DataFrame:
+    """Exceptions granted at a lower level of analysis than the scan's."""
+    return register.filter(F.col("analysis_level") < level).select(F.lit("GOVERNANCE-EXCEPTION-LEVEL-STALE").alias("rule_id"), F.col("id").alias("exception_id"))
+
+
 def metrics(register: DataFrame, now: str) -> DataFrame:
     """One row of counts; an unreadable date counts as active and is left out of the other counts."""
     bad = unreadable(F.col("expires"))

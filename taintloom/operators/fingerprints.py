@@ -73,5 +73,5 @@ def blanket_files(functions: DataFrame, decorated: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.count_if(F.col("taint_source") == "module_default").alias("n_default"), F.min_by("taint", "pos").alias("first_taint"),
     ).join(d, "file_path", "left")
     return per.select(
-        "file_path", ((F.col("n") >= 5) & (F.col("n_default") / F.col("n") > 0.8)).alias("blanket"), (F.col("__d").isNull() & F.col("first_taint").isin("INTEGRAL", "ASSURED")).alias("undecorated"),
+        "file_path", ((F.col("n") >= 5) & (F.col("n_default") / F.col("n") > 0.8)).alias("blanket"), (F.col("__d").isNull() & (F.col("n_default") > 0) & F.col("first_taint").isin("INTEGRAL", "ASSURED")).alias("undecorated"),
     ).filter("blanket or undecorated")

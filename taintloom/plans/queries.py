@@ -463,6 +463,11 @@ def _(register):
     return X.health(register)
 
 
+@query("v15_level_stale", "register", "SELECT 'GOVERNANCE-EXCEPTION-LEVEL-STALE' AS rule_id, id AS exception_id FROM register WHERE analysis_level < 3")
+def _(register):
+    return X.level_stale(register, 3)
+
+
 @query("a7_exception_metrics", "register", f"""SELECT count(*)::BIGINT AS total, count_if(NOT {EXPIRED})::BIGINT AS active, count_if({EXPIRED})::BIGINT AS expired, count_if(NOT {EXPIRED} AND NOT {BAD} AND agent_originated)::BIGINT AS agent,
     count_if(NOT {EXPIRED} AND NOT {BAD} AND governance_path = 'expedited')::BIGINT AS expedited, round(count_if(NOT {EXPIRED} AND NOT {BAD} AND governance_path = 'expedited') / count(*)::DOUBLE, 4) AS expedited_ratio, count(DISTINCT governance_path)::BIGINT AS n_paths FROM register""")
 def _(register):
@@ -546,7 +551,7 @@ def _(annotations):
 
 
 @query("a10_blanket_files", "functions annotations", """, f AS (SELECT *, CASE WHEN pos % 13 <> 0 OR file_path LIKE '%1.py' THEN 'module_default' ELSE 'decorator' END AS s, CASE WHEN tier = 1 THEN 'INTEGRAL' WHEN tier = 2 THEN 'ASSURED' ELSE 'GUARDED' END AS t FROM functions),
-    g AS (SELECT file_path, count(*) >= 5 AND count_if(s = 'module_default') / count(*)::DOUBLE > 0.8::DOUBLE AS blanket, file_path NOT IN (SELECT file_path FROM annotations WHERE name = 'fail_open' AND pos % 7 = 0) AND arg_min(t, pos) IN ('INTEGRAL', 'ASSURED') AS undecorated FROM f GROUP BY file_path)
+    g AS (SELECT file_path, count(*) >= 5 AND count_if(s = 'module_default') / count(*)::DOUBLE > 0.8::DOUBLE AS blanket, file_path NOT IN (SELECT file_path FROM annotations WHERE name = 'fail_open' AND pos % 7 = 0) AND count_if(s = 'module_default') > 0 AND arg_min(t, pos) IN ('INTEGRAL', 'ASSURED') AS undecorated FROM f GROUP BY file_path)
     SELECT * FROM g WHERE blanket OR undecorated""")
 def _(functions, annotations):
     f = functions.withColumns({

@@ -11,6 +11,7 @@ from taintloom.functions import domains as D
 from taintloom.functions.lattice import lookup
 from taintloom.operators import coherence as C
 from taintloom.operators import findings as R
+from taintloom.operators import fingerprints as P
 from taintloom.operators import functions_level as T
 from taintloom.operators import graph as G
 from taintloom.operators import paths as W
@@ -33,7 +34,7 @@ def function_taints(facts: DataFrame, module_tiers: DataFrame, level: int = 1) -
     defaults = defaults.withColumn("default_taint", F.when(lookup(D.RANK, "default_taint").isNotNull(), F.col("default_taint")))
     decorated = T.first_decorator(of_kind(facts, "annotation").select(*key, "name", "pos"), key)
     none = functions.select(*key).limit(0).withColumns({c: F.lit(True) for c in ("structural", "semantic", "integrity", "institutional")})
-    out = T.assign_taints(functions, decorated, none, defaults, key, "file_path")
+    out = T.assign_taints(functions, decorated, _restored(facts, none), defaults, key, "file_path")
     if level < 3:
         return out
     name = F.concat_ws("\0", *key)
@@ -46,6 +47,14 @@ def function_taints(facts: DataFrame, module_tiers: DataFrame, level: int = 1) -
     return joined.withColumns({"taint_source": F.when(changed, "callgraph").otherwise(F.col("taint_source")), "body_taint": F.coalesce(back, "body_taint")}).drop("name", "refined")
 
 
+def _restored(facts: DataFrame, none: DataFrame) -> DataFrame:
+    """Evidence that restoration decorators state: attributes are rendered as key=value, comma-joined."""
+    marks = of_kind(facts, "annotation").filter("name = 'restoration_boundary'")
+    said = lambda k: F.coalesce(F.regexp_extract("value", rf"(?:^|,){k}=([^,]*)", 1), F.lit(""))
+    given = {k: ~said(f"{k}_evidence" if k != "institutional" else "institutional_provenance").isin("", "False", "None") for k in ("structural", "semantic", "integrity", "institutional")}
+    return none.unionByName(marks.select("file_path", "qualname", *[v.alias(k) for k, v in given.items()]).dropDuplicates(["file_path", "qualname"]))
+
+
 def rejection_index(facts: DataFrame, validators: DataFrame, rounds: int = 1) -> DataFrame:
     """Full names of functions that reject, themselves or by calls up to `rounds` steps away."""
     seed = of_kind(facts, "rejects").filter("flag").select(F.col("target").alias("name")).unionByName(validators.select("name"))
@@ -75,13 +84,14 @@ def findings(facts: DataFrame, taints: DataFrame, boundaries: DataFrame, optiona
     semantic = either(rule("PY-WL-009"), ["semantic_validation"]).join(has(["combined_validation", "external_validation"]), key, "left_anti")
     judged = reduce(DataFrame.unionByName, [plain, gated, typed, unrejected, semantic]).drop("flag")
     state = taints.select(*key, F.col("body_taint").alias("taint_state"))
-    out = R.with_severity(judged.join(state, key)).select(*FINDING)
-    more = [_governed(rule("PY-WL-001-SCHEMA-DEFAULT").join(state, key), b, optional_fields), _breaches(facts), _pairs(facts), _gates(facts), _test_only(facts), _fields(facts), _governance(facts)]
+    out = R.with_severity(judged.join(state.distinct(), key)).select(*FINDING)
+    more = [_governed(rule("PY-WL-001-SCHEMA-DEFAULT").join(state, key), b, optional_fields), _breaches(facts), _pairs(facts), _gates(facts), _test_only(facts), _fields(facts), _governance(facts, taints)]
     return reduce(DataFrame.unionByName, [out, *more])
 
 
 def _shown(df: DataFrame, rule_id: str, message, severity, exceptionability: str = "STANDARD") -> DataFrame:
-    place = [c if c in df.columns else F.lit(None).cast("int").alias(c) for c in ("line", "col", "end_line", "end_col")]
+    first = {"line": 1, "col": 0}  # rows about a whole file
+    place = [c if c in df.columns else F.lit(first.get(c)).cast("int").alias(c) for c in ("line", "col", "end_line", "end_col")]
     return df.select(F.lit(rule_id).alias("rule_id"), "file_path", "qualname", *place, message.alias("message"), F.lit(None).cast("string").alias("taint_state"), severity.alias("severity"), F.lit(exceptionability).alias("exceptionability"))
 
 
@@ -140,10 +150,23 @@ def _fields(facts: DataFrame) -> DataFrame:
     return _shown(bad, "SCN-022", F.coalesce(F.array_join(F.array_sort("missing"), ","), F.lit("no such class")), F.lit("ERROR"))
 
 
-def _governance(facts: DataFrame) -> DataFrame:
-    skipped = _shown(of_kind(facts, "skipped"), "GOVERNANCE-FILE-SKIPPED", F.col("name"), F.lit("WARNING"))
-    errors = _shown(of_kind(facts, "tool_error"), "TOOL-ERROR", F.col("value"), F.lit("WARNING"))
-    return skipped.unionByName(errors)
+def _governance(facts: DataFrame, taints: DataFrame) -> DataFrame:
+    """Rows about the scan itself: what was skipped or failed, and where its taints rest on little."""
+    key = ["file_path", "qualname"]
+    warn = F.lit("WARNING")
+    notes = facts.filter(F.col("kind").isin("skipped", "tool_error", "dynamic_import"))
+    kinds = {"skipped": "GOVERNANCE-FILE-SKIPPED", "tool_error": "TOOL-ERROR", "dynamic_import": "DYNAMIC-IMPORT"}
+    about = [_shown(of_kind(notes, k), rule, F.coalesce("value", "name"), warn) for k, rule in kinds.items()]
+    at = of_kind(facts, "function").select(*key, "line", "col", "end_line", "end_col")
+    marks = of_kind(facts, "annotation").select(*key, "name", "pos", "value")
+    conflicts = T.decorator_conflicts(marks, key).join(at, key)
+    about.append(_shown(conflicts, "GOVERNANCE-TAINT-CONFLICT", F.concat_ws(" ", "map", "used_decorator", "ignored_decorator"), warn))
+    files = P.blanket_files(taints.select(*key, "pos", "taint_source", F.col("body_taint").alias("taint")), marks).withColumn("qualname", F.lit(None).cast("string"))
+    about.append(_shown(files.filter("blanket"), "GOVERNANCE-MODULE-TIERS-BLANKET", F.lit("most functions rest on the module's tier"), warn))
+    about.append(_shown(files.filter("undecorated"), "GOVERNANCE-MODULE-TIERS-UNDECORATED", F.lit("trusted module without decorators"), warn))
+    sites = of_kind(facts, "call_sites").select(*key, F.col("n").alias("resolved"), F.col("pos").alias("unresolved"))
+    about.append(_shown(G.low_resolution(sites).join(at, key), "L3-LOW-RESOLUTION", F.concat_ws("/", F.col("unresolved").cast("string"), (F.col("resolved") + F.col("unresolved")).cast("string")), warn))
+    return reduce(DataFrame.unionByName, about)
 
 
 def verify_corpus(specimens: DataFrame) -> DataFrame:
@@ -154,7 +177,7 @@ def verify_corpus(specimens: DataFrame) -> DataFrame:
     sources = specimens.select(F.concat(F.col("specimen_id"), F.lit(".py")).alias("path"), F.col("fragment").cast("binary").alias("content"))
     found = extract(sources)
     one = specimens.select(F.concat(F.col("specimen_id"), F.lit(".py")).alias("file_path"), "specimen_id", "rule_id", F.col("taint_state").alias("body_taint"), "verdict")
-    taints = of_kind(found, "function").select("file_path", "qualname").distinct().join(one, "file_path").select("file_path", "qualname", "body_taint")
+    taints = of_kind(found, "function").select("file_path", "qualname", "pos").join(one, "file_path").select("file_path", "qualname", "pos", "body_taint", F.lit("decorator").alias("taint_source"))
     b = specimens.select(F.concat(F.col("specimen_id"), F.lit(".py")).alias("overlay_scope"), F.explode("boundaries").alias("x")).select("x.function", "x.transition", "overlay_scope")
     none = specimens.sparkSession.createDataFrame([], "field string, approved_default string, scope string")
     hits = findings(found, taints, b, none).filter("severity != 'SUPPRESS'").select("file_path", "rule_id").distinct().withColumn("fired", F.lit(True))

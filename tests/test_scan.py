@@ -155,3 +155,25 @@ def test_corpus_and_sources(spark, tmp_path):
     files.write_sarif(QUERIES["scan_sample_sources"](spark, ""), str(tmp_path / "out.json"), "0.1", "sha256:0")
     report = json.loads((tmp_path / "out.json").read_text())
     assert report["runs"][0]["results"][0]["locations"][0]["physicalLocation"]["region"]["startLine"] >= 1
+
+
+def test_governance_rows(spark):
+    code = """
+from t import external_boundary, integral_read, restoration_boundary
+@external_boundary
+@integral_read
+def a(x):
+    return x
+@restoration_boundary(restored_tier=1, structural_evidence=True, semantic_evidence=True, institutional_provenance="board")
+def b(x):
+    q(x); r(x); s(x)
+    return __import__("os")
+"""
+    many = "".join(f"def f{i}(x):\n    return x\n" for i in range(6))
+    found = facts(spark.createDataFrame([("p/a.py", bytearray(code.encode())), ("p/b.py", bytearray(many.encode()))], "path string, content binary")).cache()
+    tiers = spark.createDataFrame([(0, "p", "ASSURED")], "ordinal int, path string, default_taint string")
+    taints = scan.function_taints(found, tiers)
+    assert {r.qualname: r.body_taint for r in taints.filter("file_path = 'p/a.py'").collect()} == {"a": "EXTERNAL_RAW", "b": "ASSURED"}
+    none = [spark.createDataFrame([], s) for s in ("function string, transition string, overlay_scope string", "field string, approved_default string, scope string")]
+    got = {(r.rule_id, r.file_path) for r in scan.findings(found, taints, *none).filter("rule_id not like 'PY-%'").collect()}
+    assert got >= {("GOVERNANCE-TAINT-CONFLICT", "p/a.py"), ("GOVERNANCE-MODULE-TIERS-BLANKET", "p/b.py"), ("GOVERNANCE-MODULE-TIERS-UNDECORATED", "p/b.py"), ("L3-LOW-RESOLUTION", "p/a.py"), ("DYNAMIC-IMPORT", "p/a.py")}
