@@ -27,7 +27,7 @@ def found(spark: SparkSession, args: argparse.Namespace) -> tuple[DataFrame, Dat
     rows = facts(files.source_tree(spark, args.source, tuple(args.exclude))).cache()
     tiers, boundaries, fields = policy(spark, args)
     taints = scan.function_taints(rows, tiers, args.level)
-    return rows, taints, scan.findings(rows, taints, boundaries, fields)
+    return rows, taints, scan.findings(rows, taints, boundaries, fields, level=args.level)
 
 
 def run_scan(spark: SparkSession, args: argparse.Namespace) -> int:

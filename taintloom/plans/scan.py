@@ -62,7 +62,7 @@ def rejection_index(facts: DataFrame, validators: DataFrame, rounds: int = 1) ->
     return G.bounded_expand(seed, edges, rounds)
 
 
-def findings(facts: DataFrame, taints: DataFrame, boundaries: DataFrame, optional_fields: DataFrame, rounds: int = 1) -> DataFrame:
+def findings(facts: DataFrame, taints: DataFrame, boundaries: DataFrame, optional_fields: DataFrame, rounds: int = 1, level: int = 3) -> DataFrame:
     """All findings of the rules. boundaries (function, transition, overlay_scope); optional_fields (field,
     approved_default as source text, scope)."""
     key = ["file_path", "qualname"]
@@ -85,7 +85,7 @@ def findings(facts: DataFrame, taints: DataFrame, boundaries: DataFrame, optiona
     judged = reduce(DataFrame.unionByName, [plain, gated, typed, unrejected, semantic]).drop("flag")
     state = taints.select(*key, F.col("body_taint").alias("taint_state"))
     out = R.with_severity(judged.join(state.distinct(), key)).select(*FINDING)
-    more = [_governed(rule("PY-WL-001-SCHEMA-DEFAULT").join(state, key), b, optional_fields), _breaches(facts), _pairs(facts), _gates(facts), _test_only(facts), _fields(facts), _governance(facts, taints)]
+    more = [_governed(rule("PY-WL-001-SCHEMA-DEFAULT").join(state, key), b, optional_fields), _breaches(facts), _pairs(facts), _gates(facts), _test_only(facts), _fields(facts), _governance(facts, taints, level)]
     return reduce(DataFrame.unionByName, [out, *more])
 
 
@@ -150,7 +150,7 @@ def _fields(facts: DataFrame) -> DataFrame:
     return _shown(bad, "SCN-022", F.coalesce(F.array_join(F.array_sort("missing"), ","), F.lit("no such class")), F.lit("ERROR"))
 
 
-def _governance(facts: DataFrame, taints: DataFrame) -> DataFrame:
+def _governance(facts: DataFrame, taints: DataFrame, level: int) -> DataFrame:
     """Rows about the scan itself: what was skipped or failed, and where its taints rest on little."""
     key = ["file_path", "qualname"]
     warn = F.lit("WARNING")
@@ -164,6 +164,8 @@ def _governance(facts: DataFrame, taints: DataFrame) -> DataFrame:
     files = P.blanket_files(taints.select(*key, "pos", "taint_source", F.col("body_taint").alias("taint")), marks).withColumn("qualname", F.lit(None).cast("string"))
     about.append(_shown(files.filter("blanket"), "GOVERNANCE-MODULE-TIERS-BLANKET", F.lit("most functions rest on the module's tier"), warn))
     about.append(_shown(files.filter("undecorated"), "GOVERNANCE-MODULE-TIERS-UNDECORATED", F.lit("trusted module without decorators"), warn))
+    if level < 3:
+        return reduce(DataFrame.unionByName, about)
     sites = of_kind(facts, "call_sites").select(*key, F.col("n").alias("resolved"), F.col("pos").alias("unresolved"))
     about.append(_shown(G.low_resolution(sites).join(at, key), "L3-LOW-RESOLUTION", F.concat_ws("/", F.col("unresolved").cast("string"), (F.col("resolved") + F.col("unresolved")).cast("string")), warn))
     return reduce(DataFrame.unionByName, about)

@@ -93,6 +93,7 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "m.json").write_text(json.dumps({"module_tiers": [{"path": "a.py", "default_taint": "INTEGRAL"}]}))
     assert main(["scan", str(tmp_path / "src"), "--manifest", str(tmp_path / "m.json"), "--output", str(tmp_path / "o.json"), "--level", "3"]) == 1
     assert "n_blocking=1" in capsys.readouterr().out
-    assert [r["ruleId"] for r in json.loads((tmp_path / "o.json").read_text())["runs"][0]["results"]] == ["GOVERNANCE-MODULE-TIERS-UNDECORATED", "PY-WL-001"]
+    rules = [r["ruleId"] for r in json.loads((tmp_path / "o.json").read_text())["runs"][0]["results"]]
+    assert rules == ["GOVERNANCE-MODULE-TIERS-UNDECORATED", "L3-LOW-RESOLUTION", "PY-WL-001"]
     assert main(["scan", str(tmp_path / "src"), "--disable", "PY-WL-001"]) == 0
     assert main(["explain", str(tmp_path / "src"), "--qualname", "f"]) == 0
