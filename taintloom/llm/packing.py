@@ -25,8 +25,8 @@ from taintloom.llm.common import prepare, take_cache, written
 SIZE = 4096
 END = 2
 TOKENIZER = "word_bpe_49k.json"
-#: Distinct parts of words that a worker remembers.
-REMEMBERED = 800_000
+#: Distinct parts of words in each of the two generations that a worker remembers.
+REMEMBERED = 600_000
 #: Pieces of one length that are ranked together at most, if all had one; there are GROUPS groups at least.
 RANKED = 200_000
 GROUPS = 64
@@ -52,14 +52,24 @@ class WordIds:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def forget(self) -> None:
+        self.known, self.older = {}, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         lists = [t.encode().split() if _OTHER.search(t) else _PARTS.findall(t.lower()) for t in texts]
         lists = [[w.decode() for w in ws] if ws and isinstance(ws[0], bytes) else ws for ws in lists]
         known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list(set().union(*lists).difference(known))
+        new = set().union(*lists).difference(known)
+        if len(known) + len(new) > REMEMBERED:
+            # words in use move on to the next generation, the others are forgotten with the last one
+            self.older, self.known = known, {}
+            known, new = self.known, set().union(*lists)
+        older = self.older
+        again = [w for w in new if w in older] if older else []
+        known.update([(w, older[w]) for w in again])
+        new = list(new.difference(again))
         known.update(zip(new, [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]))
         return [b"".join([known[w] for w in ws]) for ws in lists]
 
@@ -76,12 +86,12 @@ def word_ids(path: str) -> WordIds:
 def _pieces(path: str, size: int, with_ids: bool):
     def run(batches):
         encoder = word_ids(path)
-        take_cache("packing", encoder.known.clear)
+        take_cache("packing", encoder.forget)
         for batch in batches:
             doc, start, length, crc, total, kept = [], [], [], [], [], []
             texts = batch.column(1).to_pylist()
-            for lo in range(0, len(texts), 64):
-                for i, ids in enumerate(encoder.encode(texts[lo : lo + 64]), lo):
+            for lo in range(0, len(texts), 128):
+                for i, ids in enumerate(encoder.encode(texts[lo : lo + 128]), lo):
                     ids += END.to_bytes(4, "little")
                     n = len(ids) // 4
                     for at in range(0, n, size):
