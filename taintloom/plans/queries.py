@@ -18,7 +18,7 @@ from taintloom.operators import functions_level as T
 from taintloom.operators import graph as G
 from taintloom.operators import paths as W
 from taintloom.operators import regime as M
-from taintloom.plans.standins import MATRIX_SQL, MODULES, NOW, PAIRS_SQL, RANK_SQL, TIER_SQL, relation, values, with_relations
+from taintloom.plans.standins import MATRIX_SQL, NOW, PAIRS_SQL, RANK_SQL, TIER_SQL, relation, values, with_relations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
