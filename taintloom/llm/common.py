@@ -40,10 +40,12 @@ def prepare(spark: SparkSession) -> None:
 _caches: dict[str, Callable[[], None]] = {}
 
 
-def take_cache(name: str, drop: Callable[[], None]) -> None:
+def take_cache(name: str, drop: Callable[[], None] = lambda: None) -> None:
     """In a worker: from now on only this operator remembers words; what others remembered is dropped."""
-    for other in [o for o in _caches if o != name]:
-        _caches.pop(other)()
+    if others := [o for o in _caches if o != name]:
+        for other in others:
+            _caches.pop(other)()
+        pa.default_memory_pool().release_unused()
     _caches[name] = drop
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from taintloom.llm.common import components, prepare, utf8, written
+from taintloom.llm.common import components, prepare, take_cache, utf8, written
 
 SHINGLE = 4
 RADIUS = 4
@@ -53,6 +53,7 @@ def fingerprint(text: bytes) -> int:
 
 @F.pandas_udf(LongType())
 def _fingerprints(texts: pd.Series) -> pd.Series:
+    take_cache("simhash")
     return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
 
 

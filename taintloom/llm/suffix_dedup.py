@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taintloom.llm.common import byte_slices, forget, prepare, utf8, written
+from taintloom.llm.common import byte_slices, forget, prepare, take_cache, utf8, written
 
 WINDOW = 200  # bytes that must agree
 GRAM = 16  # bytes a trigger's hash covers
@@ -145,6 +145,7 @@ def _chunk(data: np.ndarray, lo: int, offsets: np.ndarray, ids: tuple[int, int])
 
 def _phrases(batches):
     """The phrases of each text, repeats within a text counted."""
+    take_cache("suffix_dedup")
     for batch in batches:
         joined, offsets = byte_slices(batch.column(1))
         texts = batch.column(0).to_numpy(zero_copy_only=False)
