@@ -29,7 +29,7 @@ GRAMS = (3, 4)
 EPOCHS = 8
 RATE = 0.4
 #: Distinct words that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 END, AGAIN = b"\0end", b"\0again"
 
 
@@ -85,7 +85,7 @@ def train(texts: list[bytes], labels: list[int], seed: int = 7) -> Model:
     seen: dict[bytes, array] = {}
     docs = []
     for t in texts:
-        if len(seen) > REMEMBERED // 4:
+        if len(seen) > REMEMBERED // 2:
             seen.clear()
         docs.append(features(t, seen))
     seen.clear()
