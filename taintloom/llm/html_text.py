@@ -26,15 +26,22 @@ from taintloom.llm.common import prepare
 # Elements of HTML by what they do to blocks
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+MATH = frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mlabeledtr mtd maction semantics annotation annotation-xml".split())
+INLINE |= MATH
+ANNOTATIONS = ("annotation", "annotation-xml")  # the formula once more in another notation
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dd dt".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("tr", "td", "th", "thead"), "tfoot": ("tr", "td", "th", "tbody")}
 BOUNDARY = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",)}
-FURNITURE_TAGS = frozenset("nav footer aside form script style noscript template head title textarea select button iframe object svg math menu dialog input datalist canvas audio video".split())
+FURNITURE_TAGS = frozenset("nav footer aside form script style noscript template head title textarea select button iframe object svg menu dialog input datalist canvas audio video".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-FURNITURE_NAMES = re.compile(
-    r"(?i)(?:^|[\s_-])(?<!has-)(?<!with-)(?<!no-)(?:ads?|advert\w*|adsense|adbox|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar|side-?bar|footer|site-?header|masthead|topbar|cookies?|consent|gdpr|notice|notification|alert|popup|modal|newsletter|subscri\w*|signup|login|share|sharing|social\w*|related|recommend\w*|widget|comments?|comment-?list|respond|reply|replies|disqus|pagination|pager|skip-?link|toolbar|hidden)(?=$|[\s_-])"
-)
+# a name is furniture if all its parts say so or only say where; one part of a longer name says nothing
+_OTHERS = r"ads?|advert\w*|adsense|adbox|sponsor\w*|promo\w*|sidebar|side-?bar|footer|related|recommend\w*|widgets?|comments?|respond|reply|replies|disqus"
+_LAYOUT = r"banners?|nav|navbar|navigation|menu\w*|breadcrumbs?|masthead|topbar|cookies?|consent|gdpr|notices?|notification|alerts?|popup|modal|newsletter|subscri\w*|signup|login|share|sharing|social\w*|pagination|pager|skip-?link|toolbar|hidden|site-?header"
+_WHERE = r"site|page|global|main|primary|secondary|top|bottom|footer|header|area|container|wrapper|wrap|box|list|bar|block|section|item|links?|buttons?|icons?|form|posts?|articles?|slot|unit|inner|thread|title|text|message|overlay|toggle|dropdown|mobile|media|us|me|js"
+FURNITURE_NAMES = re.compile(rf"(?i)(?<!\S)(?:(?:{_WHERE})[_-]+)*(?:{_OTHERS}|{_LAYOUT})(?:[_-]+(?:{_OTHERS}|{_LAYOUT}|{_WHERE}))*(?!\S)")
+# articles under these names are others than the page's own
+OTHERS_NAMES = re.compile(rf"(?i)(?<![^\s_-])(?:{_OTHERS})(?![^\s_-])")
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？؟]")
 TOKENS = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?>[^>\"']+|\"[^\"]*\"|'[^']*')*+[^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|hidden|style|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -45,7 +52,8 @@ class Element:
     tag: str
     parent: Element | None
     furniture: bool
-    main: bool
+    main: bool  # an article or main element
+    named: str  # the names that alone made it furniture, its own or of an element around it
     path: str
     depth: int
 
@@ -69,16 +77,22 @@ def _element(tag: str, rest: str, parent: Element | None) -> Element:
     role = a.get("role", "").lower()
     main = tag in ("article", "main") or role in ("main", "article") or "articlebody" in a.get("itemprop", "").lower()
     bad = parent is not None and parent.furniture
-    if bad and tag == "main" and all(e.tag not in FURNITURE_TAGS for e in _up(parent)):
-        bad = False  # a class name alone does not hide the page's main element
-    if not bad:
-        named = bool(FURNITURE_NAMES.search(a.get("class", "")) or FURNITURE_NAMES.search(a.get("id", "")))
+    named = parent.named if parent is not None else ""
+    if named and main and (tag == "main" or role == "main" or not OTHERS_NAMES.search(named)):
+        bad, named = False, ""  # a class name alone does not hide the page's main element
+    if not bad or named:
         # a header is the page's own unless it heads the article
         header = tag == "header" and not _within_main(parent)
         gone = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
-        bad = tag in FURNITURE_TAGS or header or role in FURNITURE_ROLES or gone or named and tag not in ("html", "body")
+        hard = tag in FURNITURE_TAGS or header or role in FURNITURE_ROLES or gone
+        if not main and tag not in INLINE and tag not in ("html", "body"):
+            own = [m[0] for k in ("class", "id") for m in FURNITURE_NAMES.finditer(a.get(k, ""))]
+            named = " ".join(filter(None, [named, *own]))
+        if hard:
+            named = ""
+        bad = hard or bool(named)
     depth = parent.depth + 1 if parent else 0
-    return Element(tag, parent, bad, main and not bad, (parent.path + "/" if parent else "") + tag, depth)
+    return Element(tag, parent, bad, main, named, (parent.path + "/" if parent else "") + tag, depth)
 
 
 def _up(e: Element | None) -> Iterator[Element]:
@@ -88,13 +102,18 @@ def _up(e: Element | None) -> Iterator[Element]:
         e = e.parent
 
 
+def _tells(b: Block) -> bool:
+    """A block with a sentence that is not a link."""
+    return b.linked * 2 < len(b.text) and bool(PUNCTUATION.search(b.text))
+
+
 def _within_main(e: Element | None) -> bool:
-    return any(x.main for x in _up(e))
+    return any(x.main and not x.furniture for x in _up(e))
 
 
 def blocks(html: str) -> list[Block]:
     """The blocks of a page in order, texts decoded and with single spaces; blocks without text are left out."""
-    root = Element("", None, False, False, "", 0)
+    root = Element("", None, False, False, "", "", 0)
     open_: list[Element] = [root]
     out: list[Block] = []
     now: Block | None = None
@@ -179,6 +198,10 @@ def blocks(html: str) -> list[Block]:
             elif tag not in INLINE:
                 now = None
             continue
+        if tag in ANNOTATIONS:
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
+            at = end.end() if end else at
+            continue
         e = _element(tag, m["rest"], open_[-1])
         if tag not in INLINE:
             now = None
@@ -211,7 +234,14 @@ def path_ratios(found: list[Block]) -> dict[str, float]:
 
 def extract(html: str | None) -> str:
     """The main text, its blocks joined by an empty line; empty if there is none."""
-    found = [b for b in blocks(html or "") if not b.element.furniture]
+    every = blocks(html or "")
+    found = [b for b in every if not b.element.furniture]
+    if not any(map(_tells, found)):
+        # names have hidden all sentences: articles among them are the page's own then
+        lifted = [b for b in every if not b.element.furniture or b.element.named and any(e.main for e in _up(b.element))]
+        if any(map(_tells, lifted)):
+            found = lifted
+    found = found or [b for b in every if b.element.named]
     if not found:
         return ""
     ratios = path_ratios(found)

@@ -26,6 +26,25 @@ def test_names_that_only_look_like_furniture():
         assert extract(page(FURNITURE[0] + tag.format(f"<p>{LONG}</p>"))) == LONG.strip(), tag
 
 
+NAMES = ("overflow-hidden", "layout sidebar-right", "content-sidebar-wrap", "elementor-widget elementor-widget-theme-post-content", "post type-post category-social-media", "post tag-cookies")
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_names_with_furniture_in_a_part(name):
+    for html in (f'<article class="{name}"><p>{LONG}</p></article>', f'<div class="{name}"><article><p>{LONG}</p></article></div>', f'<div class="{name}"><p>{LONG}</p></div>'):
+        assert extract(page(FURNITURE[0] + html)) == LONG.strip()
+
+
+def test_names_do_not_hide_articles_code_and_formulas():
+    for html in ('<article class="widget">{}</article>', '<div class="popup"><article>{}</article></div>', '<div class="hidden"><div itemprop="articleBody" class="share">{}</div></div>', '<div class="comments"><article>{}</article></div>', '<div class="widget">{}</div>', '<div class="comments"><main>{}</main></div>'):
+        assert extract(page(FURNITURE[0] + html.format(f"<p>{LONG}</p>"))) == LONG.strip(), html
+    for name in ("site-footer", "cookie-banner", "related-posts", "comments-area", "ad-slot", "social-share", "widget-area", "main-nav"):
+        assert extract(page(f'<article><p>{LONG}</p><div class="x {name}">{LONG}</div></article>')) == LONG.strip(), name
+    code = '<pre>x = 1 <span class="hljs-comment"># one</span> <i class="comment">two</i></pre>'
+    formula = "<p>Let <math><mi>a</mi><mo>=</mo><mn>2</mn><annotation>TeX</annotation></math> hold.</p>"
+    assert extract(page(f"<article><p>{LONG}</p>{code}{formula}</article>")).split("\n\n") == [LONG.strip(), "x = 1 # one two", "Let a=2 hold."]
+
+
 def test_broken_markup():
     for html in [None, "", "<", "<p", "<p class='", "a < b", "<!-- never closed <p>x", "<script>never", "</p></p></div>", "<a <b", "&", "&#xZZ; &bogus;", "<p>" * 5000 + "deep", "<div>" * 2000 + "x", "<x " + "'" * 3001]:
         extract(html)
