@@ -3,9 +3,9 @@
 Every block of text belongs to a path of tags from the root to its block element. Text length, punctuation,
 links and the number of blocks are summed for each path; a path's ratio is its text and punctuation for each
 block, with linked text taken off. Ratios are smoothed along the order of first appearance, fused with those
-of the path itself, and thresholded. The paths that pass choose the content element: the deepest element that
-holds nearly all their text, an article or main element first. Its blocks are the result, short ones too,
-without those under tags, roles or class names of page furniture.
+of the path itself, and thresholded. The paths that pass choose the content element: the lowest element around
+all article and main elements that hold them, or else around all of their blocks. Its blocks are the result,
+short ones too, and the headings before it, without those under tags, roles or class names of page furniture.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from html import unescape
 
 import numpy as np
@@ -42,6 +43,9 @@ _WHERE = r"site|page|global|main|primary|secondary|top|bottom|footer|header|area
 FURNITURE_NAMES = re.compile(rf"(?i)(?<!\S)(?:(?:{_WHERE})[_-]+)*(?:{_OTHERS}|{_LAYOUT})(?:[_-]+(?:{_OTHERS}|{_LAYOUT}|{_WHERE}))*(?!\S)")
 # articles under these names are others than the page's own
 OTHERS_NAMES = re.compile(rf"(?i)(?<![^\s_-])(?:{_OTHERS})(?![^\s_-])")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+# parts of a text, never all of it
+PARTS = HEADINGS | frozenset("p li ul ol td th tr blockquote pre".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？؟]")
 TOKENS = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?>[^>\"']+|\"[^\"]*\"|'[^']*')*+[^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|hidden|style|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -249,29 +253,51 @@ def extract(html: str | None) -> str:
     threshold = max(values.std() * 0.5, values.max() * 0.1)
     passing = [b for b in found if ratios[b.element.path] >= threshold] or found
     best = _content_element(passing)
-    kept = []
-    for b in found:
-        if any(e is best for e in _up(b.element)):
-            kept.append(b.text)
-    return "\n\n".join(kept)
+    inside = [any(e is best for e in _up(b.element)) for b in found]
+    first = inside.index(True)
+    start = _headed(found, first, best)
+    return "\n\n".join(b.text for b, within in zip(found[start:], inside[start:], strict=True) if within or b in found[start:first])
+
+
+def _common(a: Element, b: Element) -> Element:
+    """The lowest element around both."""
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+    return a
 
 
 def _content_element(passing: list[Block]) -> Element:
-    """The deepest element with nine tenths of the passing text; an article or main element comes first
-    when it holds most of it."""
-    mass: dict[int, float] = {}
-    by_id: dict[int, Element] = {}
-    total = 0.0
+    """The lowest element around all passing blocks; around the article and main elements alone if they hold
+    most of the passing text."""
+    total, held = 0, 0
+    mains: list[Element] = []
     for b in passing:
         total += len(b.text)
-        for e in _up(b.element):
-            mass[id(e)] = mass.get(id(e), 0) + len(b.text)
-            by_id[id(e)] = e
-    mains = [e for k, e in by_id.items() if e.main and mass[k] >= 0.4 * total]
-    if mains:
-        return min(mains, key=lambda e: e.depth)
-    holding = [e for k, e in by_id.items() if mass[k] >= 0.9 * total and e.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "td", "th", "tr", "blockquote", "pre")]
-    return max(holding, key=lambda e: e.depth)
+        around = [e for e in _up(b.element) if e.main and not e.furniture]
+        if around:
+            held += len(b.text)
+            mains.append(around[-1])
+    best = reduce(_common, mains if held >= 0.4 * total else [b.element for b in passing])
+    while best.parent is not None and best.tag in PARTS:
+        best = best.parent
+    return best
+
+
+def _headed(found: list[Block], first: int, best: Element) -> int:
+    """Where the headings start that stand before the content element, with the lines between: beside it, in an
+    element around both with no list of links between, or right before it."""
+    start = first
+    for i in range(first - 1, -1, -1):
+        around = _common(found[i].element, best)
+        within = around.tag not in ("", "html", "body") and (around is best.parent or found[i].linked * 2 <= len(found[i].text))
+        if any(e.tag in HEADINGS for e in _up(found[i].element)) and (within or i == start - 1):
+            start = i
+        elif not within:
+            break
+    return start
 
 
 TEXT = StructType([StructField("text", StringType()), StructField("n_chars", LongType())])

@@ -45,6 +45,24 @@ def test_names_do_not_hide_articles_code_and_formulas():
     assert extract(page(f"<article><p>{LONG}</p>{code}{formula}</article>")).split("\n\n") == [LONG.strip(), "x = 1 # one two", "Let a=2 hold."]
 
 
+def test_headline_lead_and_all_parts():
+    want = ["Title", "A lead, with a comma.", LONG.strip(), LONG.strip()]
+    body = f"<p>{LONG}</p><p>{LONG}</p>"
+    lead = "<h1>Title</h1><p class=lead>A lead, with a comma.</p>"
+    for html in (
+        f"<div class=post>{lead}<div class=body>{body}</div></div>",
+        f"<div class=post><h1>Title</h1><div><p>A lead, with a comma.</p><div>{body}</div></div></div>",
+        f"<article>{lead}<p>{LONG}</p></article><article><p>{LONG}</p></article>",
+        f"<div>{lead}<article><p>{LONG}</p></article><article><p>{LONG}</p></article></div>",
+    ):
+        assert extract(page(FURNITURE[0] + html)).split("\n\n") == want, html
+    long = f"<p>{LONG * 5}</p>" * 4
+    assert extract(page(f"<div class=post>{lead}<div class=body>{long}</div></div>")).split("\n\n")[:2] == want[:2]
+    assert extract(page(f"<h1>Title</h1><div class=body>{long}</div>")).startswith("Title\n\nThis")
+    thirds = "".join(f"<article><p>{n} {LONG}</p></article>" for n in "abc")
+    assert [t[0] for t in extract(page(thirds)).split("\n\n")] == ["a", "b", "c"]
+
+
 def test_broken_markup():
     for html in [None, "", "<", "<p", "<p class='", "a < b", "<!-- never closed <p>x", "<script>never", "</p></p></div>", "<a <b", "&", "&#xZZ; &bogus;", "<p>" * 5000 + "deep", "<div>" * 2000 + "x", "<x " + "'" * 3001]:
         extract(html)
