@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import pairwise
 
@@ -30,18 +31,35 @@ EPOCHS = 8
 RATE = 0.4
 #: Distinct words that a worker remembers.
 REMEMBERED = 200_000
+#: Words of more bytes are hashed in numpy, by blocks of so many n-grams, and not remembered.
+LONG, BLOCK = 64, 1 << 18
 END, AGAIN = b"\0end", b"\0again"
+_CRC = np.array([zlib.crc32(bytes([i]), 0xFFFFFFFF) ^ 0xFFFFFFFF for i in range(256)], np.uint32)
 
 
 def places(word: bytes) -> list[int]:
-    """The hashed places of a word and of its character n-grams, bounds included."""
-    fenced = b"<" + word[:64] + b">"
+    """The hashed places of a word and of its character n-grams, bounds included; for words up to LONG bytes."""
+    fenced = b"<" + word + b">"
     out = [zlib.crc32(word) % BUCKETS]
     for n in GRAMS:
         out += [zlib.crc32(fenced[i : i + n], n) % BUCKETS for i in range(len(fenced) - n + 1)]
     return out
 
 
+def long_places(word: bytes) -> Iterator[np.ndarray]:
+    """The same for words of any length, in blocks."""
+    fenced = np.frombuffer(b"<" + word + b">", np.uint8)
+    yield np.array([zlib.crc32(word) % BUCKETS])
+    for n in GRAMS:
+        grams = len(fenced) - n + 1
+        for at in range(0, grams, BLOCK):
+            size = min(BLOCK, grams - at)
+            crc = np.full(size, n ^ 0xFFFFFFFF, np.uint32)
+            for k in range(n):
+                crc = _CRC[(crc ^ fenced[at + k : at + k + size]) & np.uint32(255)] ^ (crc >> np.uint32(8))
+            yield ((crc ^ np.uint32(0xFFFFFFFF)) % np.uint32(BUCKETS)).astype(np.int64)
+
+
 def repeats(words: list[bytes]) -> int:
     """Word pairs that occurred before in the text."""
     return max(0, len(words) - 1 - len(set(pairwise(words))))
@@ -55,14 +73,21 @@ def features(text: bytes, seen: dict[bytes, array]) -> tuple[np.ndarray, np.ndar
         counts[w] = counts.get(w, 0) + 1
     at: list[int] = [zlib.crc32(END) % BUCKETS, zlib.crc32(AGAIN) % BUCKETS]
     weight: list[float] = [1, repeats(words) * 8]
+    more: list[tuple[np.ndarray, np.ndarray]] = []
     for w, n in counts.items():
+        if len(w) > LONG:
+            for block in long_places(w):
+                different, times = np.unique(block, return_counts=True)
+                more.append((different, times * n))
+            continue
         own = seen.get(w)
         if own is None:
             own = seen[w] = array("i", places(w))
         at += own
         weight += [n] * len(own)
-    unique, where = np.unique(np.array(at, np.int32), return_inverse=True)
-    sums = np.bincount(where, weights=weight)
+    all_at = np.concatenate([np.array(at, np.int32), *[x[0] for x in more]]) if more else np.array(at, np.int32)
+    unique, where = np.unique(all_at, return_inverse=True)
+    sums = np.bincount(where, weights=np.concatenate([weight, *[x[1] for x in more]]) if more else weight)
     return unique, (sums / sums.sum()).astype(np.float32)
 
 
@@ -126,12 +151,17 @@ _known_of: list[int] = []
 def score(text: bytes, odds: np.ndarray, known: dict[bytes, complex]) -> float:
     """The chance of label 1. known: for each word the sum over its places (real) and their number (imaginary)."""
     words = text.split()
+    long: dict[bytes, complex] = {}
     for w in set(words):
-        if w not in known:
+        if len(w) > LONG:
+            sums = [(float(odds[block].sum()), len(block)) for block in long_places(w)]
+            long[w] = complex(sum(x for x, _ in sums), sum(n for _, n in sums))
+        elif w not in known:
             own = places(w)
             known[w] = complex(float(odds[own].sum()), len(own))
     again = repeats(words) * 8
-    total = sum(map(known.__getitem__, words), complex(odds[zlib.crc32(END) % BUCKETS], 1))
+    of_word = (lambda w: long[w] if len(w) > LONG else known[w]) if long else known.__getitem__
+    total = sum(map(of_word, words), complex(odds[zlib.crc32(END) % BUCKETS], 1))
     mean = (total.real + again * odds[zlib.crc32(AGAIN) % BUCKETS]) / (total.imag + again)
     return float(1 / (1 + np.exp(-np.clip(mean, -500, 500))))
 

@@ -1,8 +1,10 @@
 import zlib
 
+import numpy as np
 import pyarrow.parquet as pq
 
-from taintloom.llm.quality import score_quality
+from taintloom.llm import quality
+from taintloom.llm.quality import Model, features, long_places, places, score, score_quality, train
 
 D = "/root/testdata/sf0.01"
 
@@ -30,3 +32,22 @@ def test_nulls_and_empty_tables(spark):
     assert len({r.score for r in rows if not r.text}) == 1
     assert score_quality(docs.limit(0), labels).collect() == []
     assert {r.score for r in score_quality(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_long_words_count_whole(monkeypatch):
+    rng = np.random.default_rng(5)
+    good, junk = (bytes(rng.choice(np.frombuffer(letters, np.uint8), 200_000)) for letters in (b"abcdefgh", b"%$#@!^&*"))
+    model = train([good[i : i + 300] for i in range(0, 6000, 300)] + [junk[i : i + 300] for i in range(0, 6000, 300)], [1] * 20 + [0] * 20)
+    assert isinstance(model, Model)
+    known = {}
+    assert score(good, model.odds, known) > 0.5 > score(good[:64] + junk, model.odds, known)
+    assert not known
+    # hashed in blocks as byte by byte, whatever the length
+    for block in (quality.BLOCK, 7):
+        monkeypatch.setattr(quality, "BLOCK", block)
+        for n in (1, 2, 3, 63, 64, 65, 300):
+            assert np.concatenate(list(long_places(good[:n]))).tolist() == places(good[:n])
+    at, weight = features(b"x " + good[:300] + b" " + good[:300], {})
+    want = np.bincount([*places(b"x"), *places(good[:300]) * 2, zlib.crc32(quality.END) % quality.BUCKETS], minlength=quality.BUCKETS).astype(float)
+    assert (np.flatnonzero(want) == np.setdiff1d(at, [zlib.crc32(quality.AGAIN) % quality.BUCKETS])).all() and abs(weight.sum() - 1) < 1e-5
+    assert np.allclose(weight[weight > 0], want[want > 0] / want.sum())
