@@ -52,7 +52,7 @@ RELATIONS["files"] = """
 RELATIONS["annotations"] = f"""
     SELECT 'src/f' || CAST(l.l_suppkey % 50 AS STRING) || '.py' AS file_path, 'fn' || CAST(l.l_orderkey % 3000 AS STRING) AS qualname,
            nv.name AS name, min(CAST(l.l_partkey * 10 + l.l_linenumber AS BIGINT)) AS pos
-    FROM lineitem l JOIN {NAME_AT} ON nv.i = l.l_partkey % 12 WHERE l.l_linenumber <= 2
+    FROM lineitem l JOIN {NAME_AT} ON nv.i = l.l_partkey % 12
     GROUP BY 'src/f' || CAST(l.l_suppkey % 50 AS STRING) || '.py', 'fn' || CAST(l.l_orderkey % 3000 AS STRING), nv.name"""
 RELATIONS["functions"] = """
     SELECT DISTINCT 'src/f' || CAST(c_custkey % 50 AS STRING) || '.py' AS file_path, 'fn' || CAST(c_custkey AS STRING) AS qualname,

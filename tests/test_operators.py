@@ -9,7 +9,8 @@ from taintloom.functions.domains import MATRIX, RANK, TAINTS
 from taintloom.functions.lattice import taint_join
 from taintloom.operators import exceptions, findings, graph, paths
 from taintloom.plans import queries
-from taintloom.plans.standins import TABLES
+from taintloom.plans.standins import TABLES, relation
+from taintloom.plans.standins import NAMES as NAMES_OF_DECORATORS
 
 D = "/root/testdata/sf0.001"
 NAMES = [t for t, _, _ in TAINTS]
@@ -33,6 +34,12 @@ def test_query_equals_its_sql(spark, tables, name):
     assert rows(df.columns, map(tuple, df.collect())) == rows(want.columns, want.fetchall())
 
 
+def test_annotations_come_from_every_line(spark, tables):
+    got = {(r.file_path, r.qualname, r.name) for r in relation(spark, D, "annotations").collect()}
+    lines = duckdb.sql("SELECT DISTINCT l_suppkey % 50, l_orderkey % 3000, l_partkey % 12 FROM lineitem").fetchall()
+    assert got == {(f"src/f{s}.py", f"fn{o}", NAMES_OF_DECORATORS[p]) for s, o, p in lines}
+
+
 def pairwise(a, b):
     if a == b:
         return a
