@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -170,6 +170,16 @@ def link_fingerprints(prints: DataFrame, radius: int = RADIUS, cell: int = CELL,
     return components(sorted_cells.mapInArrow(_links(radius), "a long, b long"))
 
 
+def _least(made: DataFrame, key: Column, radius: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows with a fingerprint fp: (fp, root), and the least key of each root; both written."""
+    least = made.groupBy("fp").agg(F.min(key).alias("least"))
+    roots = link_fingerprints(least.select("fp"), radius)
+    known = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    # written: a join of two plain tables, so that Spark can split a large component
+    known = written(known)
+    return known, written(known.groupBy("root").agg(F.min("least").alias("least")))
+
+
 def simhash(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row; no link between different texts is lost.
 
@@ -180,19 +190,23 @@ def simhash(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius:
     """
     prepare(docs.sparkSession)
     made = written(docs.select(F.col(doc_id).alias("doc_id"), _fingerprints(utf8(text)).alias("fp")))
-    least = made.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = link_fingerprints(least.select("fp"), radius)
-    known = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    # written: a join of two plain tables, so that Spark can split a large component
-    known = written(known)
-    ids = written(known.groupBy("root").agg(F.min("least").alias("component_id")))
+    known, ids = _least(made, F.col("doc_id"), radius)
+    ids = ids.withColumnRenamed("least", "component_id")
     of_print = written(known.join(ids, "root").select("fp", "component_id"))
     return made.join(of_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of their component, one row each; rows without id stay."""
-    kept = simhash(docs, text, doc_id).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    rows = docs.join(kept.withColumnRenamed("doc_id", doc_id) if doc_id != "doc_id" else kept, doc_id, "left_semi")
-    first = F.row_number().over(Window.partitionBy(doc_id).orderBy(F.xxhash64(text)))
-    return rows.withColumn("__n", first).filter("__n = 1").drop("__n").unionByName(docs.filter(F.col(doc_id).isNull()))
+    """One row of docs for each component: the first by doc_id, then by a hash of the text; null ids come last.
+
+    Rows are told apart by id and text: different texts under one id, or without id, each count for themselves.
+    """
+    prepare(docs.sparkSession)
+    own = [F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash")]
+    made = written(docs.select(*own, _fingerprints(utf8(text)).alias("fp")))
+    _, first = _least(made, F.struct(F.col("id").isNull().alias("none"), "id", "hash"), RADIUS)
+    kept = first.select(F.col("least.id").alias("__id"), F.col("least.hash").alias("__hash"))
+    rows = docs.withColumn("__h", F.xxhash64(text))
+    rows = rows.join(kept, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")), "left_semi")
+    one = F.row_number().over(Window.partitionBy(doc_id, "__h").orderBy(F.xxhash64(*docs.columns)))
+    return rows.withColumn("__n", one).filter("__n = 1").select(*docs.columns)

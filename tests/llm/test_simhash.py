@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from taintloom.llm.simhash import embed, fingerprint, link_fingerprints, manhattan, masks, simhash
+from taintloom.llm.simhash import embed, fingerprint, keep_one, link_fingerprints, manhattan, masks, simhash
 
 
 def plain(text):
@@ -83,3 +83,14 @@ def test_documents(spark):
 
 def test_empty_table(spark):
     assert simhash(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_one_row_of_each_component_stays(spark):
+    r = random.Random(9)
+    a, b, c, d = ("".join(f"{r.randrange(10**6)} " for _ in range(80)) for _ in range(4))
+    # id 1 stands for two texts, one of them a copy of id 0; d has no id; copies without an id of a text with one go
+    rows = [(0, a), (1, a), (1, b), (1, b), (2, b), (2, c), (None, d), (None, d), (None, a), (None, None), (None, ""), (7, c)]
+    df = spark.createDataFrame([(i, t, "s") for i, t in rows], "n long, text string, source string").repartition(3)
+    got = [(x.n, x.text or "", x.source) for x in keep_one(df, doc_id="n").collect()]
+    assert sorted(got, key=str) == sorted([(0, a, "s"), (1, b, "s"), (2, c, "s"), (None, d, "s"), (None, "", "s")], key=str)
+    assert keep_one(df.limit(0), doc_id="n").collect() == []
