@@ -3,13 +3,15 @@
     conversation = turn*      turn = "<s>" role "[INST]" text "</s>"  |  "<s>" role "[INST!]" text "</s>"
 
 The parser cuts at every "</s>", takes the role up to the first mark and the text behind it. Each turn is
-first rendered as it is, parsed and compared; where that does not give back role and text, it is rendered
-with the mark "[INST!]" and both escaped: no "<" or "[" is left in them, so no control string can be.
+first rendered as it is, parsed and compared; where that does not give back role and text, or one of them holds
+a control string, it is rendered with the mark "[INST!]" and both escaped: no "<" or "[" is left in them, so no control string can be.
 Escaping changes single characters and is undone exactly, so one more round is always enough.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,10 +46,11 @@ def parse(formatted: Column) -> Column:
 
 
 def render(role: Column, text: Column) -> Column:
-    """One turn; escaped only where the plain form does not read back as it was."""
+    """One turn; escaped where role or text holds a control string or the plain form does not read back as it was."""
     plain = F.concat(F.lit(OPEN), role, F.lit(MARK), text, F.lit(CLOSE))
     same = parse(plain) == F.array(F.struct(role.alias("role"), text.alias("text")))
-    return F.when(same, plain).otherwise(F.concat(F.lit(OPEN), escape(role), F.lit(MARK_ESCAPED), escape(text), F.lit(CLOSE)))
+    control = reduce(Column.__or__, [F.contains(x, F.lit(c)) for x in (role, text) for c in (OPEN, MARK, MARK_ESCAPED, CLOSE)])
+    return F.when(same & ~control, plain).otherwise(F.concat(F.lit(OPEN), escape(role), F.lit(MARK_ESCAPED), escape(text), F.lit(CLOSE)))
 
 
 def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
