@@ -17,14 +17,27 @@ from pyspark.sql import functions as F
 
 #: Edges that one task of a round of components() takes.
 ROUND_ROWS = 10_000
+#: A node with more edges than this share of all is a hub: there are at most 2 / HUB_SHARE of them.
+HUB_SHARE = 1 / 500
+HUB_LEAST = 200
+#: Nodes that a task's forest holds before it is written out and begun anew.
+FOREST = 400_000
+#: Bounds of an Arrow batch, by Spark's default; a batch ends with the row that reaches either.
+BATCH = {"maxRecordsPerBatch": ("10000", "512"), "maxBytesPerBatch": ("67108864b", "33554432b")}
 
 _shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound Arrow batches, and send this package to executors that lack it."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    """Bound Arrow batches by rows and bytes, and send this package to executors that lack it.
+
+    Plans read these settings when they run, so they stay set in the session; what the caller has set stays.
+    """
+    for name, (default, bound) in BATCH.items():
+        key = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, bound)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -50,10 +63,12 @@ def take_cache(name: str, drop: Callable[[], None] = lambda: None) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share. Where the cluster names none (tests), a temporary one is set."""
+    """The folder all executors share. In local mode (tests) a temporary one is set where none is named."""
     conf = spark.sparkContext.getConf()
     named = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -133,34 +148,52 @@ class Forest:
         return True
 
 
+def _forest_rows(forest: Forest) -> pa.RecordBatch:
+    nodes = list(forest.up)
+    return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([forest.find(x) for x in nodes], pa.int64())], ["a", "b"])
+
+
 def _spanning(batches):
-    """A spanning forest of a task's edges, each node tied to the smallest of its tree."""
+    """Spanning forests of a task's edges, each node tied to the smallest of its tree."""
     forest = Forest()
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             forest.link(a, b)
-    nodes = list(forest.up)
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([forest.find(x) for x in nodes], pa.int64())], ["a", "b"])
+        if len(forest.up) > FOREST:
+            yield _forest_rows(forest)
+            forest = Forest()
+    yield _forest_rows(forest)
+
+
+def _with_least(rows: DataFrame, least: DataFrame, hubs: DataFrame) -> DataFrame:
+    """rows (a, b) with m of their node a. Rows of hubs meet a broadcast table, so that none waits for one task."""
+    # at most 2 / HUB_SHARE rows
+    few = F.broadcast(hubs.select("a", "m"))
+    others = rows.join(few.select("a"), "a", "left_anti").join(least.select("a", "m"), "a")
+    return rows.join(few, "a").unionByName(others)
 
 
-def components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for every node of an edge; edges has longs a and b.
 
     Each task first reduces its edges to a forest; then large-star and small-star rounds run until
-    nothing changes. A node of high degree is a hot key only in its rows, never in a list.
+    nothing changes. A node of high degree is a hot key only in its rows, never in a list, and its rows stay
+    where they are.
     """
     known = written(edges.select("a", "b").mapInArrow(_spanning, "a long, b long").filter("a != b"))
     n, before = known.count(), None
     while True:
         # a round never has many more edges than the one before: few edges need few tasks and files
         parts = n // ROUND_ROWS + 1
+        hub = max(HUB_LEAST, int(n * HUB_SHARE))
         both = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
         # large star: larger neighbours move to the least neighbour
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = _with_least(both.filter("b > a"), least, least.filter(F.col("n") > hub)).select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: a node and its smaller neighbours move to the least of them
-        small_least = large.filter("b < a").groupBy("a").agg(F.min("b").alias("m"))
-        small = large.filter("b < a").join(small_least, "a")
+        down = large.filter("b < a")
+        small_least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = _with_least(down, small_least, small_least.filter(F.col("n") > hub))
         nxt = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small_least.select("a", F.col("m").alias("b")))
         nxt = written(nxt.filter("a != b").distinct().coalesce(parts))
         sums = nxt.agg(F.count("*"), F.sum(F.col("a").cast("decimal(20,0)")), F.sum(F.col("b").cast("decimal(20,0)")), F.expr("bit_xor(xxhash64(a, b))")).first()
