@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taintloom.llm.common import written
+from taintloom.llm.common import forget, written
 from taintloom.llm.packing import TOKENIZER, pack
 from taintloom.llm.pii import mask_pii
 from taintloom.llm.quality import score_quality
@@ -21,13 +21,21 @@ def _with_size(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    A null text is scored as an empty one; rows with repeated or null ids are judged one by one; long texts count whole.
+    An empty table stays empty.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return score_quality(docs, labels).filter("predicted = 1").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays: the first by id, then by a hash of its text.
+
+    Null and empty texts are near-duplicates of each other; null ids come last; different texts under one id count
+    each for themselves; of equal rows one stays. An empty table stays empty.
+    """
     return keep_one(docs).select(*COLUMNS)
 
 
@@ -40,12 +48,19 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data gives way to its kind in brackets."""
+    """Personal data gives way to its kind in brackets.
+
+    Null texts stay null, rows without personal data stay as they are, repeated ones too. An empty table stays empty.
+    """
     return _with_size(mask_pii(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their places in the training sequences."""
+    """Pieces of documents with their places in the training sequences.
+
+    A null or empty text is one piece, its end id; rows with equal or null ids are documents of their own; long texts
+    are cut into pieces. An empty table has no pieces.
+    """
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path(TOKENIZER))
@@ -64,8 +79,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again by the next."""
+    """All stages over documents, each written as Parquet and read again by the next; a table that has been read goes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        kept = written(stage(spark, docs, sf_dir))
+        forget(docs)
+        docs = kept
+    # packing has written its pieces when it returns
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    forget(docs)
+    return out
