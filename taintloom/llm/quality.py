@@ -15,13 +15,14 @@ from itertools import pairwise
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from taintloom.llm.common import prepare, take_cache, utf8
+from taintloom.llm.common import forget, prepare, take_cache, utf8, written
 
-#: Labelled documents, and bytes of them, that training takes at most: those first in the order of a hash of their ids.
+#: Labelled documents, and bytes of them, that training takes at most: those first in the order of a hash of their ids;
+#: of these a document that the bytes left cannot hold is passed over.
 SAMPLE = 6000
 SAMPLE_BYTES = 48 << 20
 BUCKETS = 1 << 18
@@ -41,22 +42,32 @@ def places(word: bytes) -> list[int]:
     """The hashed places of a word and of its character n-grams, bounds included; for words up to LONG bytes."""
     fenced = b"<" + word + b">"
     out = [zlib.crc32(word) % BUCKETS]
+    if word.isascii():
+        for n in GRAMS:
+            out += [zlib.crc32(fenced[i : i + n], n) % BUCKETS for i in range(len(fenced) - n + 1)]
+        return out
+    starts = [i for i, c in enumerate(fenced) if c & 0xC0 != 0x80] + [len(fenced)]
     for n in GRAMS:
-        out += [zlib.crc32(fenced[i : i + n], n) % BUCKETS for i in range(len(fenced) - n + 1)]
+        out += [zlib.crc32(fenced[i:j], n) % BUCKETS for i, j in zip(starts, starts[n:])]
     return out
 
 
 def long_places(word: bytes) -> Iterator[np.ndarray]:
     """The same for words of any length, in blocks."""
     fenced = np.frombuffer(b"<" + word + b">", np.uint8)
+    starts = np.flatnonzero((fenced & 0xC0) != 0x80)
+    bounds = np.r_[starts, len(fenced)]
     yield np.array([zlib.crc32(word) % BUCKETS])
     for n in GRAMS:
-        grams = len(fenced) - n + 1
+        grams = len(starts) - n + 1
         for at in range(0, grams, BLOCK):
-            size = min(BLOCK, grams - at)
-            crc = np.full(size, n ^ 0xFFFFFFFF, np.uint32)
-            for k in range(n):
-                crc = _CRC[(crc ^ fenced[at + k : at + k + size]) & np.uint32(255)] ^ (crc >> np.uint32(8))
+            begin, end = bounds[at : min(grams, at + BLOCK)], bounds[at + n : min(grams, at + BLOCK) + n]
+            size = end - begin
+            crc = np.full(len(begin), n ^ 0xFFFFFFFF, np.uint32)
+            for k in range(int(size.max())):
+                more = k < size
+                byte = fenced[np.where(more, begin + k, 0)]
+                crc = np.where(more, _CRC[(crc ^ byte) & np.uint32(255)] ^ (crc >> np.uint32(8)), crc)
             yield ((crc ^ np.uint32(0xFFFFFFFF)) % np.uint32(BUCKETS)).astype(np.int64)
 
 
@@ -131,16 +142,39 @@ def train(texts: list[bytes], labels: list[int], seed: int = 7) -> Model:
     return Model((vectors @ (out[1] - out[0])).astype(np.float64))
 
 
+def taken(sizes: list[int], most: int) -> list[int]:
+    """Which of the documents of these sizes, in order, fit in `most` bytes together: one that does not fit is passed over."""
+    out, left = [], most
+    for i, n in enumerate(sizes):
+        if n <= left:
+            out.append(i)
+            left -= n
+    return out
+
+
 def sample(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str) -> tuple[list[bytes], list[int]]:
-    """Whole texts and labels of at most SAMPLE documents and SAMPLE_BYTES bytes, spread by a hash of the id."""
+    """Whole texts and labels of at most SAMPLE documents and SAMPLE_BYTES bytes, spread by a hash of the id.
+
+    Their lengths reach the driver first, then the texts that fit. Of the texts of a repeated id one is taken.
+    """
     order = [F.xxhash64(F.lit(17), "id"), F.col("id")]
     known = labels.filter(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("label"))
     chosen = known.filter(F.pmod(F.crc32(F.col("id").cast("string")), F.lit(3)) != 1).orderBy(*order).limit(SAMPLE)
     # at most SAMPLE rows of two numbers: small enough to send to every task
     rows = docs.select(F.col(doc_id).alias("id"), utf8(text).alias("b")).join(F.broadcast(chosen), "id")
-    one = rows.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("b")))).filter("n = 1")
-    sofar = F.sum(F.octet_length("b")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    got = one.withColumn("sofar", sofar).filter(F.col("sofar") <= SAMPLE_BYTES).select("b", "label").collect()
+    rows = written(rows.withColumn("hash", F.xxhash64("b")))
+    # at most SAMPLE rows of four numbers
+    one = rows.groupBy("id", "label").agg(F.min(F.struct("hash", F.octet_length("b").alias("n"))).alias("x"))
+    one = sorted(one.select(order[0].alias("o"), "id", "x.hash", "x.n").collect())
+    fits = [one[i] for i in taken([r.n for r in one], SAMPLE_BYTES)]
+    if not fits:
+        return [], []
+    ids = rows.sparkSession.createDataFrame([(r.id, r.hash) for r in fits], rows.select("id", "hash").schema)
+    # texts of SAMPLE_BYTES bytes in all
+    got = rows.join(F.broadcast(ids), ["id", "hash"]).dropDuplicates(["id", "hash"]).select("id", "b", "label").collect()
+    forget(rows)
+    place = {r.id: i for i, r in enumerate(fits)}
+    got = sorted(got, key=lambda r: place[r.id])
     return [bytes(r.b) for r in got], [r.label for r in got]
 
 

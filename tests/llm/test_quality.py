@@ -51,3 +51,45 @@ def test_long_words_count_whole(monkeypatch):
     want = np.bincount([*places(b"x"), *places(good[:300]) * 2, zlib.crc32(quality.END) % quality.BUCKETS], minlength=quality.BUCKETS).astype(float)
     assert (np.flatnonzero(want) == np.setdiff1d(at, [zlib.crc32(quality.AGAIN) % quality.BUCKETS])).all() and abs(weight.sum() - 1) < 1e-5
     assert np.allclose(weight[weight > 0], want[want > 0] / want.sum())
+
+
+def test_ngrams_are_of_characters(monkeypatch):
+    word = "äö漢字é😀x".encode()
+    gram = lambda t, n: zlib.crc32(t.encode(), n) % quality.BUCKETS
+    fenced = "<äö漢字é😀x>"
+    want = [zlib.crc32(word) % quality.BUCKETS] + [gram(fenced[i : i + n], n) for n in quality.GRAMS for i in range(len(fenced) - n + 1)]
+    assert places(word) == want
+    for block in (quality.BLOCK, 3):
+        monkeypatch.setattr(quality, "BLOCK", block)
+        assert np.concatenate(list(long_places(word))).tolist() == want
+    assert np.concatenate(list(long_places("字".encode() * 500))).tolist() == places("字".encode() * 500)
+
+
+def test_a_document_too_long_for_the_sample_is_passed_over(spark, monkeypatch):
+    assert quality.taken([90, 5, 8, 3, 1], 10) == [1, 3, 4]
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 1000)
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1]
+    text = lambda i: f"w{i} " * (5000 if i == ids[0] or i == ids[5] else 8)
+    docs = spark.createDataFrame([(i, text(i)) for i in ids for _ in range(2)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    texts, known = quality.sample(docs, labels, "text", "doc_id", "quality")
+    assert len(texts) == len(ids) - 2 and sum(map(len, texts)) <= 1000
+    assert all(x == text(int(x.split()[0][1:])).encode() and y == int(x.split()[0][1:]) % 2 for x, y in zip(texts, known))
+
+
+def test_scores_against_plain_features(spark):
+    """The registered query against a plain version: the model that the same sample gives, applied word by word."""
+    from taintloom.llm.queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    texts, known = quality.sample(docs, labels, "text", "doc_id", "quality")
+    want_texts = {r["doc_id"]: (r["text"] or "").encode() for r in pq.read_table(f"{d}/documents.parquet").to_pylist()}
+    marks = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{d}/labels.parquet").to_pylist()}
+    learn = [i for i in marks if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert sorted(zip(texts, known)) == sorted((want_texts[i], marks[i]) for i in learn)
+    model = train(texts, known)
+    for r in QUERIES["op10_quality"](spark, d).collect():
+        at, weight = features(want_texts[r.doc_id], {})
+        want = 1 / (1 + np.exp(-float(weight.astype(float) @ model.odds[at])))
+        assert abs(r.score - want) < 1e-4 and r.predicted == (r.score >= 0.5)
