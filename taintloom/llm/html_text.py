@@ -2,18 +2,21 @@
 
 Every block of text belongs to a path of tags from the root to its block element. Text length, punctuation,
 links and the number of blocks are summed for each path; a path's ratio is its text and punctuation for each
-block, with linked text taken off. Ratios are smoothed along the order of first appearance, fused with those
-of the path itself, and thresholded. The paths that pass choose the content element: the lowest element around
-all article and main elements that hold them, or else around all of their blocks. Its blocks are the result,
-short ones too, and the headings before it, without those under tags, roles or class names of page furniture.
+block, with linked text taken off. Ratios are smoothed along the order of first appearance and fused with those
+of the path itself and with what the path's tags, roles and class names say: nothing for page furniture, much for
+paths in article and main elements. Paths whose ratio passes the threshold choose the content: the lowest element
+around all of their blocks, and around the whole article or main elements that hold them. All of its blocks but
+those without a ratio are the result, short ones too, and the headings before it.
+
+Elements are numbered as they open, and paths are numbers in a table: no step looks at all open elements, so time
+and memory grow with the page, however deep it is nested.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
 from dataclasses import dataclass, field
-from functools import reduce
 from html import unescape
 
 import numpy as np
@@ -34,7 +37,7 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dd dt".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("tr", "td", "th", "thead"), "tfoot": ("tr", "td", "th", "tbody")}
 BOUNDARY = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",)}
-FURNITURE_TAGS = frozenset("nav footer aside form script style noscript template head title textarea select button iframe object svg menu dialog input datalist canvas audio video".split())
+FURNITURE_TAGS = frozenset("nav footer aside script style noscript template head title textarea select button iframe object svg menu dialog input datalist canvas audio video".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 # a name is furniture if all its parts say so or only say where; one part of a longer name says nothing
 _OTHERS = r"ads?|advert\w*|adsense|adbox|sponsor\w*|promo\w*|sidebar|side-?bar|footer|related|recommend\w*|widgets?|comments?|respond|reply|replies|disqus"
@@ -51,18 +54,37 @@ TOKENS = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[
 ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|hidden|style|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 
-@dataclass
+#: What a path's tags and names say of its text.
+FURNITURE, PLAIN, MAIN = 0.0, 1.0, 30.0
+#: Share of the page's sentences that makes a form the page itself, as some servers wrap pages in one.
+WRAPS = 0.8
+
+
+@dataclass(slots=True, eq=False)
 class Element:
     tag: str
     parent: Element | None
-    furniture: bool
-    main: bool  # an article or main element
-    named: str  # the names that alone made it furniture, its own or of an element around it
-    path: str
+    order: int  # its number, and that of the last element within it
+    last: int
     depth: int
+    path: int
+    hard: bool  # furniture by tag, role or style, its own or of an element around it
+    named: bool  # furniture by a class name alone
+    others: bool  # a name of other articles than the page's own is among them
+    main: bool  # an article or main element
+    outer: Element | None  # the outermost article or main element around it that is no furniture
+    about: bool  # within an article or main element, furniture or not
+    heading: bool
+    form: Element | None  # the form around it
+    holder: Element | None = None  # the element that text in it belongs to
+    wraps: bool = False  # a form that holds the article
 
+    @property
+    def furniture(self) -> bool:
+        return self.hard or self.named
 
-@dataclass
+
+@dataclass(slots=True, eq=False)
 class Block:
     element: Element
     parts: list[str] = field(default_factory=list)
@@ -76,34 +98,40 @@ def _attributes(rest: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(rest)}
 
 
-def _element(tag: str, rest: str, parent: Element | None) -> Element:
+def _root() -> Element:
+    root = Element("", None, 0, 0, 0, 0, False, False, False, False, None, False, False, None)
+    root.holder = root
+    return root
+
+
+def _element(tag: str, rest: str, parent: Element, order: int, paths: dict[tuple[int, str, bool], int]) -> Element:
     a = _attributes(rest)
     role = a.get("role", "").lower()
     main = tag in ("article", "main") or role in ("main", "article") or "articlebody" in a.get("itemprop", "").lower()
-    bad = parent is not None and parent.furniture
-    named = parent.named if parent is not None else ""
-    if named and main and (tag == "main" or role == "main" or not OTHERS_NAMES.search(named)):
-        bad, named = False, ""  # a class name alone does not hide the page's main element
-    if not bad or named:
+    hard, named, others = parent.hard, parent.named, parent.others
+    if named and main and (tag == "main" or role == "main" or not others):
+        named = others = False  # a class name alone does not hide the page's main element
+    if not hard:
         # a header is the page's own unless it heads the article
-        header = tag == "header" and not _within_main(parent)
+        header = tag == "header" and parent.outer is None
         gone = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
-        hard = tag in FURNITURE_TAGS or header or role in FURNITURE_ROLES or gone
         if not main and tag not in INLINE and tag not in ("html", "body"):
-            own = [m[0] for k in ("class", "id") for m in FURNITURE_NAMES.finditer(a.get(k, ""))]
-            named = " ".join(filter(None, [named, *own]))
+            for k in ("class", "id"):
+                for m in FURNITURE_NAMES.finditer(a.get(k, "")):
+                    named, others = True, others or bool(OTHERS_NAMES.search(m[0]))
+        hard = tag in FURNITURE_TAGS or header or role in FURNITURE_ROLES or gone
         if hard:
-            named = ""
-        bad = hard or bool(named)
-    depth = parent.depth + 1 if parent else 0
-    return Element(tag, parent, bad, main, named, (parent.path + "/" if parent else "") + tag, depth)
-
-
-def _up(e: Element | None) -> Iterator[Element]:
-    """The element and all around it."""
-    while e is not None:
-        yield e
-        e = e.parent
+            named = others = False
+    path = paths.setdefault((parent.path, tag, hard or named), len(paths) + 1)
+    e = Element(tag, parent, order, order, parent.depth + 1, path, hard, named, others, main, parent.outer, parent.about or main, parent.heading or tag in HEADINGS, parent.form)
+    if main and e.outer is None and not e.furniture:
+        e.outer = e
+    if e.form is not None and main and not e.furniture:
+        e.form.wraps = True
+    if tag == "form":
+        e.form = e
+    e.holder = e if tag not in INLINE or e.furniture else parent.holder
+    return e
 
 
 def _tells(b: Block) -> bool:
@@ -111,23 +139,15 @@ def _tells(b: Block) -> bool:
     return b.linked * 2 < len(b.text) and bool(PUNCTUATION.search(b.text))
 
 
-def _within_main(e: Element | None) -> bool:
-    return any(x.main and not x.furniture for x in _up(e))
-
-
 def blocks(html: str) -> list[Block]:
     """The blocks of a page in order, texts decoded and with single spaces; blocks without text are left out."""
-    root = Element("", None, False, False, "", "", 0)
-    open_: list[Element] = [root]
+    open_: list[Element] = [_root()]
+    where: dict[str, list[int]] = {}  # for each tag the places of its open elements
+    paths: dict[tuple[int, str, bool], int] = {}
+    endless: set[str] = set()
     out: list[Block] = []
     now: Block | None = None
-    links = 0
-
-    def holder() -> Element:
-        for e in reversed(open_):
-            if e.tag not in INLINE or e.furniture:
-                return e
-        return root
+    links = made = 0
 
     def add(text: str) -> None:
         nonlocal now
@@ -136,29 +156,44 @@ def blocks(html: str) -> list[Block]:
         if now is None:
             if text.isspace():
                 return
-            now = Block(holder())
+            now = Block(open_[-1].holder)
             out.append(now)
-        elif now.element is not (h := holder()) and not text.isspace():
+        elif now.element is not (h := open_[-1].holder) and not text.isspace():
             now = Block(h)
             out.append(now)
         now.parts.append(text)
         if links:
             now.linked += len(text)
 
+    def close() -> Element:
+        nonlocal links
+        e = open_.pop()
+        where[e.tag].pop()
+        links -= e.tag == "a"
+        e.last = made
+        return e
+
     def close_to(tags: tuple[str, ...], stop: tuple[str, ...]) -> None:
         """Close elements down to the outermost of tags above the innermost of stop."""
-        nonlocal now, links
-        at = None
-        for i in range(len(open_) - 1, 0, -1):
-            if open_[i].tag in stop:
-                break
-            if open_[i].tag in tags:
-                at = i
+        nonlocal now
+        least = max((where[t][-1] for t in stop if where.get(t)), default=0)
+        above = [(own, bisect_right(own, least)) for t in tags if (own := where.get(t))]
+        at = min((own[i] for own, i in above if i < len(own)), default=None)
         if at is not None:
-            links -= sum(e.tag == "a" for e in open_[at:])
-            del open_[at:]
+            while len(open_) > at:
+                close()
             now = None
 
+    def after(tag: str, at: int) -> int | None:
+        """The place behind the next end tag, if there is one."""
+        if tag in endless:
+            return None
+        end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
+        if end is None:
+            endless.add(tag)
+            return None
+        return end.end()
+
     at, size = 0, len(html)
     while at < size:
         lt = html.find("<", at)
@@ -181,16 +216,15 @@ def blocks(html: str) -> list[Block]:
         if m["close"]:
             if tag == "br":
                 add(" ")
-            elif tag == "p" and not any(e.tag == "p" for e in open_):
-                now = None
-            elif any(e.tag == tag for e in open_):
+            elif where.get(tag):
                 while True:
-                    e = open_.pop()
-                    links -= e.tag == "a"
+                    e = close()
                     if e.tag not in INLINE or e.furniture:
                         now = None
                     if e.tag == tag:
                         break
+            elif tag == "p":
+                now = None
             continue
         if tag in ENDS_P:
             close_to(("p",), ("button", "table", "object", "td", "th"))
@@ -203,85 +237,90 @@ def blocks(html: str) -> list[Block]:
                 now = None
             continue
         if tag in ANNOTATIONS:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
-            at = end.end() if end else at
+            at = after(tag, at) or at
             continue
-        e = _element(tag, m["rest"], open_[-1])
         if tag not in INLINE:
             now = None
         if tag in RAW or tag in ("noscript",):
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
-            at = end.end() if end else size
+            at = after(tag, at) or size
             continue
-        open_.append(e)
+        made += 1
+        open_.append(_element(tag, m["rest"], open_[-1], made, paths))
+        where.setdefault(tag, []).append(len(open_) - 1)
         links += tag == "a"
+    for e in open_:
+        e.last = made
     for b in out:
         b.text = " ".join("".join(b.parts).split())
     return [b for b in out if b.text]
 
 
-def path_ratios(found: list[Block]) -> dict[str, float]:
-    """The fused and smoothed ratio of every path, in order of appearance."""
-    sums: dict[str, np.ndarray] = {}
-    for b in found:
-        s = sums.setdefault(b.element.path, np.zeros(4))
+def priors(every: list[Block]) -> list[float]:
+    """What the elements around each block say of it."""
+    told = sum(len(b.text) for b in every if not b.element.furniture and _tells(b))
+    within: dict[Element, tuple[int, int]] = {}
+    for b in every:
+        if b.element.form is not None and not b.element.furniture and _tells(b):
+            n, size = within.get(b.element.form, (0, 0))
+            within[b.element.form] = n + 1, size + len(b.text)
+    wraps = {f for f, (n, size) in within.items() if n >= 3 and size >= WRAPS * told}
+
+    def one(e: Element) -> float:
+        if e.furniture or e.form is not None and not e.form.wraps and e.form not in wraps:
+            return FURNITURE
+        return PLAIN if e.outer is None else MAIN
+
+    out = [one(b.element) for b in every]
+    if not any(p and _tells(b) for p, b in zip(out, every)):
+        # names have hidden all sentences: articles among them are the page's own then
+        lifted = [p or (PLAIN if b.element.named and b.element.about else FURNITURE) for p, b in zip(out, every)]
+        if any(p and _tells(b) for p, b in zip(lifted, every)):
+            out = lifted
+    return out if any(out) else [PLAIN if b.element.named else FURNITURE for b in every]
+
+
+def path_ratios(every: list[Block], said: list[float]) -> list[float]:
+    """For each block the ratio of its path: its own, fused with the smoothed one and with what is said of it."""
+    sums: dict[tuple[int, float], np.ndarray] = {}
+    for b, p in zip(every, said):
+        s = sums.setdefault((b.element.path, p), np.zeros(4))
         s += (len(b.text), len(PUNCTUATION.findall(b.text)), min(b.linked, len(b.text)), 1)
-    if not sums:
-        return {}
-    text, marks, linked, count = np.array(list(sums.values())).T
-    own = (text - linked) / count * np.log1p(marks + 1) * (1 - linked / text)
-    kernel = np.array([0.25, 0.5, 0.25])
+    # smoothed over the paths that may be content: furniture in between says nothing of its neighbours
+    keys = [k for k in sums if k[1]]
+    if not keys:
+        return [0.0] * len(every)
+    text, marks, linked, count = np.array([sums[k] for k in keys]).T
+    own = np.maximum((text - linked) / count * np.log1p(marks + 1) * (1 - linked / text), 1e-9)
     padded = np.pad(own, 1, mode="edge")
-    smooth = np.array([padded[i : i + 3] @ kernel for i in range(len(own))])
-    return dict(zip(sums, np.sqrt(np.maximum(own, 0) * np.maximum(smooth, 0))))
+    smooth = 0.25 * padded[:-2] + 0.5 * padded[1:-1] + 0.25 * padded[2:]
+    fused = dict(zip(keys, (np.sqrt(own * smooth) * [p for _, p in keys]).tolist()))
+    return [fused.get((b.element.path, p), 0.0) for b, p in zip(every, said)]
 
 
 def extract(html: str | None) -> str:
     """The main text, its blocks joined by an empty line; empty if there is none."""
     every = blocks(html or "")
-    found = [b for b in every if not b.element.furniture]
-    if not any(map(_tells, found)):
-        # names have hidden all sentences: articles among them are the page's own then
-        lifted = [b for b in every if not b.element.furniture or b.element.named and any(e.main for e in _up(b.element))]
-        if any(map(_tells, lifted)):
-            found = lifted
-    found = found or [b for b in every if b.element.named]
+    ratios = path_ratios(every, priors(every)) if every else []
+    found = [b for b, r in zip(every, ratios) if r > 0]
     if not found:
         return ""
-    ratios = path_ratios(found)
-    values = np.array(list(ratios.values()))
-    threshold = max(values.std() * 0.5, values.max() * 0.1)
-    passing = [b for b in found if ratios[b.element.path] >= threshold] or found
-    best = _content_element(passing)
-    inside = [any(e is best for e in _up(b.element)) for b in found]
+    values = np.array(list({b.element.path: r for b, r in zip(every, ratios) if r > 0}.values()))
+    threshold = min(max(values.std() * 0.5, values.max() * 0.1), values.max())
+    best = _content_element([b for b, r in zip(every, ratios) if r >= threshold])
+    inside = [best.order <= b.element.order <= best.last for b in found]
     first = inside.index(True)
     start = _headed(found, first, best)
-    return "\n\n".join(b.text for b, within in zip(found[start:], inside[start:], strict=True) if within or b in found[start:first])
-
-
-def _common(a: Element, b: Element) -> Element:
-    """The lowest element around both."""
-    while a is not b:
-        if a.depth >= b.depth:
-            a = a.parent
-        else:
-            b = b.parent
-    return a
+    return "\n\n".join(b.text for i, b in enumerate(found[start:], start) if i < first or inside[i])
 
 
 def _content_element(passing: list[Block]) -> Element:
-    """The lowest element around all passing blocks; around the article and main elements alone if they hold
-    most of the passing text."""
-    total, held = 0, 0
-    mains: list[Element] = []
-    for b in passing:
-        total += len(b.text)
-        around = [e for e in _up(b.element) if e.main and not e.furniture]
-        if around:
-            held += len(b.text)
-            mains.append(around[-1])
-    best = reduce(_common, mains if held >= 0.4 * total else [b.element for b in passing])
-    while best.parent is not None and best.tag in PARTS:
+    """The lowest element around all passing blocks, and around the article and main elements that hold them."""
+    held = [b.element.outer or b.element for b in passing]
+    best, end = min(held, key=lambda e: e.order), max(e.order for e in held)
+    while best.last < end:
+        best = best.parent
+    # a cell with blocks of its own is a column of the page's layout
+    while best.parent is not None and best.tag in PARTS and not (best.tag == "td" and all(e is not best for e in held)):
         best = best.parent
     return best
 
@@ -289,11 +328,13 @@ def _content_element(passing: list[Block]) -> Element:
 def _headed(found: list[Block], first: int, best: Element) -> int:
     """Where the headings start that stand before the content element, with the lines between: beside it, in an
     element around both with no list of links between, or right before it."""
-    start = first
+    start, around = first, best
     for i in range(first - 1, -1, -1):
-        around = _common(found[i].element, best)
+        e = found[i].element
+        while not around.order <= e.order <= around.last:
+            around = around.parent
         within = around.tag not in ("", "html", "body") and (around is best.parent or found[i].linked * 2 <= len(found[i].text))
-        if any(e.tag in HEADINGS for e in _up(found[i].element)) and (within or i == start - 1):
+        if e.heading and (within or i == start - 1):
             start = i
         elif not within:
             break
@@ -313,7 +354,7 @@ def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages with text and n_chars, from the whole html; columns of these names are replaced.
 
     A null or empty page has an empty text. Broken markup is read as far as it goes: unclosed elements end
-    with the page. Rows are independent, so repeats, ties and empty tables need no care.
+    with the page. Time and memory grow with a page's length alone, not with its depth. Rows are independent, so repeats, ties and empty tables need no care.
     """
     prepare(pages.sparkSession)
     out = pages.withColumn("__text", _extracted(F.col(html)))

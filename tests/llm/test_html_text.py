@@ -1,6 +1,7 @@
 import duckdb
 import pytest
 
+from taintloom.llm import html_text
 from taintloom.llm.html_text import blocks, extract, extract_pages
 from taintloom.llm.queries import ORACLES, QUERIES
 
@@ -83,3 +84,43 @@ def test_columns_and_empty_table(spark):
     got = {(r.page_id, r.text, r.n_chars) for r in extract_pages(df).collect()}
     assert got == {(1, "", 0), (2, LONG.strip(), len(LONG.strip()))}
     assert extract_pages(df.limit(0)).collect() == []
+
+
+def test_ratios_decide(monkeypatch):
+    """Furniture without a telling tag or name goes by the ratios of its paths alone."""
+    body = "".join(f"<p>{n} {LONG}</p>" for n in "abcd")
+    want = [f"{n} {LONG.strip()}" for n in "abcd"]
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Section {i}</a></li>" for i in range(9)) + "</ul>"
+    pages = [
+        page(f"<div><div>{links}</div><div>{body}</div><div><span>Prev</span> <span>Next</span></div></div>"),
+        page(f"<table><tr><td>{links}</td><td>{body}</td></tr></table>"),
+        page(f"<div>{links}</div><div><article>{body}</article></div><div><p>About us</p></div>"),
+        page(f"<center>Welcome</center><div id=b>{body}</div><font>top of page</font>"),
+    ]
+    for html in pages:
+        assert extract(html).split("\n\n") == want, html
+    monkeypatch.setattr(html_text, "path_ratios", lambda every, said: [1.0] * len(every))
+    for html in pages:
+        assert extract(html).split("\n\n") != want
+
+
+def test_pages_wrapped_in_a_form():
+    body = "".join(f"<p>{n} {LONG}</p>" for n in "abcd")
+    want = [f"{n} {LONG.strip()}" for n in "abcd"]
+    for inner in (f"<article>{body}</article>", f"<div class=content>{body}</div>", f"<main><div>{body}</div></main>"):
+        got = extract(page(f'<form id="aspnetForm"><input type=hidden><nav><a href=/>Home, here</a></nav>{inner}<select><option>x</select></form>'))
+        assert got.split("\n\n") == want, inner
+    search = f"<form><p>Search, if you like.</p><input></form><article>{body}</article>"
+    assert extract(page(search)).split("\n\n") == want
+
+
+@pytest.mark.parametrize("part,close", [("<div>", "</div>"), ("<div><p>a, b.", ""), ('<div class="widget"><b><i>a', "</q>"), ("<ul><li>", ""), ("<header>b", ""), ("<form><annotation>", "")])
+def test_time_grows_with_the_page_not_its_depth(part, close):
+    import time
+
+    n, took = 100_000, []
+    for k in (n // 4, n):
+        began = time.perf_counter()
+        extract(part * k + "x." + close * k)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 and took[1] < 4 * 2.5 * took[0] + 0.5
