@@ -5,7 +5,9 @@
 The parser cuts at every "</s>", takes the role up to the first mark and the text behind it. Each turn is
 first rendered as it is, parsed and compared; where that does not give back role and text, or one of them holds
 a control string, it is rendered with the mark "[INST!]" and both escaped: no "<" or "[" is left in them, so no control string can be.
-Escaping changes single characters and is undone exactly, so one more round is always enough.
+Escaping changes single characters and is undone exactly, so one more round is always enough; what is escaped is
+parsed and compared too. The joined conversation is parsed once more as a whole and compared to its turns; if it
+differed, every turn of it would be escaped.
 """
 
 from __future__ import annotations
@@ -45,12 +47,25 @@ def parse(formatted: Column) -> Column:
     return F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), turn)
 
 
+def _escaped(role: Column, text: Column) -> Column:
+    return F.concat(F.lit(OPEN), escape(role), F.lit(MARK_ESCAPED), escape(text), F.lit(CLOSE))
+
+
 def render(role: Column, text: Column) -> Column:
     """One turn; escaped where role or text holds a control string or the plain form does not read back as it was."""
+    source = F.array(F.struct(role.alias("role"), text.alias("text")))
     plain = F.concat(F.lit(OPEN), role, F.lit(MARK), text, F.lit(CLOSE))
-    same = parse(plain) == F.array(F.struct(role.alias("role"), text.alias("text")))
     control = reduce(Column.__or__, [F.contains(x, F.lit(c)) for x in (role, text) for c in (OPEN, MARK, MARK_ESCAPED, CLOSE)])
-    return F.when(same & ~control, plain).otherwise(F.concat(F.lit(OPEN), escape(role), F.lit(MARK_ESCAPED), escape(text), F.lit(CLOSE)))
+    escaped = _escaped(role, text)
+    lost = F.raise_error(F.lit("a turn does not read back"))
+    return F.when(~control & (parse(plain) == source), plain).when(parse(escaped) == source, escaped).otherwise(lost)
+
+
+def whole(shown: Column) -> Column:
+    """The turns as one text that reads back to them: joined as they are, or else all escaped."""
+    own = F.flatten(F.transform(shown, parse))
+    joined = F.array_join(shown, "")
+    return F.when(parse(joined) == own, joined).otherwise(F.array_join(F.transform(own, lambda t: _escaped(t["role"], t["text"])), ""))
 
 
 def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -64,9 +79,9 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     rows = turns.select(
         F.col(conv).alias("conv_id"), F.struct(F.col(turn).alias("turn"), render(F.coalesce(role, F.lit("")), F.coalesce(text, F.lit(""))).alias("shown")).alias("x")
     )
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list("x"), _nulls_first), lambda x: x["shown"]), "")
-    out = rows.groupBy("conv_id").agg(joined.alias("formatted"))
-    return out.withColumn("turns", parse(F.col("formatted")))
+    shown = F.transform(F.array_sort(F.collect_list("x"), _nulls_first), lambda x: x["shown"])
+    out = rows.groupBy("conv_id").agg(shown.alias("shown"))
+    return out.select("conv_id", whole(F.col("shown")).alias("formatted")).withColumn("turns", parse(F.col("formatted")))
 
 
 def _nulls_first(a: Column, b: Column) -> Column:

@@ -96,13 +96,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
-# formatted_chars: 3 + 6 + 4 characters of marks a turn; conversation -1 has 2 marks escaped in each turn
+# formatted_chars: 3 + 6 + 4 characters of marks a turn, one more where role or text holds a control string; there
+# each \, < and [ of them takes two characters
 ORACLES["op7_chat"] = """
 WITH turns AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
     UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), marked AS (
-    SELECT *, contains(role || text, '<s>') OR contains(text, '</s>') OR contains(role, '</s>') OR contains(role, '[INST') AS clash,
+    SELECT *, len(list_filter(['<s>', '</s>', '[INST]', '[INST!]'], lambda c: contains(role, c) OR contains(text, c))) > 0 AS clash,
            length(role || text) AS n, length(regexp_replace(role || text, '[^<\\[\\\\]', '', 'g')) AS more
     FROM turns
 )

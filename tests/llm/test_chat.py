@@ -56,5 +56,33 @@ def test_query_and_sql(spark):
     assert clash[3] == len(text)
 
 
+def test_query_and_sql_with_control_strings_everywhere(spark, tmp_path):
+    import duckdb
+
+    from taintloom.llm.queries import ORACLES, QUERIES
+
+    marks = [OPEN, CLOSE, MARK, "[INST!]", "[INST", "</s", "\\", "<", "[x]"]
+    texts = [None, "", "plain", *[f(m) for m in marks for f in (lambda m: m, lambda m: m + " at the start", lambda m: "at the end " + m, lambda m: f"in {m} the {m}{m} middle", lambda m: f"\n{m}\\{m}\n")]]
+    rows = [(c, t, role, x) for c, role in enumerate(["user", "assistant", "system", "a[INST]b", "<s>", "x</s>", "[INST!]", "\\["]) for t, x in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    duckdb.sql(f"create or replace view conversations as from '{tmp_path}/conversations.parquet/*.parquet'")
+    q = QUERIES["op7_chat"](spark, str(tmp_path))
+    got = sorted(tuple(r) for r in q.collect())
+    assert got == sorted(duckdb.sql(f"select {', '.join(q.columns)} from ({ORACLES['op7_chat']})").fetchall())
+    assert len(got) == 9
+
+
+def test_a_conversation_that_does_not_read_back_is_escaped(spark):
+    """Turns that were not rendered here: joined, they would read as others."""
+    from taintloom.llm.chat import parse, whole
+
+    good = ["<s>user[INST]a</s>", "<s>bot[INST]b [ c</s>"]
+    loose = ["<s>user[INST]a</s>", "<s>bot[INST]b</s", "><s>x[INST]c</s>"]
+    df = spark.createDataFrame([(good,), (loose,)], "shown array<string>").withColumn("w", whole(F.col("shown"))).withColumn("t", parse(F.col("w")))
+    one, other = df.collect()
+    assert one.w == "".join(good) and [(t.role, t.text) for t in one.t] == [("user", "a"), ("bot", "b [ c")]
+    assert other.w != "".join(loose) and other.w.count("[INST!]") == len(other.t)
+
+
 def test_empty_table(spark):
     assert format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
