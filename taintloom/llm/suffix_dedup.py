@@ -12,7 +12,7 @@ one phrase region. Two levels of names stand for suffix order:
 A suffix array is needed here only for "which suffixes agree on 200 bytes", that is for its equal
 classes, so suffixes get names (hashes, as in naming by prefix doubling) and are grouped, not sorted:
 grouping combines before a shuffle and splits hot names, a total order does neither. What counts as
-equal agrees on two names, of 128 bits together.
+equal agrees on two names, of 128 bits together; texts are told apart by two hashes, of as many bits.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ WINDOW = 200  # bytes that must agree
 GRAM = 16  # bytes a trigger's hash covers
 SPAN = 160  # positions of a window among which its trigger lies
 TAIL = WINDOW - SPAN + 1  # bytes from a trigger on that all its windows hold
+SECOND = 7  # what sets the second hash of a text apart
 STEPS = (16, 4, 1)  # windows of a region compared as one: runs of so many, in turn
 CHUNK = 1 << 18  # window starts handled at once
 
@@ -181,14 +182,14 @@ def _contexts(batches):
     """The bytes of each region that stands for a mixed parse name: all its windows."""
     for batch in batches:
         out = []
-        for t, text, flags in zip(batch.column(0).to_pylist(), batch.column(1), _lists(batch.column(2), "parse", "region", "kind")):
+        for t, u, text, flags in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), _lists(batch.column(3), "parse", "region", "kind")):
             text = text.as_py()
             for lo, hi, trigger, kind in _each_region(text, flags):
                 if kind:
-                    out.append((t, lo, trigger - lo, trigger - hi, kind == 2, text[lo : hi + WINDOW]))
+                    out.append((t, u, lo, trigger - lo, trigger - hi, kind == 2, text[lo : hi + WINDOW]))
         for k in range(0, len(out), 5000):
-            tid, lo, far, near, edge, context = zip(*out[k : k + 5000])
-            yield pa.RecordBatch.from_arrays([pa.array(tid), pa.array(lo), pa.array(far), pa.array(near), pa.array(edge), pa.array(context, pa.binary())], ["tid", "lo", "far", "near", "edge", "context"])
+            tid, uid, lo, far, near, edge, context = zip(*out[k : k + 5000])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (tid, uid, lo, far, near, edge)] + [pa.array(context, pa.binary())], ["tid", "uid", "lo", "far", "near", "edge", "context"])
 
 
 def _parts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,10 +207,10 @@ def _runs(step: int):
 
     def run(batches):
         for batch in batches:
-            tid, lo, far, edge = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            joined, offsets = byte_slices(batch.column(4))
+            tid, uid, lo, far, edge = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            joined, offsets = byte_slices(batch.column(5))
             first, second = _Hashes(joined, 0), _Hashes(joined, 1)
-            lists = batch.column(5)
+            lists = batch.column(6)
             row0 = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
             start, end = (lists.flatten().field(k).to_numpy() for k in ("lo", "hi"))
             high, low = lo[row0] + far[row0] - start, lo[row0] + far[row0] - end
@@ -220,7 +221,7 @@ def _runs(step: int):
             a, b = np.minimum(high[part], bucket * step + step - 1), np.maximum(low[part], bucket * step)
             hull = first.of(trigger - a, a - b + WINDOW) ^ a.astype(np.uint64)
             at = lo[row] + far[row]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (tid[row], lo[row], at - a, at - b, core.view(np.int64), hull.view(np.int64), edge[row])], ["tid", "region", "lo", "hi", "name", "hull", "edge"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (tid[row], uid[row], lo[row], at - a, at - b, core.view(np.int64), hull.view(np.int64), edge[row])], ["tid", "uid", "region", "lo", "hi", "name", "hull", "edge"])
 
     return run
 
@@ -244,12 +245,12 @@ def _cutter(with_text: bool):
     def run(batches):
         for batch in batches:
             rows = []
-            for t, text, flags, found in zip(batch.column(0).to_pylist(), batch.column(1), _lists(batch.column(2), "parse", "region", "kind"), _lists(batch.column(3), "lo", "hi")):
+            for t, u, text, flags, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), _lists(batch.column(3), "parse", "region", "kind"), _lists(batch.column(4), "lo", "hi")):
                 n, runs, left = _cut(text.as_py(), flags, found)
-                rows.append((t, n, runs, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if with_text else None))
+                rows.append((t, u, n, runs, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if with_text else None))
             if rows:
                 columns = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))], ["__tid", "n_removed", "n_spans", "kept_sha256", "kept"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))], ["__tid", "__uid", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return run
 
@@ -266,9 +267,11 @@ def suffix_dedup(docs: DataFrame, text: str = "text", with_text: bool = False) -
     spark = docs.sparkSession
     prepare(spark)
     made = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    keyed = docs.drop(*made, "__b", "__tid").withColumn("__b", utf8(text)).withColumn("__tid", F.xxhash64("__b"))
-    source = keyed.select("__tid", "__b").filter(F.octet_length("__b") >= WINDOW)
-    phrases = written(source.mapInArrow(_phrases, "tid long, parse long, region long, n int"))
+    keyed = docs.drop(*made, "__b", "__tid", "__uid", "__size", "__sha").withColumn("__b", utf8(text))
+    # texts that share the first hash are taken apart by the second as soon as places in them count
+    keyed = keyed.withColumns({"__tid": F.xxhash64("__b"), "__uid": F.xxhash64(F.lit(SECOND), "__b")})
+    source = keyed.select("__tid", "__uid", "__b").filter(F.octet_length("__b") >= WINDOW)
+    phrases = written(source.select("__tid", "__b").mapInArrow(_phrases, "tid long, parse long, region long, n int"))
     # parse names that occur twice; mixed: before different phrase regions
     names = phrases.groupBy("parse").agg(F.sum("n").alias("n"), F.min("region").alias("r0"), F.max("region").alias("r1"))
     # written, here and below: a join of two plain tables, so that Spark can split a hot name
@@ -282,33 +285,36 @@ def suffix_dedup(docs: DataFrame, text: str = "text", with_text: bool = False) -
     flagged = shared.filter("not mixed").select("tid", "parse", "region", F.lit(0).alias("kind"))
     flagged = flagged.unionByName(mixed.select("tid", "parse", "region", kind.alias("kind")))
     flags = flagged.groupBy(F.col("tid").alias("__tid")).agg(F.collect_set(F.struct("parse", "region", "kind")).alias("flags"))
-    texts = source.groupBy("__tid").agg(F.first("__b").alias("__b"))
-    touched = written(texts.join(flags, "__tid"))
+    texts = source.groupBy("__tid", "__uid").agg(F.first("__b").alias("__b"))
+    touched = written(texts.join(flags, "__tid").select("__tid", "__uid", "__b", "flags"))
     forget(shared)
     standing = touched.filter(F.exists("flags", lambda f: f["kind"] > 0))
-    contexts = written(standing.mapInArrow(_contexts, "tid long, lo long, far long, near long, edge boolean, context binary"))
+    contexts = written(standing.mapInArrow(_contexts, "tid long, uid long, lo long, far long, near long, edge boolean, context binary"))
     interval = F.struct("lo", "hi")
     whole = F.array(F.struct("lo", (F.col("lo") + F.col("far") - F.col("near")).alias("hi")))
     opened = contexts.withColumn("runs", whole)
     found, made = [], []
     for step in STEPS:
         if step != STEPS[0]:
-            still = runs.filter("mixed").groupBy("tid", F.col("region").alias("lo")).agg(F.collect_list(interval).alias("runs"))
-            opened = contexts.join(still, ["tid", "lo"])
-        runs = opened.select("tid", "lo", "far", "edge", "context", "runs").mapInArrow(_runs(step), "tid long, region long, lo long, hi long, name long, hull long, edge boolean")
+            still = runs.filter("mixed").groupBy("tid", "uid", F.col("region").alias("lo")).agg(F.collect_list(interval).alias("runs"))
+            opened = contexts.join(still, ["tid", "uid", "lo"])
+        runs = opened.select("tid", "uid", "lo", "far", "edge", "context", "runs").mapInArrow(_runs(step), "tid long, uid long, region long, lo long, hi long, name long, hull long, edge boolean")
         by = ["name"] if step > 1 else ["name", "hull"]
         names = runs.groupBy(*by).agg(F.count("*").alias("n"), F.min("hull").alias("h0"), F.max("hull").alias("h1"))
         names = written(names.filter("n > 1").select(*by, (F.col("h0") != F.col("h1")).alias("mixed")))
-        runs = written(runs.join(names, by).filter("mixed or edge").select("tid", "region", "lo", "hi", "edge", "mixed"))
-        found.append(runs.filter("edge and not mixed").select(F.col("tid").alias("__tid"), "lo", "hi"))
+        runs = written(runs.join(names, by).filter("mixed or edge").select("tid", "uid", "region", "lo", "hi", "edge", "mixed"))
+        found.append(runs.filter("edge and not mixed").select(F.col("tid").alias("__tid"), F.col("uid").alias("__uid"), "lo", "hi"))
         made.append(runs)
-    found = reduce(DataFrame.unionByName, found).groupBy("__tid").agg(F.collect_list(interval).alias("found"))
-    cut = touched.join(found, "__tid", "left").select("__tid", "__b", "flags", "found")
-    cut = written(cut.mapInArrow(_cutter(with_text), "__tid long, n_removed long, n_spans long, kept_sha256 string, kept string").select("__tid", F.struct("n_removed", "n_spans", "kept_sha256", "kept").alias("__cut")))
+    text_of = ["__tid", "__uid"]
+    found = reduce(DataFrame.unionByName, found).groupBy(*text_of).agg(F.collect_list(interval).alias("found"))
+    cut = touched.join(found, text_of, "left").select(*text_of, "__b", "flags", "found")
+    cut = cut.mapInArrow(_cutter(with_text), "__tid long, __uid long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    cut = written(cut.select(*text_of, F.struct("n_removed", "n_spans", "kept_sha256", "kept").alias("__cut")))
     for old in (touched, contexts, *made):
         forget(old)
-    out = keyed.join(cut, "__tid", "left")
-    size = F.octet_length("__b").cast("long")
-    none = {"n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"), "kept_sha256": F.sha2("__b", 256)}
-    out = out.withColumns({"n_bytes": size} | {k: F.coalesce(F.col(f"__cut.{k}"), v) for k, v in none.items()} | ({"kept": F.coalesce(F.col("__cut.kept"), F.col(text))} if with_text else {}))
-    return out.drop("__b", "__tid", "__cut")
+    # sizes and hashes are taken before the join, so that bytes are not shuffled for them
+    sized = keyed.withColumns({"__size": F.octet_length("__b").cast("long"), "__sha": F.sha2("__b", 256)}).drop("__b")
+    out = sized.join(cut, text_of, "left")
+    none = {"n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"), "kept_sha256": F.col("__sha")}
+    out = out.withColumns({"n_bytes": F.col("__size")} | {k: F.coalesce(F.col(f"__cut.{k}"), v) for k, v in none.items()} | ({"kept": F.coalesce(F.col("__cut.kept"), F.col(text))} if with_text else {}))
+    return out.drop(*text_of, "__cut", "__size", "__sha")

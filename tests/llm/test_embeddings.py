@@ -1,6 +1,7 @@
 import os
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from taintloom.llm.embeddings import CELL, GROUP, GROUPS, near_embeddings, needed, shared_cell_chance
@@ -63,21 +64,49 @@ def test_against_brute_force(spark, part):
     assert sum(got[i].component_id == c for i, (_, c) in want.items()) / len(want) > 0.98
 
 
-def test_recall_on_the_table(spark):
+def recall(spark, rows):
+    """Of the links of every row whose id is divisible by 100 with all rows, those found; by n_links against numpy."""
+    x = np.array([v for _, v, _ in rows], np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids, label = np.array([i for i, _, _ in rows]), np.array([lab for _, _, lab in rows])
+    asked = np.flatnonzero(ids % 100 == 0)
+    near = (x[asked] @ x.T >= 0.98) & (label[asked, None] == label)
+    want = dict(zip(ids[asked].tolist(), (near.sum(1) - 1).tolist()))
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA).repartition(3)
+    got = {r.vec_id: r.n_links for r in near_embeddings(df).collect() if r.vec_id % 100 == 0}
+    assert got.keys() == want.keys() and all(got[i] <= n for i, n in want.items())
+    return sum(want.values()), sum(got.values())
+
+
+def test_recall_on_the_table_with_planted_links(spark):
+    """The tables hold no links of their own: rows asked for get neighbours at every cosine from 0.97 to 1."""
+    rows = [(r["vec_id"], r["embedding"], r["label"]) for r in pq.read_table("/root/testdata/sf0.1/embeddings.parquet").to_pylist()]
+    r = np.random.default_rng(4)
+    asked = [row for row in rows if row[0] % 100 == 0]
+    assert len(asked) >= 20
+    top = max(i for i, _, _ in rows) + 1
+    more = []
+    for _, v, lab in asked:
+        v = np.array(v, float)
+        v /= np.linalg.norm(v)
+        for cosine in np.linspace(0.97, 0.9999, 60):
+            w = r.standard_normal(len(v))
+            w -= (w @ v) * v
+            w = v * cosine + w / np.linalg.norm(w) * np.sqrt(1 - cosine * cosine)
+            more.append((top + len(more), (w * r.uniform(0.2, 5)).tolist(), lab))
+    rows = [(i if i < top else i * 100 + 1, [float(c) for c in v], lab) for i, v, lab in rows + more]
+    links, found = recall(spark, rows)
+    assert links > 30 * len(asked) and found / links >= 0.97
+
+
+def test_recall_on_the_check_table(spark):
     path = "/root/testdata/check_s/embeddings.parquet"
     if not os.path.isdir(path):
-        pytest.skip("the smaller tables hold no links")
-    df = spark.read.parquet(path).filter("label in (1, 5)")
-    rows = df.collect()
-    x = np.array([r.embedding for r in rows], float)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    label = np.array([r.label for r in rows])
-    near = (x @ x.T >= 0.98) & (label[:, None] == label)
-    want = dict(zip([r.vec_id for r in rows], (near.sum(1) - 1).tolist()))
-    got = {r.vec_id: r for r in near_embeddings(df).collect()}
-    links = sum(want.values())
-    assert all(got[i].n_links <= n for i, n in want.items())
-    assert links and sum(r.n_links for r in got.values()) / links > 0.97
+        path = "/root/testdata/sf0.01/embeddings.parquet"
+    rows = [(r["vec_id"], r["embedding"], r["label"]) for r in pq.read_table(path).to_pylist()]
+    rows = [r for r in rows if r[1] is not None and r[2] is not None and all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1])]
+    links, found = recall(spark, rows)
+    assert found >= 0.97 * links
 
 
 def test_calibration():

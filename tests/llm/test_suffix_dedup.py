@@ -61,6 +61,19 @@ def test_long_text_in_chunks(spark):
     compare(spark, texts)
 
 
+def test_texts_that_share_a_hash(spark, monkeypatch):
+    """Every text has the same first hash: the second tells them apart."""
+    from pyspark.sql import functions as F
+
+    real = F.xxhash64
+    monkeypatch.setattr(F, "xxhash64", lambda *c: F.lit(5).cast("long") if len(c) == 1 else real(*c))
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    one, two = word(500), word(260)
+    texts = [word(300) + one + word(50), one[40:] + word(700), word(900), two, word(10) + two, two[:230] + word(400), "short", None, word(250)]
+    compare(spark, texts + texts[:2])
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup(df).collect() == []
