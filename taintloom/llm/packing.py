@@ -10,6 +10,7 @@ that length: pieces get their rank within their length, and a search over the pl
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import re
 import zlib
@@ -31,17 +32,30 @@ REMEMBERED = 600_000
 RANKED = 200_000
 GROUPS = 64
 
+# The tokenizer files whose splitting is known here, by their settings
+KNOWN_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+KNOWN_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+KNOWN_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
 # Characters that composing leaves alone and whose lower case needs no context, white space that all agree on
 _OTHER = re.compile(r"[^\t\n\v\f\r -~À-ÖØ-öø-ÿ]|<\|")
 # what the tokenizer splits such text into, in lower case
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 
 
+def splits_words(settings: dict) -> bool:
+    """Whether this tokenizer file splits as is known here, at white space too, with added tokens that start in <| alone."""
+    plain = all(t["content"].startswith("<|") and not any(t[k] for k in ("single_word", "lstrip", "rstrip", "normalized")) and not any(map(str.isspace, t["content"])) for t in settings.get("added_tokens") or [])
+    split = {"type": "Sequence", "pretokenizers": [KNOWN_SPLIT, KNOWN_BYTES]}
+    return plain and settings.get("normalizer") == KNOWN_NORMALIZER and settings.get("pre_tokenizer") == split
+
+
 class WordIds:
     """The ids of a text, as little-endian bytes, from those of its parts, which are remembered.
 
-    The tokenizer never joins over white space, so a text's ids are those of its words; a text of simple
-    characters alone is split into the tokenizer's own parts at once.
+    A tokenizer that splits as is known here never joins over white space, so a text's ids are those of its words;
+    a text of simple characters alone is split into the tokenizer's own parts at once. Any other tokenizer gets
+    whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,6 +63,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.by_words = splits_words(json.load(f))
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.known: dict[str, bytes] = {}
@@ -57,7 +73,12 @@ class WordIds:
     def forget(self) -> None:
         self.known, self.older = {}, {}
 
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_words:
+            return self._ids(texts)
         lists = [t.encode().split() if _OTHER.search(t) else _PARTS.findall(t.lower()) for t in texts]
         lists = [[w.decode() for w in ws] if ws and isinstance(ws[0], bytes) else ws for ws in lists]
         known = self.known
@@ -70,7 +91,7 @@ class WordIds:
         again = [w for w in new if w in older] if older else []
         known.update([(w, older[w]) for w in again])
         new = list(new.difference(again))
-        known.update(zip(new, [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]))
+        known.update(zip(new, self._ids(new)))
         return [b"".join([known[w] for w in ws]) for ws in lists]
 
 
@@ -87,6 +108,7 @@ def _pieces(path: str, size: int, with_ids: bool):
     def run(batches):
         encoder = word_ids(path)
         take_cache("packing", encoder.forget)
+        made = 0
         for batch in batches:
             doc, start, length, crc, total, kept = [], [], [], [], [], []
             texts = batch.column(1).to_pylist()
@@ -105,6 +127,9 @@ def _pieces(path: str, size: int, with_ids: bool):
                             kept.append(piece)
             columns = [batch.column(0).take(pa.array(doc, pa.int64())), *[pa.array(x, pa.int64()) for x in (start, length, crc, total)]]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+            columns.append(pa.array(range(made, made + len(doc)), pa.int64()))
+            names.append("__nth")
+            made += len(doc)
             if with_ids:
                 columns.append(pa.array(kept, pa.binary()))
                 names.append("ids")
@@ -176,16 +201,18 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc
     prepare(docs.sparkSession)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
-    pieces = written(source.mapInArrow(_pieces(tokenizer, size, with_ids), schema))
+    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
+    ids = ", ids binary" * with_ids
+    # __nth: a piece's number in the task that made it, which deals pieces of equal or null ids to all groups
+    pieces = written(source.mapInArrow(_pieces(tokenizer, size, with_ids), schema + ", __nth long" + ids))
     groups = max(GROUPS, pieces.count() // RANKED)
-    pieces = pieces.withColumn("__group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
+    pieces = pieces.withColumn("__group", F.pmod(F.xxhash64("doc_id", "start", "__nth"), F.lit(groups)))
     counts = written(pieces.groupBy("length", "__group").count())
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("count")).collect()}  # at most `size` rows
     rows, _ = plan(histogram, size)
     ahead = Window.partitionBy("length").orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("length", "__group", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("__ahead"))
-    own = F.row_number().over(Window.partitionBy("length", "__group").orderBy("doc_id", "start"))
+    own = F.row_number().over(Window.partitionBy("length", "__group").orderBy("doc_id", "start", "__nth", "ids_crc32"))
     ranked = pieces.withColumn("__rank", own - 1).join(counts, ["length", "__group"])
-    ranked = ranked.select(*pieces.columns[:-1], (F.col("__rank") + F.col("__ahead")).cast("long").alias("__rank"))
-    return ranked.mapInArrow(_placed(rows), schema + ", sequence_id long, offset long")
+    ranked = ranked.select(*[c for c in pieces.columns if c not in ("__nth", "__group")], (F.col("__rank") + F.col("__ahead")).cast("long").alias("__rank"))
+    return ranked.mapInArrow(_placed(rows), schema + ids + ", sequence_id long, offset long")

@@ -100,3 +100,23 @@ def test_plan_covers_each_rank_once():
             at += count
         assert at == c
     assert content.max() <= 512 and content.sum() / (made * 512) > 0.95
+
+
+def test_other_tokenizers_get_whole_texts(spark):
+    texts = corpus()[:120]
+    own, theirs = packing.WordIds(BYTES), Tokenizer.from_file(BYTES)
+    assert not own.by_words and packing.WordIds(WORDS).by_words
+    for t, got in zip(texts, own.encode(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == theirs.encode(t, add_special_tokens=False).ids
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.doc_tokens for r in packing.pack(df, BYTES).collect()}
+    assert got == {i: len(theirs.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+
+
+def test_packing_of_rows_without_ids(spark):
+    """Rows of one or no id are dealt to all groups of ranks, each piece to one place."""
+    df = spark.createDataFrame([(None if i % 2 else 7, "a few words") for i in range(3000)], "doc_id long, text string").repartition(5)
+    rows = packing.pack(df, WORDS).collect()
+    places = {(r.sequence_id, r.offset) for r in rows}
+    assert len(rows) == len(places) == 3000
+    assert sum(r.doc_id is None for r in rows) == 1500
