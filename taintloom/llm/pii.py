@@ -10,12 +10,11 @@ span's shape, which accepts or rejects the candidates. Base spans always stay.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taintloom.llm.common import prepare
+from taintloom.llm.common import forget, prepare, written
 
 KINDS = ("email", "ip", "card", "phone")
 SECRET = len(KINDS)
@@ -171,21 +170,15 @@ def reliabilities(patterns: dict[tuple[int, str], float]) -> dict[tuple[int, str
     return out
 
 
-def span_weights(rows: list[tuple[int, list[str], float, float]]) -> dict[str, float]:
-    """Log odds of each feature of each kind, and of the kind, from (kind, features, posterior mass, count)."""
-    yes: dict[str, float] = defaultdict(float)
-    no: dict[str, float] = defaultdict(float)
-    total: dict[int, list[float]] = defaultdict(lambda: [1.0, 1.0])
-    for kind, features, mass, n in rows:
-        total[kind][1] += mass
-        total[kind][0] += n - mass
-        for f in features:
-            yes[f"{kind}{f}"] += mass
-            no[f"{kind}{f}"] += n - mass
-    out = {f"{k}": math.log(t[1] / t[0]) for k, t in total.items()}
-    for f in yes:
-        t = total[int(f[0])]
-        out[f] = math.log((yes[f] + 0.5) / (t[1] + 5)) - math.log((no[f] + 0.5) / (t[0] + 5))
+def span_weights(rows: list[tuple[int, str, float, float]]) -> dict[str, float]:
+    """Log odds of each feature of each kind, and of the kind, from (kind, feature, posterior mass, count); the
+    feature of the kind itself is empty."""
+    total = {k: (1.0 + n - mass, 1.0 + mass) for k, f, mass, n in rows if not f}
+    out = {f"{k}": math.log(yes / no) for k, (no, yes) in total.items()}
+    for k, f, mass, n in rows:
+        if f:
+            no, yes = total[k]
+            out[f"{k}{f}"] = math.log((mass + 0.5) / (yes + 5)) - math.log((n - mass + 0.5) / (no + 5))
     return out
 
 
@@ -209,13 +202,18 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("__extra", apart)
     seen = df.filter((F.size("__base") > 0) | (F.size("__extra") > 0))
     both = seen.select(F.explode(F.transform(F.concat("__base", "__extra"), lambda x: F.struct(x["kind"].alias("kind"), _votes(x, t).alias("votes"), _shape(x, t).alias("shape")))).alias("x"))
-    # at most 3^VOTERS patterns and a few hundred shapes for each of five kinds
-    counts = both.groupBy("x.kind", "x.votes", "x.shape").count().collect()
-    patterns: dict[tuple[int, str], float] = defaultdict(float)
-    for kind, votes, _, n in counts:
-        patterns[kind, votes] += n
+    # written: both counts below are read from it, not from the texts
+    spans = written(both.groupBy("x.kind", "x.votes", "x.shape").agg(F.count("*").cast("double").alias("n")))
+    # at most 3^VOTERS patterns for each of five kinds
+    patterns = {(r.kind, r.votes): r.n for r in spans.groupBy("kind", "votes").agg(F.sum("n").alias("n")).collect()}
     posterior = reliabilities(patterns)
-    weights = span_weights([(kind, shape, posterior[kind, votes] * n, n) for kind, votes, shape, n in counts])
+    told = ", ".join(f"({k}, '{v}', {p!r}D)" for (k, v), p in posterior.items()) or "(-1, '', 0D)"
+    likely = spans.sparkSession.sql(f"SELECT * FROM VALUES {told} AS p(kind, votes, likely)")
+    masses = spans.join(F.broadcast(likely), ["kind", "votes"]).withColumn("mass", F.col("likely") * F.col("n"))
+    # a row for the kind itself and one for each of its few features
+    masses = masses.select("kind", F.explode(F.concat(F.array(F.lit("")), "shape")).alias("feature"), "mass", "n").groupBy("kind", "feature").agg(F.sum("mass").alias("mass"), F.sum("n").alias("n"))
+    weights = span_weights([tuple(r) for r in masses.collect()])
+    forget(spans)
     table = F.create_map(*[F.lit(x) for pair in (weights or {"": 0.0}).items() for x in pair])
     of = lambda key: F.coalesce(F.try_element_at(table, key), F.lit(0.0))
 
