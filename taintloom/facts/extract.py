@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 
 from taintloom.facts.checks import CHECKS, rejects
 from taintloom.facts.contracts import advice, breaches, flag_reference
-from taintloom.facts.tree import Function, Module, dotted, last_name
+from taintloom.facts.tree import Function, Module, dotted, last_name, of_packages
 from taintloom.functions.domains import GROUP
 
 SCHEMA = (
@@ -43,7 +43,16 @@ def _at(node: ast.AST) -> dict:
     return {"line": getattr(node, "lineno", 1), "col": getattr(node, "col_offset", 0), "end_line": getattr(node, "end_lineno", None), "end_col": getattr(node, "end_col_offset", None)}
 
 
-def file_facts(path: str, raw: bytes) -> Iterator[dict]:
+def _dynamic_import(n: ast.AST, packages: tuple[str, ...] | None) -> str | None:
+    """The literal name that a call imports: any, or one of the packages by __import__ or importlib.import_module."""
+    if not (isinstance(n, ast.Call) and n.args and isinstance(n.args[0], ast.Constant) and isinstance(name := n.args[0].value, str)):
+        return None
+    if packages is None:
+        return name if last_name(n) in ("__import__", "import_module") else None
+    return name if dotted(n.func) in ("__import__", "importlib.import_module") and of_packages(name, packages) else None
+
+
+def file_facts(path: str, raw: bytes, packages: tuple[str, ...] | None = None) -> Iterator[dict]:
     """Rows of one file. A file that cannot be read or parsed gives one row of kind skipped; a check that
     fails on a function gives one of kind tool_error, and the others go on."""
     try:
@@ -53,7 +62,7 @@ def file_facts(path: str, raw: bytes) -> Iterator[dict]:
         yield {"kind": "skipped", "name": type(e).__name__, "line": getattr(e, "lineno", None) or 1, "col": getattr(e, "offset", None) or 0}
         return
     module = module_name(path)
-    m = Module(tree, path, frozenset(GROUP))
+    m = Module(tree, path, frozenset(GROUP), packages)
     yield {"kind": "file", "name": module, "value": hashlib.sha256(raw).hexdigest(), "n": len(m.functions)}
     for name, full in m.aliases.items():
         yield {"kind": "import", "name": name, "target": full}
@@ -61,8 +70,8 @@ def file_facts(path: str, raw: bytes) -> Iterator[dict]:
         if isinstance(n, ast.ImportFrom) and n.module:
             yield from ({"kind": "from_import", "name": a.name, "target": n.module, **_at(n)} for a in n.names if a.name != "*")
     for n in ast.walk(tree):
-        if isinstance(n, ast.Call) and last_name(n) in ("__import__", "import_module") and n.args and isinstance(n.args[0], ast.Constant) and isinstance(n.args[0].value, str):
-            yield {"kind": "dynamic_import", "name": n.args[0].value, **_at(n)}
+        if (named := _dynamic_import(n, packages)) is not None:
+            yield {"kind": "dynamic_import", "name": named, **_at(n)}
         elif isinstance(n, ast.ClassDef):
             fields = [s.target.id for s in n.body if isinstance(s, ast.AnnAssign) and isinstance(s.target, ast.Name)]
             yield {"kind": "class", "name": n.name, "value": ",".join(fields), **_at(n)}
@@ -72,6 +81,7 @@ def file_facts(path: str, raw: bytes) -> Iterator[dict]:
     top = {f.qualname for f in m.functions if "." not in f.qualname}
     classes = {n.name for n in tree.body if isinstance(n, ast.ClassDef)}
     local = frozenset(f"{module}.{f.qualname}" if module else f.qualname for f in m.functions)
+    every = {f.qualname for f in m.functions}
     version = f"{sys.version_info.major}.{sys.version_info.minor}"
     for pos, f in enumerate(m.functions):
         dump = ast.dump(f.node, include_attributes=False, annotate_fields=True)
@@ -88,7 +98,10 @@ def file_facts(path: str, raw: bytes) -> Iterator[dict]:
                 yield {"kind": "mapped", "qualname": f.qualname, "target": on if isinstance(on, str) else None, "value": ",".join(sorted(seen)), **_at(f.node)}
         if f.plain:
             yield {"kind": "rejects", "qualname": f.qualname, "target": f"{module}.{f.qualname}" if module else f.qualname, "flag": rejects(f)}
-            yield from _calls(f, top, classes, {g.qualname for g in m.functions})
+            try:
+                yield from list(_calls(f, top, classes, every))
+            except Exception as e:
+                yield {"kind": "tool_error", "qualname": f.qualname, "name": "calls", "value": repr(e)[:200], **_at(f.node)}
             reached = {m.full_name(c, local, module or "") for c in f.all(ast.Call) if id(c) not in f.dead}
             yield from ({"kind": "reaches", "qualname": f.qualname, "name": f"{module}.{f.qualname}" if module else f.qualname, "target": t} for t in sorted(x for x in reached if x))
         for rule, check in CHECKS.items():
@@ -128,13 +141,16 @@ def _calls(f: Function, top: set[str], classes: set[str], every: set[str]) -> It
     yield {"kind": "call_sites", "qualname": f.qualname, "n": sites, "pos": lost}
 
 
-def facts(sources: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """All facts of a table of sources (path, content as binary). Cache or write it: many plans read it."""
+def facts(sources: DataFrame, path: str = "path", content: str = "content", packages: tuple[str, ...] | None = None) -> DataFrame:
+    """All facts of a table of sources (path, content as binary). Cache or write it: many plans read it.
+
+    packages: whose decorators count, by imports of the module itself; without it a decorator counts by its name.
+    """
 
     def run(batches):
         for b in batches:
             paths, contents = b.column(0).to_pylist(), b.column(1).to_pylist()
-            rows = [dict.fromkeys(COLUMNS) | {"file_path": p} | r for p, raw in zip(paths, contents) for r in file_facts(p, raw or b"")]
+            rows = [dict.fromkeys(COLUMNS) | {"file_path": p} | r for p, raw in zip(paths, contents) for r in file_facts(p, raw or b"", packages)]
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(c, KINDS[t]) for c, t in (x.split() for x in SCHEMA.split(", "))]))
 
     return sources.select(path, content).mapInArrow(run, SCHEMA)

@@ -70,11 +70,18 @@ class Function:
         return any(last_name(d) in names for d in self.node.decorator_list)
 
 
+def of_packages(name: str, packages: tuple[str, ...]) -> bool:
+    """Whether a module's full name is one of the packages or lies in one."""
+    return any(name == p or name.startswith(p + ".") for p in packages)
+
+
 @dataclass
 class Module:
     tree: ast.Module
     path: str
     known: frozenset[str]
+    #: Packages whose decorators count, by the module's own imports; None: those of any package, imported or not.
+    packages: tuple[str, ...] | None = None
     functions: list[Function] = field(default_factory=list)
 
     def __post_init__(self) -> None:
@@ -120,6 +127,8 @@ class Module:
                 continue
             head, _, rest = name.partition(".")
             full = self.aliases.get(head, head) + ("." + rest if rest else "")
+            if self.packages is not None and not (head in self.aliases and of_packages(full.rpartition(".")[0], self.packages)):
+                continue
             if (last := full.rsplit(".", 1)[-1]) in self.known:
                 values = {}
                 if isinstance(d, ast.Call):

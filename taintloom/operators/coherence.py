@@ -151,3 +151,84 @@ def overclaimed(functions: DataFrame) -> DataFrame:
     """Restored functions whose claimed taint has a lower rank than their evidence allows."""
     ceiling = evidence_ceiling(F.col("structural"), F.col("semantic"), F.col("integrity"), F.col("institutional"))
     return functions.withColumn("ceiling", ceiling).filter(rank("claimed") < rank("ceiling"))
+
+
+def test_only_imports(imports: DataFrame, modules: DataFrame, only: DataFrame) -> DataFrame:
+    """Imports (name, module, ...) of names that a module (module, provider) marks test-only (provider, name)."""
+    return imports.join(modules, "module").join(only.select("provider", "name"), ["provider", "name"], "left_semi")
+
+
+test_only_imports.__test__ = False
+
+
+def multi_tier_classes(methods: DataFrame, *by: str) -> DataFrame:
+    """Classes whose methods have more than one tier."""
+    return methods.groupBy(*by).agg(F.count_distinct("tier").alias("n_tiers")).filter("n_tiers > 1")
+
+
+def dependency_taints(calls: DataFrame, declared: DataFrame, full_name: str = "full_name") -> DataFrame:
+    """calls with the taint that the manifest declares for the dependency they call; declared (package, function, taint).
+
+    A call of a declared package to another function than its declared ones is UNKNOWN_RAW; calls elsewhere have null.
+    """
+    exact = declared.select(F.concat_ws(".", "package", "function").alias(full_name), F.col("taint").alias("__taint")).dropDuplicates([full_name])
+    packages = declared.select(F.col("package").alias("__package")).distinct().withColumn("__known", F.lit(True))
+    package = F.substring_index(full_name, ".", 1)
+    out = calls.join(exact, full_name, "left").withColumn("__package", package).join(packages, "__package", "left")
+    return out.withColumn("taint", F.coalesce("__taint", F.when(F.col("__known"), "UNKNOWN_RAW"))).drop("__taint", "__package", "__known")
+
+
+def tier_distribution(modules: DataFrame, limit: float = 60.0) -> DataFrame:
+    """An issue where more than the limit of module tiers are permissive."""
+    share = permissive_distribution(modules, limit).filter("permissive")
+    return issues(share, "tier_distribution", F.lit(""), F.lit(""), F.col("pct").cast("string"))
+
+
+def agent_provenance(register: DataFrame) -> DataFrame:
+    """Exceptions of which it is not known whether an agent asked for them."""
+    return issues(register.filter("agent_originated is null"), "agent_originated_exception", F.lit(""), F.col("location"), F.col("id"))
+
+
+def exception_ages(register: DataFrame, now: str, longest: int = 365) -> DataFrame:
+    """Exceptions that have ended, end too late, or have no date that can be read."""
+    ends, today = F.try_to_date("expires"), F.lit(now).cast("date")
+    what = F.when(F.col("expires").isNotNull() & ends.isNull(), "unreadable").when(ends < today, "expired").when(F.datediff(ends, today) > longest, "too far")
+    return issues(register.withColumn("what", what).filter("what is not null"), "expired_exception", F.lit(""), F.col("location"), F.concat_ws(" ", "id", "what"))
+
+
+def first_scan(spark, perimeter: str | None) -> DataFrame:
+    """An issue where no baseline of the perimeter exists."""
+    rows = [] if perimeter else [("first_scan_perimeter", "", "", "no baseline of the perimeter")]
+    return spark.createDataFrame(rows, "kind string, function string, file_path string, detail string")
+
+
+def every_check(
+    annotations: DataFrame, boundaries: DataFrame, modules: DataFrame, modules_then: DataFrame, evidenced: DataFrame, register: DataFrame,
+    bindings: DataFrame, functions: DataFrame, stated: DataFrame, keys: list[str], now: str, perimeter: str | None,
+) -> DataFrame:
+    """The issues of all fourteen checks, with severity and category."""
+    return union(
+        orphaned_annotations(annotations, boundaries),
+        undeclared_boundaries(boundaries, annotations),
+        tier_distribution(modules),
+        tier_changes(modules, modules_then, evidenced),  # two checks: downgrades, and upgrades without evidence
+        agent_provenance(register),
+        exception_ages(register, now),
+        first_scan(annotations.sparkSession, perimeter),
+        unmatched_contracts(bindings, annotations),
+        stale_bindings(bindings, functions),
+        tier_topology(boundaries, modules),
+        missing_scope(boundaries),
+        weak_restoration(boundaries),
+        evidence_divergence(boundaries, stated, keys),
+    )
+
+
+def suppressing_overrides(overrides: DataFrame) -> DataFrame:
+    """Overrides that silence a rule."""
+    return overrides.filter(F.upper("severity").isin("SUPPRESS", "OFF")).select("rule_id", F.upper("severity").alias("severity"))
+
+
+def widening_boundaries(boundaries: DataFrame) -> DataFrame:
+    """Boundaries to a less trusted tier."""
+    return boundaries.filter("to_tier > from_tier").select("function", "from_tier", "to_tier")

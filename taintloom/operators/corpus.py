@@ -42,3 +42,25 @@ def category_coverage(specimens: DataFrame, floors: DataFrame) -> DataFrame:
     seen = specimens.groupBy("category").agg(F.count_distinct("rule_id").alias("n_rules"), F.array_join(F.array_sort(F.collect_set("rule_id")), ",").alias("rules"))
     out = floors.join(seen, "category", "left").fillna(0, ["n_rules"]).fillna("", ["rules"])
     return out.withColumn("met", F.col("n_rules") >= F.col("floor"))
+
+
+def conformance_gaps(cells: DataFrame, findings: DataFrame, specimens: DataFrame, floors: dict[str, int]) -> DataFrame:
+    """Rows (gap): cells below their floor, errors that no exception covers, rules without adversarial specimens of
+    either kind, and categories with fewer specimens than their floor."""
+    spark = cells.sparkSession
+    failing = cells.agg(F.count_if(F.col("verdict") == "FAIL").alias("n")).filter("n > 0").select(F.concat(F.col("n").cast("string"), F.lit(" cells below floor")).alias("gap"))
+    errors = findings.agg(F.count_if((F.col("severity") == "ERROR") & F.col("exception_id").isNull()).alias("n")).filter("n > 0").select(F.concat(F.col("n").cast("string"), F.lit(" errors without exception")).alias("gap"))
+    rules = findings.filter(F.startswith("rule_id", F.lit("PY-WL-"))).select("rule_id").distinct()
+    kinds = F.explode(F.array(F.lit("adversarial_false_positive"), F.lit("adversarial_false_negative")))
+    missing = rules.select("rule_id", kinds.alias("category")).join(specimens.select("rule_id", "category").distinct(), ["rule_id", "category"], "left_anti")
+    missing = missing.groupBy("category").agg(F.concat(F.col("category"), F.lit(": missing for "), F.array_join(F.array_sort(F.collect_set("rule_id")), ",")).alias("gap")).select("gap")
+    least = spark.createDataFrame(list(floors.items()), "category string, floor int")
+    counts = least.join(specimens.groupBy("category").agg(F.count("*").alias("n")), "category", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    few = counts.filter("n < floor").select(F.concat(F.col("category"), F.lit(": "), F.col("n").cast("string"), F.lit("/"), F.col("floor").cast("string")).alias("gap"))
+    return failing.unionByName(errors).unionByName(missing).unionByName(few)
+
+
+def stale_inputs(recorded: DataFrame, current: DataFrame) -> DataFrame:
+    """(input): inputs (name, value) of a conformance status that are known now and differ from what was recorded."""
+    now = current.filter("value is not null").select(F.col("name").alias("input"), F.col("value").alias("now"))
+    return now.join(recorded.select(F.col("name").alias("input"), "value"), "input", "left").filter(~F.col("value").eqNullSafe(F.col("now"))).select("input")

@@ -138,3 +138,34 @@ def migrate(register: DataFrame, drifted: DataFrame, matrix: DataFrame) -> DataF
 def ranked(register: DataFrame) -> DataFrame:
     """The register with its order within each key, as matching uses it."""
     return register.withColumn("candidate", F.row_number().over(Window.partitionBy("rule_id", "taint_state", "location").orderBy("ordinal")))
+
+
+def scan_stats(register: DataFrame, now: str) -> DataFrame:
+    """One row: active exceptions and the share of expedited ones among them."""
+    live = ~expired(F.col("expires"), now)
+    ratio = F.count_if(live & (F.col("governance_path") == "expedited")) / F.nullif(F.count_if(live), F.lit(0))
+    return register.agg(F.count_if(live).alias("active"), F.round(F.coalesce(ratio, F.lit(0.0)), 4).alias("ratio"))
+
+
+def grant(register: DataFrame, wanted: DataFrame, matrix: DataFrame) -> DataFrame:
+    """wanted (id, rule_id, taint_state, location, expires, agent_originated, ast_fingerprint, ...) with what a register
+    row needs: exceptionability, severity_at_grant, recurrence_count and provenance; and `refused`, the first reason
+    against each, or null. Granted rows are those without a reason."""
+    cell = matrix.select("rule_id", "taint_state", "exceptionability", F.col("severity").alias("severity_at_grant"))
+    known = wanted.join(F.broadcast(cell), ["rule_id", "taint_state"], "left")
+    reason = (
+        F.when(F.col("exceptionability").isNull(), "no such rule or taint")
+        .when(F.col("exceptionability") == "UNCONDITIONAL", "unconditional")
+        .when(F.coalesce(~F.contains("location", F.lit("::")), F.lit(True)), "location is not path::name")
+        .when(F.col("agent_originated") & F.col("expires").isNull(), "an agent's exception must end")
+        .when(unreadable(F.col("expires")), "unreadable date")
+        .when(F.trim(F.coalesce("ast_fingerprint", F.lit(""))) == "", "no fingerprint")
+    )
+    return next_recurrence(register, known.withColumns({"refused": reason, "provenance": F.lit("cli")}))
+
+
+def preview_drift(register: DataFrame, functions: DataFrame, matrix: DataFrame) -> DataFrame:
+    """Exceptions whose function has another taint now, with the cell that they would move to and whether they may."""
+    cell = matrix.select("rule_id", F.col("taint_state").alias("taint_now"), F.col("exceptionability").alias("would_be"))
+    moved = drift(register, functions).join(register.select("id", "rule_id"), "id")
+    return moved.join(F.broadcast(cell), ["rule_id", "taint_now"], "left").select("id", "taint_then", "taint_now", "would_be", F.coalesce(F.col("would_be") != "UNCONDITIONAL", F.lit(False)).alias("may_move"))

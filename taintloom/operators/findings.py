@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from taintloom.functions.domains import SARIF_LEVEL, SEVERITY_RANK, severity_matrix
+from taintloom.functions.domains import BUILTIN_VALIDATORS, SARIF_LEVEL, SEVERITY_RANK, severity_matrix
 from taintloom.functions.lattice import lookup
 
 
@@ -60,3 +60,45 @@ def report_rows(findings: DataFrame) -> DataFrame:
 def exit_code(config_error: bool, tool_errors: int, blocking: int) -> int:
     """2 for a faulty configuration, 3 for a tool error, 1 for findings that block, else 0."""
     return 2 if config_error else 3 if tool_errors else 1 if blocking else 0
+
+
+def effective_validators(spark: SparkSession, extra: DataFrame | None = None) -> DataFrame:
+    """(name): the builtin validators and those that the settings add, each once."""
+    own = spark.createDataFrame([(v,) for v in BUILTIN_VALIDATORS], "name string")
+    return own if extra is None else own.unionByName(extra.select("name")).distinct()
+
+
+def unless_declared(hits: DataFrame, declared: DataFrame, key: list[str]) -> DataFrame:
+    """Hits of functions that no declaration (key) covers."""
+    return hits.join(declared.select(*key), key, "left_anti")
+
+
+def preview(findings: DataFrame) -> DataFrame:
+    """For each exception how many findings it covers, and which, in their order."""
+    reasons = F.array_sort(F.collect_list(F.struct("ordinal", F.concat_ws("@", "rule_id", F.col("ordinal").cast("string")).alias("r"))))
+    return findings.filter("exception_id is not null").groupBy("exception_id").agg(F.count("*").alias("n"), F.array_join(F.transform(reasons, lambda x: x["r"]), ";").alias("reasons"))
+
+
+def exit_codes(findings: DataFrame, failed: Column, *by: str) -> DataFrame:
+    """The exit code of each part of the findings: 3 after a failure of the tool, 1 where an error blocks, else 0."""
+    blocks = F.count_if((F.col("severity") == "ERROR") & F.col("exception_id").isNull())
+    return findings.groupBy(*by).agg(F.when(F.count_if(failed) > 0, 3).when(blocks > 0, 1).otherwise(0).alias("exit_code"))
+
+
+def literal_counts(literals: DataFrame, value: str, n: Column | None = None) -> DataFrame:
+    """(value, n): how often each string occurs; empty ones are left out."""
+    total = F.count("*") if n is None else F.sum(n)
+    return literals.filter(F.col(value) != "").groupBy(F.col(value).alias("value")).agg(total.alias("n"))
+
+
+def run_properties(findings: DataFrame) -> DataFrame:
+    """The counters of a report: one row."""
+    s = F.col("severity")
+    return findings.agg(
+        F.count_if(s == "ERROR").alias("errorFindingCount"),
+        F.count("exception_id").alias("exceptedFindingCount"),
+        F.count_if((s == "ERROR") & F.col("exception_id").isNull()).alias("gateBlockingCount"),
+        F.count_if(s == "SUPPRESS").alias("suppressedCellFindingCount"),
+        F.count_if(s == "WARNING").alias("warningFindingCount"),
+        F.array_join(F.array_sort(F.collect_set("rule_id")), ",").alias("implementedRules"),
+    )

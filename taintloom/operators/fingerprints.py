@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,14 +58,26 @@ def artefact_class(annotations: DataFrame) -> DataFrame:
     )
 
 
+def _in_order(batches):
+    """The hash of the records that come, in their order, and their number."""
+    whole, n = hashlib.sha256(), 0
+    for batch in batches:
+        for record in batch.column(0):
+            whole.update(record.as_py().encode())
+        n += len(batch)
+    yield pa.RecordBatch.from_arrays([pa.array([whole.hexdigest()]), pa.array([n], pa.int64())], ["hash", "n"])
+
+
 def input_hash(files: DataFrame, path: str, content: str) -> DataFrame:
     """One hash over all files: of the sorted records (path, NUL, hash of the content), a line each.
 
-    Contents are hashed where they are; only records of about a hundred bytes a file meet, as the hash of
-    their sequence has to be taken in order.
+    Contents are hashed where they are. The hash of a sequence has to be taken in order, so records of about a
+    hundred bytes a file pass one task; they are sorted there with spilling and streamed, never held together.
     """
     rows = files.select(F.concat(F.col(path), F.lit("\0"), F.sha2(F.col(content).cast("binary"), 256), F.lit("\n")).alias("record")).distinct()
-    return rows.agg(F.concat(F.lit("sha256:"), F.sha2(F.array_join(F.array_sort(F.collect_list("record")), ""), 256)).alias("input_hash"), F.count("*").alias("n_files"))
+    one = rows.repartition(1).sortWithinPartitions("record").mapInArrow(_in_order, "hash string, n long")
+    none = hashlib.sha256().hexdigest()
+    return one.agg(F.concat(F.lit("sha256:"), F.coalesce(F.max_by("hash", "n"), F.lit(none))).alias("input_hash"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_files"))
 
 
 def blanket_files(functions: DataFrame, decorated: DataFrame) -> DataFrame:
@@ -75,3 +90,10 @@ def blanket_files(functions: DataFrame, decorated: DataFrame) -> DataFrame:
     return per.select(
         "file_path", ((F.col("n") >= 5) & (F.col("n_default") / F.col("n") > 0.8)).alias("blanket"), (F.col("__d").isNull() & (F.col("n_default") > 0) & F.col("first_taint").isin("INTEGRAL", "ASSURED")).alias("undecorated"),
     ).filter("blanket or undecorated")
+
+
+def decorator_gate(functions: DataFrame, annotated: DataFrame, tiers: tuple[int, ...] = (1, 4), least: float = 80.0) -> DataFrame:
+    """For each of these tiers the share of decorated functions, in percent, and whether it reaches the least."""
+    f = functions.filter(F.col("tier").isin(*tiers)).join(annotated.select("qualname").distinct().withColumn("__yes", F.lit(True)), "qualname", "left")
+    share = F.round(F.count_if(F.col("__yes").isNotNull()) * 100.0 / F.count("*"), 3)
+    return f.groupBy("tier").agg(share.alias("pct")).withColumn("met", F.col("pct") >= least)

@@ -1,4 +1,7 @@
-"""Fixpoints over call graphs, as loops of joins that stop when nothing changes."""
+"""Fixpoints over call graphs whose calls cross files, as loops of joins that stop when nothing changes.
+
+Graphs within files are solved in one pass by operators/local_graph.py.
+"""
 
 from __future__ import annotations
 
@@ -10,8 +13,10 @@ def _cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of a round: checkpointed in the shared folder, for lost executors."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir", None)
-        if folder is None:
+        folder = sc.getConf().get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="checkpoints-")

@@ -47,3 +47,14 @@ def module_name(path: Column) -> Column:
     """Dotted name of a source file; that of a package for its __init__, null for a root one."""
     dotted = F.replace(F.regexp_replace(path, r"\.py$", ""), F.lit("/"), F.lit("."))
     return F.when(dotted == "__init__", F.lit(None)).otherwise(F.regexp_replace(dotted, r"\.__init__$", ""))
+
+
+def scope_suffix(left: DataFrame, key: str, scope: str, policy: DataFrame, policy_path: str, ordinal: str) -> DataFrame:
+    """(key, ordinal): the first policy path that is a trailing part of each row's scope, null where none is.
+
+    A scope's trailing parts are few: they are joined by equality.
+    """
+    parts = F.split(scope, "/")
+    tails = F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "/"))
+    hits = left.select(key, F.explode(tails).alias("__path")).join(policy.select(F.col(policy_path).alias("__path"), ordinal), "__path")
+    return left.select(key).join(hits.groupBy(key).agg(F.min(ordinal).alias(ordinal)), key, "left")

@@ -26,13 +26,14 @@ def check(df: DataFrame, name: str, passed: Column, assurance: bool = False) ->
     return df.agg(F.coalesce(passed, F.lit(True)).alias("passed")).select(F.lit(name).alias("check"), "passed", F.lit(severity).alias("severity"))
 
 
-def verify(register: DataFrame, disabled: DataFrame, issues: DataFrame, fingerprints: DataFrame, ratification: DataFrame, now: str, longest: int = 180, assurance: bool = False) -> DataFrame:
-    """All relational checks. issues has severity; fingerprints last_changed; ratification one row of last_ratified,
+def verify(register: DataFrame, disabled: DataFrame, issues: DataFrame, fingerprints: DataFrame, ratification: DataFrame, now: str, longest: int = 180, assurance: bool = False, manifest_loads: bool = True) -> DataFrame:
+    """All twelve checks. issues has severity; fingerprints last_changed; ratification one row of last_ratified,
     authority, interval and separation."""
     age = lambda c: F.datediff(F.lit(now).cast("date"), F.try_to_date(c))
     bad_cell = register.join(F.broadcast(register.sparkSession.createDataFrame([m[:2] for m in MATRIX if m[3] == "UNCONDITIONAL"], "rule_id string, taint_state string")), ["rule_id", "taint_state"], "left_semi")
     expired, expedited = X.expired(F.col("expires"), now), F.count_if(F.col("governance_path") == "expedited")
     rows = [
+        check(ratification, "manifest_loads", F.lit(manifest_loads)),
         check(issues, "coherence_checks", F.count_if(F.col("severity") == "ERROR") == 0),
         check(disabled.filter(F.col("rule_id").isin(*HARD)), "no_disabled_unconditional", F.count("*") == 0),
         check(bad_cell, "exception_register_valid", F.count("*") == 0),
@@ -79,3 +80,11 @@ def explain(qualname: str, taints: DataFrame, annotations: DataFrame, findings:
     hits = here(findings).select(F.lit("finding").alias("topic"), F.concat_ws(" ", "rule_id", "severity", F.col("line").cast("string")).alias("detail"))
     covers = register.withColumn("qualname", F.element_at(F.split("location", "::", 2), 2)).filter(F.col("qualname") == qualname).select(F.lit("exception").alias("topic"), F.col("id").alias("detail"))
     return reduce(DataFrame.unionByName, [facts, decorators, hits, covers])
+
+
+def control_law(degradations: DataFrame, manifest_available: bool = True) -> DataFrame:
+    """One row: the sorted kinds of degradation (kind), and the law: normal without any, alternate with some, direct
+    where no manifest can be had."""
+    if not manifest_available:
+        return degradations.sparkSession.createDataFrame([("manifest_unavailable", "direct")], "degradations string, law string")
+    return degradations.agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("degradations"), F.when(F.count("*") == 0, "normal").otherwise("alternate").alias("law"))

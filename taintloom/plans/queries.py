@@ -16,6 +16,7 @@ from taintloom.operators import findings as R
 from taintloom.operators import fingerprints as P
 from taintloom.operators import functions_level as T
 from taintloom.operators import graph as G
+from taintloom.operators import local_graph as LG
 from taintloom.operators import paths as W
 from taintloom.operators import regime as M
 from taintloom.plans.standins import MATRIX_SQL, NOW, PAIRS_SQL, RANK_SQL, TIER_SQL, relation, values, with_relations
@@ -103,21 +104,17 @@ def _(findings):
 
 @query("a15_preview_report", "findings", "SELECT exception_id, count(*)::BIGINT AS n, string_agg(rule_id || '@' || ordinal, ';' ORDER BY ordinal) AS reasons FROM findings WHERE exception_id IS NOT NULL GROUP BY exception_id")
 def _(findings):
-    reasons = F.array_sort(F.collect_list(F.struct("ordinal", F.concat_ws("@", "rule_id", F.col("ordinal").cast("string")).alias("r"))))
-    return findings.filter("exception_id is not null").groupBy("exception_id").agg(F.count("*").alias("n"), F.array_join(F.transform(reasons, lambda x: x["r"]), ";").alias("reasons"))
+    return R.preview(findings)
 
 
 @query("a19_control_law", "findings", "SELECT string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS degradations, CASE WHEN count(*) = 0 THEN 'normal' ELSE 'alternate' END AS law FROM findings WHERE rule_id IN ('PY-WL-008', 'PY-WL-009')")
 def _(findings):
-    some = findings.filter(F.col("rule_id").isin("PY-WL-008", "PY-WL-009"))
-    return some.agg(F.array_join(F.array_sort(F.collect_set("rule_id")), ",").alias("degradations"), F.when(F.count("*") == 0, "normal").otherwise("alternate").alias("law"))
+    return M.control_law(findings.filter(F.col("rule_id").isin("PY-WL-008", "PY-WL-009")).select(F.col("rule_id").alias("kind")))
 
 
 @query("v17_exit_codes", "findings", f", {SEVERE} SELECT file_path, CASE WHEN count_if(rule_id = 'PY-WL-003' AND line = 7) > 0 THEN 3 WHEN count_if(severity = 'ERROR' AND exception_id IS NULL) > 0 THEN 1 ELSE 0 END AS exit_code FROM severe GROUP BY file_path")
 def _(findings):
-    f = R.with_severity(findings)
-    tool, blocks = F.count_if((F.col("rule_id") == "PY-WL-003") & (F.col("line") == 7)), F.count_if((F.col("severity") == "ERROR") & F.col("exception_id").isNull())
-    return f.groupBy("file_path").agg(F.when(tool > 0, 3).when(blocks > 0, 1).otherwise(0).alias("exit_code"))
+    return R.exit_codes(R.with_severity(findings), (F.col("rule_id") == "PY-WL-003") & (F.col("line") == 7), "file_path")
 
 
 # paths ------------------------------------------------------------------------------------------------
@@ -171,11 +168,7 @@ def _(files, module_tiers):
     SELECT f.page_id, h.ordinal FROM files f LEFT JOIN hit h ON h.page_id = f.page_id AND h.n = 1""")
 def _(files, module_tiers):
     f = files.withColumn("scope", F.concat(F.lit("root/"), F.regexp_replace("path", r"/p[0-9]+\.py$", "")))
-    # a scope's trailing parts are few: they are joined by equality
-    parts = F.split("scope", "/")
-    tails = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "/"))
-    hits = f.select("page_id", F.explode(tails).alias("path")).join(module_tiers.select("path", "ordinal"), "path").groupBy("page_id").agg(F.min("ordinal").alias("ordinal"))
-    return files.select("page_id").join(hits, "page_id", "left")
+    return W.scope_suffix(f, "page_id", "scope", module_tiers, "path", "ordinal")
 
 
 @query("p7_path_in_scope", "files", "SELECT page_id, path = 'mod/en' OR starts_with(path, 'mod/en/') AS in_en, false AS in_none FROM files")
@@ -238,11 +231,17 @@ G2 = with_relations("nodes", "edges", then="").replace("WITH ", "WITH RECURSIVE
 """
 
 
-def _g2(nodes, edges):
-    return G.propagate_ranks(nodes, edges)
+def _grouped(df, name):
+    """With the order that a node belongs to, as its file."""
+    return df.withColumn("group", F.substring_index(name, "-", 1))
 
 
-QUERIES["g2_rank_fixpoint"] = lambda spark, d: _g2(relation(spark, d, "nodes"), relation(spark, d, "edges")).select("name", "rank", "refined", F.when(F.col("refined") != F.col("rank"), "callgraph").otherwise("own").alias("source"))
+def _solved(spark: SparkSession, sf_dir: str, acyclic: bool = False):
+    nodes, edges = _grouped(relation(spark, sf_dir, "nodes"), "name"), _grouped(relation(spark, sf_dir, "edges"), "src")
+    return nodes.join(LG.solve(nodes, _acyclic(edges) if acyclic else edges).drop("group"), "name")
+
+
+QUERIES["g2_rank_fixpoint"] = lambda spark, d: _solved(spark, d).select("name", "rank", "refined", F.when(F.col("refined") != F.col("rank"), "callgraph").otherwise("own").alias("source"))
 ORACLES["g2_rank_fixpoint"] = G2 + "SELECT n.name, n.rank, greatest(n.rank, coalesce(b.m, 0))::INT AS refined, CASE WHEN greatest(n.rank, coalesce(b.m, 0)) <> n.rank THEN 'callgraph' ELSE 'own' END AS source FROM nodes n LEFT JOIN best b ON b.origin = n.name"
 
 
@@ -252,14 +251,8 @@ def _acyclic(edges):
     return edges.filter(line("src") < line("dst"))
 
 
-
-
-def _g3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _acyclic(relation(spark, sf_dir, "edges"))
-    return G.via_callee(G.propagate_ranks(relation(spark, sf_dir, "nodes"), edges), edges).select("name", "refined", "via")
-
-
-QUERIES["g3_via_callee"] = _g3
+QUERIES["g3_via_callee"] = lambda spark, d: _solved(spark, d, acyclic=True).select("name", "refined", "via")
+QUERIES["g3_via_callee_on_cycles"] = lambda spark, d: _solved(spark, d).select("name", "refined", "via")
 ORACLES["g3_via_callee"] = G2.replace(
     "b.l_linenumber = a.l_linenumber + 1 OR (a.l_orderkey % 5 = 0 AND b.l_linenumber = a.l_linenumber - 2)", "b.l_linenumber = a.l_linenumber + 1"
 ) + """, refined AS (SELECT n.*, greatest(n.rank, coalesce(b.m, 0))::INT AS refined FROM nodes n LEFT JOIN best b ON b.origin = n.name),
@@ -280,9 +273,19 @@ def _(nodes, edges):
     return G.bounded_expand(nodes.filter("rank = 7"), edges, 2)
 
 
-QUERIES["g6_call_cycles"] = lambda spark, d: G.on_cycle(relation(spark, d, "edges"))
+def _components(spark: SparkSession, sf_dir: str):
+    edges = _grouped(relation(spark, sf_dir, "edges"), "src")
+    return LG.solve(LG.nodes_of(edges), edges)
+
+
+QUERIES["g6_call_cycles"] = lambda spark, d: _components(spark, d).filter("cyclic").select("name")
 ORACLES["g6_call_cycles"] = with_relations("edges", then="").replace("WITH ", "WITH RECURSIVE ", 1) + ", reach AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON e.src = r.dst) SELECT src AS name FROM reach WHERE src = dst"
 
+QUERIES["g1_components"] = lambda spark, d: _components(spark, d).select("name", "component", "cyclic")
+ORACLES["g1_components"] = with_relations("edges", then="").replace("WITH ", "WITH RECURSIVE ", 1) + """, reach AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON e.src = r.dst),
+    names AS (SELECT src AS name FROM edges UNION SELECT dst FROM edges), both_ AS (SELECT a.src AS name, a.dst AS other FROM reach a JOIN reach b ON b.src = a.dst AND b.dst = a.src)
+    SELECT n.name, least(n.name, coalesce(min(b.other), n.name)) AS component, count(b.other) > 0 AS cyclic FROM names n LEFT JOIN both_ b ON b.name = n.name GROUP BY n.name"""
+
 
 # coherence --------------------------------------------------------------------------------------------
 
@@ -359,14 +362,6 @@ def _(boundaries):
     return C.weak_restoration(boundaries)
 
 
-@query("v6_coherence_report", "boundaries module_tiers", f""", i AS (SELECT * FROM ({V3}) UNION ALL SELECT * FROM ({V4}) UNION ALL SELECT * FROM ({V4B}))
-    SELECT kind, CASE WHEN kind IN ('tier_topology_inconsistency', 'missing_validation_scope', 'insufficient_restoration_evidence') THEN 'ERROR' ELSE 'WARNING' END AS severity,
-    CASE WHEN kind = 'tier_topology_inconsistency' THEN 'policy' ELSE 'enforcement' END AS category, count(*)::BIGINT AS n FROM i GROUP BY ALL""")
-def _(boundaries, module_tiers):
-    every = C.union(C.tier_topology(boundaries, _tiers(module_tiers)), C.missing_scope(boundaries), C.weak_restoration(boundaries))
-    return every.groupBy("kind", "severity", "category").agg(F.count("*").alias("n"))
-
-
 @query("j21_contradictory_decorators", "annotations", f"SELECT x.file_path, x.qualname, pr.a AS \"left\", pr.b AS \"right\", pr.severity FROM {PAIRS_SQL} JOIN annotations x ON x.name = pr.a JOIN annotations y ON y.name = pr.b AND y.file_path = x.file_path AND y.qualname = x.qualname")
 def _(annotations):
     return C.contradictions(annotations)
@@ -390,32 +385,42 @@ def _(functions, boundaries):
 @query("j9_boundary_suppression", "findings boundaries", """SELECT ordinal FROM findings f WHERE rule_id = 'PY-WL-003' AND NOT EXISTS (SELECT 1 FROM boundaries b WHERE b.function = 'fn' || (f.ordinal % 500)::STRING AND b.transition = 'shape_validation')""")
 def _(findings, boundaries):
     f = findings.filter("rule_id = 'PY-WL-003'").withColumn("function", F.concat(F.lit("fn"), (F.col("ordinal") % 500).cast("string")))
-    return f.join(boundaries.filter("transition = 'shape_validation'"), "function", "left_anti").select("ordinal")
+    return R.unless_declared(f, boundaries.filter("transition = 'shape_validation'"), ["function"]).select("ordinal")
 
 
-@query("j11_dependency_taint", "findings", """, dep AS (SELECT * FROM (VALUES ('view1', 'GUARDED'), ('click', NULL), ('error3', 'ASSURED')) AS v(fqn, t))
-    SELECT ordinal, coalesce(d.t, CASE WHEN starts_with(qualname, 'click') THEN 'UNKNOWN_RAW' END) AS taint FROM findings f LEFT JOIN dep d ON d.fqn = f.qualname""")
-def _(findings):
-    declared = literal(findings, [("view1", "GUARDED"), ("error3", "ASSURED")], "qualname string, taint string")
-    exact = findings.join(F.broadcast(declared), "qualname", "left")
-    return exact.select("ordinal", F.coalesce("taint", F.when(F.startswith("qualname", F.lit("click")), "UNKNOWN_RAW")).alias("taint"))
+@query("j11_dependency_taint", "calls dependencies", """SELECT c.call_order, c.call_line, c.call_part, c.full_name, coalesce(d.taint, CASE WHEN p.package IS NOT NULL THEN 'UNKNOWN_RAW' END) AS taint
+    FROM calls c LEFT JOIN dependencies d ON d.package || '.' || d.function = c.full_name LEFT JOIN (SELECT DISTINCT package FROM dependencies) p ON p.package = split_part(c.full_name, '.', 1)""")
+def _(calls, dependencies):
+    return C.dependency_taints(calls, dependencies)
 
 
 @query("j19_test_only_imports", "annotations functions", "SELECT DISTINCT f.file_path AS importer, a.qualname AS imported FROM annotations a JOIN functions f ON 'fn' || (f.pos * 2)::STRING = a.qualname WHERE a.name = 'test_only'")
 def _(annotations, functions):
-    imports = functions.select(F.col("file_path").alias("importer"), F.concat(F.lit("fn"), (F.col("pos") * 2).cast("string")).alias("imported"))
-    return imports.join(annotations.filter("name = 'test_only'").select(F.col("qualname").alias("imported")), "imported", "left_semi").select("importer", "imported").distinct()
+    imports = functions.select(F.col("file_path").alias("importer"), F.lit("all").alias("module"), F.concat(F.lit("fn"), (F.col("pos") * 2).cast("string")).alias("name"))
+    only = annotations.filter("name = 'test_only'").select(F.lit("src").alias("provider"), F.col("qualname").alias("name"))
+    modules = only.select(F.lit("all").alias("module"), "provider").distinct()
+    return C.test_only_imports(imports, modules, only).select("importer", F.col("name").alias("imported")).distinct()
 
 
-BASE = [("R1", "ERROR", True), ("R2", "WARNING", False), ("R3", "INFO", False), ("R4", "CRITICAL", True)]
-OVER = [("R1", "OFF", 1), ("R2", "INFO", 2), ("R3", "ERROR", 3), ("R3", "WARNING", 4), ("R9", "ERROR", 5)]
+OVERRIDE_SQL = values(list(D.OVERRIDE_RANK.items()), "{0}", "s", "r")
 
 
-@query("v1_overlay_merge", "tiers_now", f"""SELECT coalesce(b.r, o.r) AS rule_id, coalesce(o.s, b.s) AS severity, CASE WHEN o.s IS NULL THEN '' WHEN b.s IS NULL THEN 'new rule' WHEN o.s = 'OFF' AND b.u THEN 'cannot switch off'
-    WHEN CASE o.s {' '.join(f"WHEN '{k}' THEN {v}" for k, v in D.OVERRIDE_RANK.items())} END < CASE b.s {' '.join(f"WHEN '{k}' THEN {v}" for k, v in D.OVERRIDE_RANK.items())} END THEN 'widens' ELSE '' END AS wrong
-    FROM {values(BASE, 'b', 'r', 's', 'u')} FULL JOIN (SELECT r, arg_max(s, o) AS s FROM {values(OVER, 'v', 'r', 's', 'o')} GROUP BY r) o ON o.r = b.r""")
-def _(tiers_now):
-    return C.merge_overrides(literal(tiers_now, BASE, "rule_id string, severity string, unconditional boolean"), literal(tiers_now, OVER, "rule_id string, severity string, ordinal int"))
+@query("v1_overlay_merge", "base_rules overrides", f"""SELECT coalesce(b.rule_id, o.rule_id) AS rule_id, coalesce(o.s, b.severity) AS severity, CASE WHEN o.s IS NULL THEN '' WHEN b.severity IS NULL THEN 'new rule'
+    WHEN o.s = 'OFF' AND b.unconditional THEN 'cannot switch off' WHEN wr.r < br.r THEN 'widens' ELSE '' END AS wrong
+    FROM base_rules b FULL JOIN (SELECT rule_id, arg_max(severity, ordinal) AS s FROM overrides GROUP BY rule_id) o ON o.rule_id = b.rule_id
+    LEFT JOIN {OVERRIDE_SQL.format('wr')} ON wr.s = o.s LEFT JOIN {OVERRIDE_SQL.format('br')} ON br.s = b.severity""")
+def _(base_rules, overrides):
+    return C.merge_overrides(base_rules, overrides)
+
+
+@query("v1_silenced_rules", "overrides", "SELECT rule_id, severity FROM overrides WHERE severity = 'OFF'")
+def _(overrides):
+    return C.suppressing_overrides(overrides)
+
+
+@query("v3_widening_boundaries", "boundaries", "SELECT function, from_tier, to_tier FROM boundaries WHERE to_tier > from_tier")
+def _(boundaries):
+    return C.widening_boundaries(boundaries)
 
 
 @query("v2_duplicate_boundaries", "boundaries", "SELECT overlay_path, from_tier, count(*)::BIGINT AS n FROM boundaries GROUP BY overlay_path, from_tier HAVING count(*) > 1")
@@ -482,8 +487,7 @@ def _(register):
 
 @query("a6_scan_exception_stats", "register", f"SELECT count_if(NOT {EXPIRED})::BIGINT AS active, round(count_if(NOT {EXPIRED} AND governance_path = 'expedited') / count_if(NOT {EXPIRED})::DOUBLE, 4) AS ratio FROM register")
 def _(register):
-    live = ~X.expired(F.col("expires"), NOW)
-    return register.agg(F.count_if(live).alias("active"), F.round(F.count_if(live & (F.col("governance_path") == "expedited")) / F.count_if(live), 4).alias("ratio"))
+    return X.scan_stats(register, NOW)
 
 
 @query("a17_recurrence", "register findings", """, w AS (SELECT DISTINCT rule_id, file_path || '::' || qualname AS location FROM findings WHERE qualname IS NOT NULL)
@@ -561,16 +565,15 @@ def _(functions, annotations):
     return P.blanket_files(f, annotations.filter("name = 'fail_open' and pos % 7 = 0"))
 
 
-@query("a18_multi_tier_classes", "functions", "SELECT file_path, count(DISTINCT tier)::BIGINT AS n_tiers FROM functions GROUP BY file_path HAVING count(DISTINCT tier) > 1")
+@query("a18_multi_tier_classes", "functions", "SELECT file_path, 'C' || (pos % 5)::STRING AS class, count(DISTINCT tier)::BIGINT AS n_tiers FROM functions GROUP BY ALL HAVING count(DISTINCT tier) > 1")
 def _(functions):
-    return functions.groupBy("file_path").agg(F.count_distinct("tier").alias("n_tiers")).filter("n_tiers > 1")
+    return C.multi_tier_classes(functions.withColumn("class", F.concat(F.lit("C"), (F.col("pos") % 5).cast("string"))), "file_path", "class")
 
 
 @query("a20_decorator_gate", "functions annotations", """, f AS (SELECT *, qualname IN (SELECT qualname FROM annotations) AS yes FROM functions WHERE tier IN (1, 4))
     SELECT tier, round(count_if(yes) * 100.0::DOUBLE / count(*), 3) AS pct, round(count_if(yes) * 100.0::DOUBLE / count(*), 3) >= 80 AS met FROM f GROUP BY tier""")
 def _(functions, annotations):
-    f = functions.filter("tier in (1, 4)").join(annotations.select("qualname").distinct().withColumn("yes", F.lit(True)), "qualname", "left")
-    return f.groupBy("tier").agg(F.round(F.count_if(F.col("yes").isNotNull()) * 100.0 / F.count("*"), 3).alias("pct")).withColumn("met", F.col("pct") >= 80)
+    return P.decorator_gate(functions, annotations)
 
 
 # corpus -----------------------------------------------------------------------------------------------
@@ -603,14 +606,13 @@ def _(specimens):
 
 # literals, sets ---------------------------------------------------------------------------------------
 
-QUERIES["t9_string_literals"] = lambda spark, d: spark.read.parquet(f"{d}/conversations.parquet").select(F.explode(F.split("text", " ")).alias("value")).filter("value != ''").groupBy("value").agg(F.count("*").alias("n"))
+QUERIES["t9_string_literals"] = lambda spark, d: R.literal_counts(spark.read.parquet(f"{d}/conversations.parquet").select(F.explode(F.split("text", " ")).alias("value")), "value")
 ORACLES["t9_string_literals"] = "WITH w AS (SELECT unnest(string_split(text, ' ')) AS value FROM conversations) SELECT value, count(*)::BIGINT AS n FROM w WHERE value <> '' GROUP BY value"
 
 
-@query("p6_effective_validators", "tiers_now", f"SELECT v.name FROM {values([(v,) for v in (*D.BUILTIN_VALIDATORS, 'own.check')], 'v', 'name')}")
-def _(tiers_now):
-    builtin = literal(tiers_now, [(v,) for v in D.BUILTIN_VALIDATORS], "name string")
-    return builtin.union(literal(tiers_now, [("own.check",), ("jsonschema.validate",)], "name string")).distinct()
+@query("p6_effective_validators", "annotations", f"SELECT v.name FROM {values([(v,) for v in D.BUILTIN_VALIDATORS], 'v', 'name')} UNION SELECT 'own.' || name FROM annotations")
+def _(annotations):
+    return R.effective_validators(annotations.sparkSession, annotations.select(F.concat(F.lit("own."), F.col("name")).alias("name")))
 
 
 @query("setops_registry_sync", "annotations", f"SELECT name, 'missing' AS side FROM (SELECT n.name FROM {values([(n,) for n in D.GROUP], 'n', 'name')} EXCEPT SELECT name FROM annotations) UNION ALL SELECT name, 'shared' FROM (SELECT n.name FROM {values([(n,) for n in D.GROUP], 'n', 'name')} INTERSECT SELECT name FROM annotations)")
@@ -624,7 +626,7 @@ def _(annotations):
 HARD_CELLS = values([m[:2] for m in D.MATRIX if m[3] == "UNCONDITIONAL"], "hc", "r", "t")
 
 
-@query("v7_regime_verify", "register baseline boundaries", f""", i AS ({V4})
+V7 = f""", i AS ({V4})
     SELECT 'coherence_checks' AS "check", count(*) = 0 AS passed, 'ERROR' AS severity FROM i
     UNION ALL SELECT 'no_disabled_unconditional', false, 'ERROR'
     UNION ALL SELECT 'exception_register_valid', count(*) = 0, 'ERROR' FROM register r JOIN {HARD_CELLS} ON hc.r = r.rule_id AND hc.t = r.taint_state
@@ -633,13 +635,25 @@ HARD_CELLS = values([m[:2] for m in D.MATRIX if m[3] == "UNCONDITIONAL"], "hc",
     UNION ALL SELECT 'fingerprint_baseline_fresh', min(date_diff('day', CAST(last_changed AS DATE), DATE '{NOW}')) < 180, 'WARNING' FROM baseline
     UNION ALL SELECT 'no_expired_exceptions', count_if({EXPIRED}) = 0, 'WARNING' FROM register
     UNION ALL SELECT 'ratification_current', date_diff('day', DATE '1999-01-01', DATE '{NOW}') <= 90, 'WARNING'
-    UNION ALL SELECT 'ratification_metadata_present', true, 'ERROR' UNION ALL SELECT 'temporal_separation_declared', false, 'ERROR'
-    UNION ALL SELECT 'annotation_change_tracking', count(last_changed) > 0, 'WARNING' FROM baseline""")
-def _(register, baseline, boundaries):
+    UNION ALL SELECT 'manifest_loads', true, 'ERROR' UNION ALL SELECT 'ratification_metadata_present', true, 'ERROR' UNION ALL SELECT 'temporal_separation_declared', false, 'ERROR'
+    UNION ALL SELECT 'annotation_change_tracking', count(last_changed) > 0, 'WARNING' FROM baseline"""
+
+
+def _regime(register, baseline, boundaries):
     ratified = literal(register, [("1999-01-01", "board", 90, None)], "last_ratified string, authority string, interval int, separation string")
     return M.verify(register, literal(register, DISABLED, "rule_id string"), C.with_policy(C.missing_scope(boundaries)), baseline, ratified, NOW, assurance=True)
 
 
+@query("v7_regime_verify", "register baseline boundaries", V7)
+def _(register, baseline, boundaries):
+    return _regime(register, baseline, boundaries)
+
+
+@query("p10_regime_gate", "register baseline boundaries", V7.replace("SELECT 'coherence_checks' AS", "SELECT * FROM (SELECT 'coherence_checks' AS", 1) + ") WHERE NOT passed AND severity = 'ERROR'")
+def _(register, baseline, boundaries):
+    return M.gate(_regime(register, baseline, boundaries))
+
+
 @query("v8_fingerprint_metrics", "current", f"SELECT count(*)::BIGINT AS total, max(last_changed) AS latest, date_diff('day', CAST(max(last_changed) AS DATE), DATE '{NOW}')::INT AS age_days, count_if(last_changed IS NULL)::BIGINT AS undated FROM current")
 def _(current):
     return M.fingerprint_metrics(current, NOW)
@@ -666,11 +680,6 @@ def _(findings, annotations, register):
     return M.explain("click5", taints, annotations, R.with_severity(findings), register)
 
 
-@query("p10_regime_gate", "tiers_now", "SELECT * FROM (VALUES ('a', false, 'ERROR')) AS v(\"check\", passed, severity)")
-def _(tiers_now):
-    return M.gate(literal(tiers_now, [("a", False, "ERROR"), ("b", False, "WARNING"), ("c", True, "ERROR")], "check string, passed boolean, severity string"))
-
-
 # sources ----------------------------------------------------------------------------------------------
 
 SAMPLE = {

@@ -14,6 +14,7 @@ from taintloom.operators import findings as R
 from taintloom.operators import fingerprints as P
 from taintloom.operators import functions_level as T
 from taintloom.operators import graph as G
+from taintloom.operators import local_graph as LG
 from taintloom.operators import paths as W
 
 FINDING = ["rule_id", "file_path", "qualname", "line", "col", "end_line", "end_col", "message", "taint_state", "severity", "exceptionability"]
@@ -37,14 +38,13 @@ def function_taints(facts: DataFrame, module_tiers: DataFrame, level: int = 1) -
     out = T.assign_taints(functions, decorated, _restored(facts, none), defaults, key, "file_path")
     if level < 3:
         return out
-    name = F.concat_ws("\0", *key)
-    nodes = out.filter("flag").select(name.alias("name"), lookup(D.RANK, "body_taint").alias("rank"), lookup(D.RANK, "return_taint").alias("return_rank"), (F.col("taint_source") == "decorator").alias("anchored"))
-    edges = of_kind(facts, "edge").select(name.alias("src"), F.concat_ws("\0", "file_path", "target").alias("dst"))
-    refined = G.propagate_ranks(nodes, edges).select("name", "refined")
+    nodes = out.filter("flag").select(F.col("file_path").alias("group"), F.col("qualname").alias("name"), lookup(D.RANK, "body_taint").alias("rank"), lookup(D.RANK, "return_taint").alias("return_rank"), (F.col("taint_source") == "decorator").alias("anchored"))
+    edges = of_kind(facts, "edge").select(F.col("file_path").alias("group"), F.col("qualname").alias("src"), F.col("target").alias("dst"))
+    refined = LG.solve(nodes, edges).select(F.col("group").alias("file_path"), F.col("name").alias("qualname"), "refined", F.col("via").alias("via_callee"))
     back = lookup({r: t for t, r in D.RANK.items()}, "refined")
-    joined = out.withColumn("name", name).join(refined, "name", "left")
+    joined = out.join(refined, key, "left")
     changed = F.coalesce(back != F.col("body_taint"), F.lit(False))
-    return joined.withColumns({"taint_source": F.when(changed, "callgraph").otherwise(F.col("taint_source")), "body_taint": F.coalesce(back, "body_taint")}).drop("name", "refined")
+    return joined.withColumns({"taint_source": F.when(changed, "callgraph").otherwise(F.col("taint_source")), "body_taint": F.coalesce(back, "body_taint")}).drop("refined")
 
 
 def _restored(facts: DataFrame, none: DataFrame) -> DataFrame:
@@ -62,9 +62,13 @@ def rejection_index(facts: DataFrame, validators: DataFrame, rounds: int = 1) ->
     return G.bounded_expand(seed, edges, rounds)
 
 
-def findings(facts: DataFrame, taints: DataFrame, boundaries: DataFrame, optional_fields: DataFrame, rounds: int = 1, level: int = 3) -> DataFrame:
+def findings(
+    facts: DataFrame, taints: DataFrame, boundaries: DataFrame, optional_fields: DataFrame, rounds: int = 1, level: int = 3,
+    validators: DataFrame | None = None, module_tiers: DataFrame | None = None,
+) -> DataFrame:
     """All findings of the rules. boundaries (function, transition, overlay_scope); optional_fields (field,
-    approved_default as source text, scope)."""
+    approved_default as source text, scope); validators (name): functions that reject besides the builtin ones;
+    module_tiers (ordinal, path, default_taint): files of tier 1 that are skipped are errors."""
     key = ["file_path", "qualname"]
     spark = facts.sparkSession
     hits = of_kind(facts, "hit").select("file_path", "qualname", F.col("name").alias("rule_id"), F.col("value").alias("message"), "line", "col", "end_line", "end_col", "flag")
@@ -73,19 +77,18 @@ def findings(facts: DataFrame, taints: DataFrame, boundaries: DataFrame, optiona
     has = lambda kinds, any_scope=False: scoped.filter(F.lit(any_scope) | F.col("in")).filter(F.col("transition").isin(*kinds) if kinds else F.lit(True)).select(*key).distinct()
     rule = lambda *ids: hits.filter(F.col("rule_id").isin(*ids))
     plain = rule("PY-WL-001", "PY-WL-002", "PY-WL-004", "PY-WL-005", "PY-WL-006")
-    gated = rule("PY-WL-003").join(has(SHAPE), key, "left_anti")
-    typed = rule("PY-WL-007").filter("message != 'isinstance'").unionByName(rule("PY-WL-007").filter("message = 'isinstance'").join(has([], any_scope=True), key, "left_anti"))
+    gated = R.unless_declared(rule("PY-WL-003"), has(SHAPE), key)
+    typed = rule("PY-WL-007").filter("message != 'isinstance'").unionByName(R.unless_declared(rule("PY-WL-007").filter("message = 'isinstance'"), has([], any_scope=True), key))
     declared = lambda kinds: has(kinds).withColumn("__declared", F.lit(True))
     either = lambda df, kinds: df.join(declared(kinds), key, "left").filter("flag or __declared is not null").drop("__declared")
-    builtin = spark.createDataFrame([(v,) for v in D.BUILTIN_VALIDATORS], "name string")
-    index = rejection_index(facts, builtin, rounds)
+    index = rejection_index(facts, R.effective_validators(spark, validators), rounds)
     delegated = of_kind(facts, "reaches").join(index.select(F.col("name").alias("target")), "target", "left_semi").select(*key).distinct()
-    unrejected = either(rule("PY-WL-008"), CHECKED).join(delegated, key, "left_anti")
-    semantic = either(rule("PY-WL-009"), ["semantic_validation"]).join(has(["combined_validation", "external_validation"]), key, "left_anti")
+    unrejected = R.unless_declared(either(rule("PY-WL-008"), CHECKED), delegated, key)
+    semantic = R.unless_declared(either(rule("PY-WL-009"), ["semantic_validation"]), has(["combined_validation", "external_validation"]), key)
     judged = reduce(DataFrame.unionByName, [plain, gated, typed, unrejected, semantic]).drop("flag")
     state = taints.select(*key, F.col("body_taint").alias("taint_state"))
     out = R.with_severity(judged.join(state.distinct(), key)).select(*FINDING)
-    more = [_governed(rule("PY-WL-001-SCHEMA-DEFAULT").join(state, key), b, optional_fields), _breaches(facts), _pairs(facts), _gates(facts), _test_only(facts), _fields(facts), _governance(facts, taints, level)]
+    more = [_governed(rule("PY-WL-001-SCHEMA-DEFAULT").join(state, key), b, optional_fields), _breaches(facts), _pairs(facts), _gates(facts), _test_only(facts), _fields(facts), _governance(facts, taints, level, module_tiers)]
     return reduce(DataFrame.unionByName, [out, *more])
 
 
@@ -125,7 +128,7 @@ def _pairs(facts: DataFrame) -> DataFrame:
 
 def _gates(facts: DataFrame) -> DataFrame:
     """Feature flags that nothing but their decorator names."""
-    counts = of_kind(facts, "literal").groupBy("value").agg(F.sum("n").alias("total"))
+    counts = R.literal_counts(of_kind(facts, "literal"), "value", F.col("n")).withColumnRenamed("n", "total")
     g = of_kind(facts, "gate").drop("n").join(counts, "value", "left")
     stale = g.filter(F.col("value").isNull() | (F.trim("value") == "") | (~F.col("flag") & (F.coalesce("total", F.lit(0)) <= 1)))
     return _shown(stale, "SUP-001", F.concat(F.lit("stale feature flag "), F.coalesce("value", F.lit(""))), F.lit("WARNING"))
@@ -137,7 +140,7 @@ def _test_only(facts: DataFrame) -> DataFrame:
     imports = of_kind(facts, "from_import").filter(~test).select("file_path", "name", F.col("target").alias("module"), "line", "col", "end_line", "end_col")
     modules = of_kind(facts, "file").select(F.col("name").alias("module"), F.col("file_path").alias("provider"))
     only = of_kind(facts, "annotation").filter("name = 'test_only'").select(F.col("file_path").alias("provider"), F.col("qualname").alias("name"))
-    hit = imports.join(modules, "module").join(only, ["provider", "name"], "left_semi").withColumn("qualname", F.lit(None).cast("string"))
+    hit = C.test_only_imports(imports, modules, only).withColumn("qualname", F.lit(None).cast("string"))
     return _shown(hit, "SUP-001", F.concat(F.lit("imports test-only "), F.col("name")), F.lit("ERROR"))
 
 
@@ -150,13 +153,21 @@ def _fields(facts: DataFrame) -> DataFrame:
     return _shown(bad, "SCN-022", F.coalesce(F.array_join(F.array_sort("missing"), ","), F.lit("no such class")), F.lit("ERROR"))
 
 
-def _governance(facts: DataFrame, taints: DataFrame, level: int) -> DataFrame:
-    """Rows about the scan itself: what was skipped or failed, and where its taints rest on little."""
+def _governance(facts: DataFrame, taints: DataFrame, level: int, module_tiers: DataFrame | None) -> DataFrame:
+    """Rows about the scan itself: what was skipped or failed, and where its taints rest on little. A skipped file of
+    tier 1 and a failed call graph are errors."""
     key = ["file_path", "qualname"]
     warn = F.lit("WARNING")
     notes = facts.filter(F.col("kind").isin("skipped", "tool_error", "dynamic_import"))
+    if module_tiers is not None:
+        notes = W.longest_prefix(notes, "file_path", module_tiers, "path", "default_taint", "ordinal")
+        notes = notes.withColumn("tier", lookup(D.TIER, "default_taint"))
+    else:
+        notes = notes.withColumn("tier", F.lit(None).cast("int"))
+    grave = (F.col("kind") == "skipped") & (F.col("tier") <= 1) | (F.col("kind") == "tool_error") & (F.col("name") == "calls")
+    graver = F.when(F.coalesce(grave, F.lit(False)), "ERROR").otherwise("WARNING")
     kinds = {"skipped": "GOVERNANCE-FILE-SKIPPED", "tool_error": "TOOL-ERROR", "dynamic_import": "DYNAMIC-IMPORT"}
-    about = [_shown(of_kind(notes, k), rule, F.coalesce("value", "name"), warn) for k, rule in kinds.items()]
+    about = [_shown(of_kind(notes, k), rule, F.coalesce("value", "name"), graver, "UNCONDITIONAL") for k, rule in kinds.items()]
     at = of_kind(facts, "function").select(*key, "line", "col", "end_line", "end_col")
     marks = of_kind(facts, "annotation").select(*key, "name", "pos", "value")
     conflicts = T.decorator_conflicts(marks, key).join(at, key)

@@ -74,7 +74,7 @@ RELATIONS["register"] = f"""
            CASE WHEN o.o_orderkey % 10 = 0 THEN NULL WHEN o.o_orderkey % 23 = 0 THEN 'soon' ELSE CAST(CAST(o.o_orderdate AS DATE) AS STRING) END AS expires,
            CASE WHEN o.o_orderkey % 6 = 0 THEN 'expedited' ELSE 'standard' END AS governance_path,
            CASE WHEN o.o_orderkey % 8 = 0 THEN NULL WHEN o.o_orderkey % 9 = 0 THEN 'unknown' ELSE 'human' END AS provenance,
-           o.o_orderkey % 11 = 0 AS agent_originated, CAST(o.o_orderkey % 4 AS INT) AS recurrence_count,
+           CASE WHEN o.o_orderkey % 13 <> 0 THEN o.o_orderkey % 11 = 0 END AS agent_originated, CAST(o.o_orderkey % 4 AS INT) AS recurrence_count,
            'f' || CAST(o.o_orderkey % 3 AS STRING) AS ast_fingerprint, CAST(1 + o.o_custkey % 3 AS INT) AS analysis_level, o.o_orderkey % 29 = 0 AS drifted
     FROM orders o JOIN {TAINT_AT} ON tv.i = o.o_orderkey % 8"""
 # one node for each order line, calls to the next line; every fifth order calls back, so cycles exist
@@ -94,7 +94,18 @@ RELATIONS["specimens"] = f"""
     SELECT 'PY-WL-00' || CAST(1 + d.doc_id % 9 AS STRING) AS rule_id, tv.taint AS taint_state, d.lang AS category,
            CASE WHEN l.doc_id % 20 = 0 THEN 'known_false_negative' WHEN l.quality = 1 THEN 'true_positive' ELSE 'true_negative' END AS verdict, (l.toxic = 0) = (l.quality = 1) AS fired
     FROM labels l JOIN documents d ON d.doc_id = l.doc_id JOIN {TAINT_AT} ON tv.i = d.n_chars % 8"""
-RELATIONS["bindings"] = "SELECT 'c' || CAST(s_suppkey AS STRING) AS contract, 'fn' || CAST(s_suppkey * 3 AS STRING) AS f1, 'fn' || CAST(s_suppkey * 40 AS STRING) AS f2 FROM supplier"
+# names of functions go up to fn2999: the later contracts have none
+RELATIONS["bindings"] = "SELECT 'c' || CAST(s_suppkey AS STRING) AS contract, 'fn' || CAST(s_suppkey * 3 + 2900 AS STRING) AS f1, 'fn' || CAST(s_suppkey * 400 + 1000 AS STRING) AS f2 FROM supplier"
+RELATIONS["base_rules"] = """
+    SELECT 'R' || CAST(k AS STRING) AS rule_id, CASE k % 4 WHEN 0 THEN 'ERROR' WHEN 1 THEN 'WARNING' WHEN 2 THEN 'INFO' ELSE 'CRITICAL' END AS severity, k % 3 = 0 AS unconditional
+    FROM (SELECT DISTINCT p_size AS k FROM part) p"""
+RELATIONS["overrides"] = """
+    SELECT 'R' || CAST(s_suppkey % 60 AS STRING) AS rule_id, CASE s_nationkey % 5 WHEN 0 THEN 'OFF' WHEN 1 THEN 'INFO' WHEN 2 THEN 'WARNING' WHEN 3 THEN 'ERROR' ELSE 'CRITICAL' END AS severity,
+           CAST(s_suppkey AS BIGINT) AS ordinal FROM supplier"""
+RELATIONS["dependencies"] = """
+    SELECT 'lib' || CAST(n_nationkey % 9 AS STRING) AS package, 'f' || CAST(n_nationkey AS STRING) AS function, CASE n_nationkey % 3 WHEN 0 THEN 'GUARDED' WHEN 1 THEN 'ASSURED' ELSE 'EXTERNAL_RAW' END AS taint FROM nation"""
+RELATIONS["calls"] = """
+    SELECT l_orderkey AS call_order, l_linenumber AS call_line, l_partkey AS call_part, 'lib' || CAST(l_suppkey % 14 AS STRING) || '.f' || CAST(l_partkey % 30 AS STRING) AS full_name FROM lineitem"""
 RELATIONS["tiers_now"] = "SELECT 'm' || CAST(s_suppkey AS STRING) AS path, CAST(1 + s_nationkey % 4 AS INT) AS tier FROM supplier"
 RELATIONS["tiers_then"] = "SELECT 'm' || CAST(s_suppkey AS STRING) AS path, CAST(1 + (s_nationkey + s_suppkey) % 4 AS INT) AS tier FROM supplier WHERE s_suppkey % 6 <> 0"
 
