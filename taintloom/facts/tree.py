@@ -114,7 +114,7 @@ class Module:
         f = call.func
         if isinstance(f, ast.Name):
             own = f"{module}.{f.id}" if module else f.id
-            return own if f.id in local else self.aliases.get(f.id)
+            return own if own in local else self.aliases.get(f.id)
         if isinstance(f, ast.Attribute) and isinstance(f.value, ast.Name) and f.value.id in self.aliases:
             return f"{self.aliases[f.value.id]}.{f.attr}"
         return None

@@ -61,13 +61,19 @@ def low_resolution(counts: DataFrame, limit: float = 0.7) -> DataFrame:
 
 
 def bounded_expand(seed: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
-    """Names reached from the seed by at most `rounds` steps to callers, with the round that found them."""
-    edges = _cut(edges.select("src", "dst").distinct())
-    found = _cut(seed.select("name").distinct().withColumn("round", F.lit(0)))
+    """Names reached from the seed by at most `rounds` steps to callers, with the round that found them.
+
+    A name is found in the first round that reaches it. Rounds are few by their setting; the lineage is cut from the
+    third on, before that a plan of joins is cheaper than a table.
+    """
+    calls = edges.select("src", "dst").distinct()
+    found = seed.select("name").distinct().withColumn("round", F.lit(0))
     edge = found
     for k in range(1, rounds + 1):
-        callers = edges.join(edge.select(F.col("name").alias("dst")), "dst", "left_semi").select(F.col("src").alias("name")).distinct()
-        edge = _cut(callers.join(found, "name", "left_anti").withColumn("round", F.lit(k)))
+        if k > 2:
+            calls, found, edge = _cut(calls) if k == 3 else calls, _cut(found), _cut(edge)
+        callers = calls.join(edge.select(F.col("name").alias("dst")), "dst", "left_semi").select(F.col("src").alias("name")).distinct()
+        edge = callers.join(found, "name", "left_anti").withColumn("round", F.lit(k))
         found = found.unionByName(edge)
     return found
 

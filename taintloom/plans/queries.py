@@ -19,10 +19,13 @@ from taintloom.operators import graph as G
 from taintloom.operators import local_graph as LG
 from taintloom.operators import paths as W
 from taintloom.operators import regime as M
+from taintloom.plans import samples as S
 from taintloom.plans.standins import MATRIX_SQL, NOW, PAIRS_SQL, RANK_SQL, TIER_SQL, relation, values, with_relations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: The statement of each query without its relations.
+STATEMENTS: dict[str, str] = {}
 
 
 def query(name: str, relations: str, sql: str | None):
@@ -32,12 +35,19 @@ def query(name: str, relations: str, sql: str | None):
     def register(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         QUERIES[name] = lambda spark, sf_dir: f(*[relation(spark, sf_dir, n) for n in names])
         if sql is not None:
+            STATEMENTS[name] = sql
             ORACLES[name] = with_relations(*names, then=sql)
         return f
 
     return register
 
 
+def nested(name: str) -> str:
+    """A query's statement, to stand within another that has its relations."""
+    sql = STATEMENTS[name]
+    return "(WITH" + sql[1:] + ")" if sql.startswith(",") else f"({sql})"
+
+
 def literal(df: DataFrame, rows, schema: str) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, schema)
 
@@ -509,6 +519,62 @@ def _(register):
     return X.migrate(register, drifted, D.severity_matrix(register.sparkSession)).select("id", "taint_state", "migrated_from")
 
 
+@query("v5_agent_provenance", "register", "SELECT 'agent_originated_exception' AS kind, '' AS function, location AS file_path, id AS detail FROM register WHERE agent_originated IS NULL")
+def _(register):
+    return C.agent_provenance(register)
+
+
+@query("v5_exception_dates", "register", f"""SELECT 'expired_exception' AS kind, '' AS function, location AS file_path, id || ' ' || CASE WHEN TRY_CAST(expires AS DATE) IS NULL THEN 'unreadable' WHEN TRY_CAST(expires AS DATE) < DATE '{NOW}' THEN 'expired' ELSE 'too far' END AS detail
+    FROM register WHERE expires IS NOT NULL AND (TRY_CAST(expires AS DATE) IS NULL OR TRY_CAST(expires AS DATE) < DATE '{NOW}' OR date_diff('day', DATE '{NOW}', TRY_CAST(expires AS DATE)) > 365)""")
+def _(register):
+    return C.exception_ages(register, NOW)
+
+
+ALL_MODULES = f", modules AS (SELECT m.path, tr.tier FROM module_tiers m JOIN {TIER_SQL} ON tr.taint = m.default_taint UNION ALL SELECT path, tier FROM tiers_now)"
+CHECKS = ["j12_orphaned_annotations", "j13_undeclared_boundaries", "j16_tier_changes", "v5_agent_provenance", "v5_exception_dates", "j14_unmatched_contracts", "j15_stale_bindings", "v3_tier_topology", "v4_validation_scope", "v4_restoration_evidence", "j17_evidence_divergence"]
+
+
+@query("v6_every_check", "annotations boundaries module_tiers tiers_now tiers_then register bindings functions", ALL_MODULES + f""", i AS ({' UNION ALL '.join('SELECT kind, function, file_path, detail FROM ' + nested(c) for c in CHECKS)}
+    UNION ALL SELECT 'tier_distribution', '', '', NULL FROM (SELECT round(count_if(tier >= 3) * 100.0::DOUBLE / count(*), 3) AS pct FROM modules) WHERE pct > 60
+    UNION ALL SELECT 'first_scan_perimeter', '', '', 'no baseline of the perimeter')
+    SELECT kind, CASE WHEN kind IN ({', '.join(f"'{k}'" for k in D.COHERENCE_ERRORS)}) THEN 'ERROR' ELSE 'WARNING' END AS severity, CASE WHEN kind IN ({', '.join(f"'{k}'" for k in D.COHERENCE_POLICY)}) THEN 'policy' ELSE 'enforcement' END AS category,
+    count(*)::BIGINT AS n, count(DISTINCT function || '|' || file_path)::BIGINT AS n_places FROM i GROUP BY kind""")
+def _(annotations, boundaries, module_tiers, now, then, register, bindings, functions):
+    modules = _tiers(module_tiers).unionByName(now)
+    stated = annotations.withColumns({"structural": F.col("pos") % 2 == 0, "semantic": F.when(F.col("pos") % 3 != 0, True), "integrity": F.col("pos") % 5 == 0, "institutional": F.lit(True)})
+    every = C.every_check(annotations, boundaries, modules, then, now.filter("path like '%3'").select("path"), register, _bound(bindings), functions, stated, KEYS, NOW, None)
+    return every.groupBy("kind", "severity", "category").agg(F.count("*").alias("n"), F.count_distinct(F.concat("function", F.lit("|"), "file_path")).alias("n_places"))
+
+
+@query("v12_grant", "findings register", f""", w AS (SELECT ordinal, rule_id, taint_state, CASE WHEN ordinal % 31 = 0 THEN file_path ELSE file_path || '::' || coalesce(qualname, 'f') END AS location,
+        CASE WHEN ordinal % 37 = 0 THEN 'soon' WHEN ordinal % 3 = 0 THEN '2000-01-01' END AS expires, ordinal % 5 = 0 AS agent, CASE WHEN fingerprint IS NULL THEN '' ELSE fingerprint END AS fp FROM findings),
+    most AS (SELECT rule_id, location, max(recurrence_count) AS m FROM register GROUP BY rule_id, location)
+    SELECT w.ordinal, CASE WHEN mx.exceptionability = 'UNCONDITIONAL' THEN 'unconditional' WHEN NOT contains(w.location, '::') THEN 'location is not path::name' WHEN w.agent AND w.expires IS NULL THEN 'an agent''s exception must end'
+        WHEN w.expires = 'soon' THEN 'unreadable date' WHEN w.fp = '' THEN 'no fingerprint' END AS refused, mx.exceptionability, mx.severity AS severity_at_grant, (coalesce(most.m + 1, 0))::INT AS recurrence_count
+    FROM w JOIN {MATRIX_SQL} ON mx.rule_id = w.rule_id AND mx.taint_state = w.taint_state LEFT JOIN most ON most.rule_id = w.rule_id AND most.location = w.location""")
+def _(findings, register):
+    nth = F.col("ordinal")
+    wanted = findings.select(
+        "ordinal", "rule_id", "taint_state", F.when(nth % 31 == 0, F.col("file_path")).otherwise(F.concat_ws("::", "file_path", F.coalesce("qualname", F.lit("f")))).alias("location"),
+        F.when(nth % 37 == 0, "soon").when(nth % 3 == 0, "2000-01-01").alias("expires"), (nth % 5 == 0).alias("agent_originated"), F.coalesce("fingerprint", F.lit("")).alias("ast_fingerprint"),
+    )
+    return X.grant(register, wanted, D.severity_matrix(register.sparkSession)).select("ordinal", "refused", "exceptionability", "severity_at_grant", "recurrence_count")
+
+
+@query("v12_preview_drift", "findings register", f""", now_ AS (SELECT qualname, min(taint_state) AS t FROM findings WHERE qualname IS NOT NULL GROUP BY qualname)
+    SELECT r.id, r.taint_state AS taint_then, n.t AS taint_now, mx.exceptionability AS would_be, mx.exceptionability <> 'UNCONDITIONAL' AS may_move
+    FROM register r JOIN now_ n ON n.qualname = split_part(r.location, '::', 2) JOIN {MATRIX_SQL} ON mx.rule_id = r.rule_id AND mx.taint_state = n.t WHERE n.t <> r.taint_state""")
+def _(findings, register):
+    now = findings.filter("qualname is not null").groupBy("qualname").agg(F.min("taint_state").alias("taint_state"))
+    return X.preview_drift(register, now, D.severity_matrix(register.sparkSession))
+
+
+@query("k1_run_properties", "findings", f""", {SEVERE} SELECT count_if(severity = 'ERROR')::BIGINT AS "errorFindingCount", count(exception_id)::BIGINT AS "exceptedFindingCount", count_if(severity = 'ERROR' AND exception_id IS NULL)::BIGINT AS "gateBlockingCount",
+    count_if(severity = 'SUPPRESS')::BIGINT AS "suppressedCellFindingCount", count_if(severity = 'WARNING')::BIGINT AS "warningFindingCount", string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS "implementedRules" FROM severe""")
+def _(findings):
+    return R.run_properties(R.with_severity(findings))
+
+
 # fingerprints -----------------------------------------------------------------------------------------
 
 J18 = """SELECT coalesce(b.qualname, c.qualname) AS qualname, CASE WHEN b.qualname IS NULL THEN 'ADDED' WHEN c.qualname IS NULL THEN 'REMOVED' ELSE 'MODIFIED' END AS change, coalesce(c.last_changed, b.last_changed) AS last_changed
@@ -604,6 +670,28 @@ def _(specimens):
     return K.category_coverage(specimens, literal(specimens, FLOORS, "category string, floor int"))
 
 
+ADVERSARIAL = "CASE category WHEN 'en' THEN 'adversarial_false_positive' WHEN 'fr' THEN 'adversarial_false_negative' ELSE 'taint_flow' END"
+
+
+@query("v14_conformance_gaps", "specimens findings", f""", {SEVERE}, sp AS (SELECT rule_id, {ADVERSARIAL} AS category FROM specimens WHERE rule_id <> 'PY-WL-004' OR category <> 'fr'), c AS (SELECT count_if(verdict = 'FAIL') AS n FROM {nested("a13_cell_verdicts")}),
+    e AS (SELECT count_if(severity = 'ERROR' AND exception_id IS NULL) AS n FROM severe), r AS (SELECT DISTINCT rule_id FROM findings),
+    k AS (SELECT unnest(['adversarial_false_positive', 'adversarial_false_negative']) AS category),
+    m AS (SELECT k.category, r.rule_id FROM r, k WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.rule_id = r.rule_id AND sp.category = k.category)),
+    f AS (SELECT fl.category, fl.floor, count(sp.rule_id) AS n FROM {values(list(D.CATEGORY_FLOORS.items()), 'fl', 'category', 'floor')} LEFT JOIN sp ON sp.category = fl.category GROUP BY ALL)
+    SELECT n || ' cells below floor' AS gap FROM c WHERE n > 0 UNION ALL SELECT n || ' errors without exception' FROM e WHERE n > 0
+    UNION ALL SELECT category || ': missing for ' || string_agg(rule_id, ',' ORDER BY rule_id) FROM m GROUP BY category UNION ALL SELECT category || ': ' || n || '/' || floor FROM f WHERE n < floor""")
+def _(specimens, findings):
+    kind = F.when(F.col("category") == "en", "adversarial_false_positive").when(F.col("category") == "fr", "adversarial_false_negative").otherwise("taint_flow")
+    some = specimens.filter("rule_id != 'PY-WL-004' or category != 'fr'").select("rule_id", kind.alias("category"))
+    return K.conformance_gaps(K.cell_verdicts(specimens), R.with_severity(findings), some, D.CATEGORY_FLOORS)
+
+
+@query("v14_stale_inputs", "baseline current", "SELECT c.qualname AS input FROM current c LEFT JOIN baseline b ON b.qualname = c.qualname WHERE b.annotation_hash IS DISTINCT FROM c.annotation_hash")
+def _(baseline, current):
+    pair = lambda df: df.select(F.col("qualname").alias("name"), F.col("annotation_hash").alias("value"))
+    return K.stale_inputs(pair(baseline), pair(current))
+
+
 # literals, sets ---------------------------------------------------------------------------------------
 
 QUERIES["t9_string_literals"] = lambda spark, d: R.literal_counts(spark.read.parquet(f"{d}/conversations.parquet").select(F.explode(F.split("text", " ")).alias("value")), "value")
@@ -682,56 +770,62 @@ def _(findings, annotations, register):
 
 # sources ----------------------------------------------------------------------------------------------
 
-SAMPLE = {
-    "app/core.py": '''
-from trust import external_boundary, validates_shape, integral_writer, fail_open, fail_closed
-
-@external_boundary
-def fetch(url):
-    try:
-        return client.get(url, None)
-    except Exception:
-        pass
-
-@validates_shape
-def check(data):
-    if "key" in data:
-        return data
-
-def handle(url):
-    raw = fetch(url)
-    name = getattr(raw, "name", "none")
-    if isinstance(raw, dict):
-        return name
-    return raw.title or "untitled"
-
-@fail_open
-@fail_closed
-def confused(x):
-    return x
-''',
-    "app/broken.py": "def f(:\n",
-    "app/audit.py": '''
-class Store:
-    def save(self, row):
-        if row:
-            return None
-        self.audit_log(row)
-        return row
-''',
-}
+PACKAGES = ("trust",)
 
 
-def _scan_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+def source_table(spark: SparkSession, files: dict[str, str]) -> DataFrame:
+    """Sources as bytes, as a source tree gives them."""
+    return literal(spark.range(0), [(p, bytearray(t.encode())) for p, t in files.items()], "path string, content binary")
+
+
+def _facts(spark: SparkSession, files: dict[str, str]) -> DataFrame:
     from taintloom.facts.extract import facts
+
+    return facts(source_table(spark, files), packages=PACKAGES)
+
+
+def sample_query(name: str, source: str, f: Callable[[DataFrame], DataFrame], columns: str, rows) -> None:
+    """Register a query over the facts of one source of samples.py, with the rows written there."""
+    QUERIES[name] = lambda spark, _: f(_facts(spark, {"sample/m.py": source}))
+    ORACLES[name] = f"SELECT {columns} FROM {values(rows, 'v', *columns.split(', '))}"
+
+
+def _hits(rule: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda facts: facts.filter((F.col("kind") == "hit") & (F.col("name") == rule)).select("qualname", "line")
+
+
+for _rule, _source in S.RULES.items():
+    sample_query(f"r{_rule[-1]}_{_rule.replace('-', '_').lower()}", _source, _hits(_rule), "qualname, line", S.expected(_source))
+sample_query("r14_advisory_lint", S.LINT, lambda facts: facts.filter("kind = 'advice'").select(F.col("name").alias("rule"), "line"), "rule, line", S.expected(S.LINT))
+sample_query("t1_t2_functions", S.NAMES, lambda facts: facts.filter("kind = 'function'").select("qualname", "line"), "qualname, line", S.FUNCTIONS)
+sample_query("t4_import_aliases", S.NAMES, lambda facts: facts.filter("kind = 'import'").select("name", "target"), "name, target", S.ALIASES)
+sample_query("t5_full_names_of_calls", S.NAMES, lambda facts: facts.filter("kind = 'reaches'").select("qualname", "target"), "qualname, target", S.CALLS)
+sample_query("t6_annotations", S.NAMES, lambda facts: facts.filter("kind = 'annotation'").select("qualname", "name", "value"), "qualname, name, value", S.ANNOTATIONS)
+sample_query("t7_dynamic_imports", S.NAMES, lambda facts: facts.filter("kind = 'dynamic_import'").select("name"), "name", [(n,) for n in S.DYNAMIC])
+sample_query("t8_call_edges", S.NAMES, lambda facts: facts.filter("kind = 'edge'").select("qualname", "target"), "qualname, target", S.EDGES)
+
+
+def _variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from taintloom.facts.flow import variable_taints
+
+    sources = source_table(spark, {"m.py": S.FLOW})
+    taints = literal(sources, [("m.py", *t) for t in S.FLOW_TAINTS], "file_path string, qualname string, body_taint string")
+    return variable_taints(sources, taints, literal(sources, [("lib.safe", "ASSURED")], "name string, taint string")).select("qualname", "variable", "taint")
+
+
+QUERIES["g7_variable_taints"] = _variables
+ORACLES["g7_variable_taints"] = f"SELECT qualname, variable, taint FROM {values([('f', *v) for v in S.VARIABLES], 'v', 'qualname', 'variable', 'taint')}"
+
+
+def _scan_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     from taintloom.plans import scan
 
-    sources = spark.createDataFrame([(p, bytearray(t.encode())) for p, t in SAMPLE.items()], "path string, content binary")
-    found = facts(sources).cache()
-    tiers = spark.createDataFrame([(0, "app", "ASSURED")], "ordinal int, path string, default_taint string")
-    none = spark.createDataFrame([], "function string, transition string, overlay_scope string")
-    fields = spark.createDataFrame([], "field string, approved_default string, scope string")
-    return scan.findings(found, scan.function_taints(found, tiers, level=3), none, fields)
+    found = _facts(spark, S.PROJECT).cache()
+    tiers = literal(found, S.PROJECT_TIERS, "ordinal int, path string, default_taint string")
+    declared = literal(found, S.PROJECT_BOUNDARIES, "function string, transition string, overlay_scope string")
+    fields = literal(found, S.PROJECT_FIELDS, "field string, approved_default string, scope string")
+    return scan.findings(found, scan.function_taints(found, tiers, level=3), declared, fields, module_tiers=tiers)
 
 
 QUERIES["scan_sample_sources"] = _scan_sample
+ORACLES["scan_sample_sources"] = f"SELECT * FROM {values(S.PROJECT_FINDINGS, 'v', *S.PROJECT_COLUMNS)}"

@@ -17,7 +17,7 @@ NOW = "1999-06-30"
 
 def values(rows, *names: str) -> str:
     """A VALUES relation."""
-    show = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v).upper() if isinstance(v, bool) else str(v)
+    show = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v).upper() if isinstance(v, bool) else str(v)
     return "(VALUES " + ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows) + f") AS {names[0]}({', '.join(names[1:])})"
 
 
