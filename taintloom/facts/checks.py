@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ast
-import re
 from collections.abc import Callable, Iterator
 
 from taintloom.facts.tree import FUNCTION, Function, dotted, is_constant_false, last_name, own_nodes
@@ -15,10 +14,11 @@ CHECKS: dict[str, Callable[[Function], Iterator[Hit]]] = {}
 BROAD = ("Exception", "BaseException")
 SET_MAKERS = ("set", "frozenset")
 SET_MUTATORS = ("add", "discard", "update", "difference_update", "intersection_update", "symmetric_difference_update")
-SET_RESULT = re.compile(r"(?i)(_names|_set|_keys|_ids|_set_names|_name_set)$")
-SETS_INSIDE = re.compile(r"(?i)scc|_sets|_groups")
-TEXT_NAME = re.compile(r"(?i)^(lowered|uppered|lower|upper)$|(_lower|_upper|_name|_text|_str|_msg|_message|_label)$")
-SHAPE_NAME = re.compile(r"(?i)schema|shape|structure")
+SET_RESULT_ENDS = ("_names", "_set", "_keys", "_ids", "_set_names", "_name_set")
+SETS_INSIDE_PARTS = ("scc", "_sets", "_groups")
+TEXT_NAMES = ("lowered", "uppered", "lower", "upper")
+TEXT_NAME_ENDS = ("_lower", "_upper", "_name", "_text", "_str", "_msg", "_message", "_label")
+SHAPE_PARTS = ("schema", "shape", "structure")
 AUDIT_NAMES = ("audit", "record", "emit")
 COMPARISONS = ("__eq__", "__ne__", "__lt__", "__le__", "__gt__", "__ge__")
 POSITIONS = ("lineno", "col_offset", "end_lineno", "end_col_offset")
@@ -40,6 +40,15 @@ def plain_call(call: ast.AST, *names: str) -> bool:
     return isinstance(call, ast.Call) and isinstance(call.func, ast.Name) and call.func.id in names
 
 
+def holds_part(name: str | None, parts: tuple[str, ...]) -> bool:
+    return any(p in (name or "").lower() for p in parts)
+
+
+def text_name(name: str) -> bool:
+    """Whether a name says that it holds a text."""
+    return name.lower() in TEXT_NAMES or name.lower().endswith(TEXT_NAME_ENDS)
+
+
 def schema_default(call: ast.Call) -> ast.Call | None:
     """The d.get(key, default) inside schema_default(...)."""
     inner = call.args[0] if last_name(call) == "schema_default" and len(call.args) == 1 else None
@@ -88,9 +97,9 @@ def set_names(f: Function) -> set[str]:
         if isinstance(n, ast.Assign):
             to = {t.id for t in n.targets if isinstance(t, ast.Name)}
             called = last_name(n.value) if isinstance(n.value, ast.Call) else None
-            if set_valued(n.value) or called and SET_RESULT.search(called):
+            if set_valued(n.value) or called and called.lower().endswith(SET_RESULT_ENDS):
                 out |= to
-            elif called and SETS_INSIDE.search(called):
+            elif holds_part(called, SETS_INSIDE_PARTS):
                 nested |= to
         elif isinstance(n, ast.Expr) and method(n.value, *SET_MUTATORS) and isinstance(n.value.func.value, ast.Name):
             out.add(n.value.func.value.id)
@@ -98,7 +107,7 @@ def set_names(f: Function) -> set[str]:
             out.add(n.target.id)
         elif isinstance(n, ast.For) and isinstance(n.target, ast.Name):
             over = n.iter
-            if isinstance(over, ast.Call) and SETS_INSIDE.search(last_name(over) or "") or isinstance(over, ast.Name) and over.id in nested and over.id not in out:
+            if isinstance(over, ast.Call) and holds_part(last_name(over), SETS_INSIDE_PARTS) or isinstance(over, ast.Name) and over.id in nested and over.id not in out:
                 out.add(n.target.id)
     return out
 
@@ -114,7 +123,7 @@ def key_test(over: ast.AST, sets: set[str]) -> bool:
     if not isinstance(over, (ast.Name, ast.Attribute, ast.Subscript)):
         return False
     name = last_name(over) or ""
-    return not (isinstance(over, ast.Name) and name in sets or name.isupper() or TEXT_NAME.search(name))
+    return not (isinstance(over, ast.Name) and name in sets or name.isupper() or text_name(name))
 
 
 @check("PY-WL-003")
@@ -285,7 +294,7 @@ def shape_call(c: ast.AST) -> bool:
         return False
     name = last_name(c) or ""
     on = last_name(c.func.value) if isinstance(c.func, ast.Attribute) else None
-    return plain_call(c, "isinstance", "hasattr") or bool(SHAPE_NAME.search(name)) or name in ("validate", "is_valid") and bool(SHAPE_NAME.search(on or ""))
+    return plain_call(c, "isinstance", "hasattr") or holds_part(name, SHAPE_PARTS) or name in ("validate", "is_valid") and holds_part(on, SHAPE_PARTS)
 
 
 def membership(c: ast.AST) -> bool:

@@ -17,14 +17,14 @@ from taintloom.facts.tree import Function, Module, dotted
 from taintloom.functions.domains import GROUP, RANK
 
 # Calls that serialise, whose results are of unknown origin
-SERIALISERS = frozenset(
-    f"{module}.{name}"
-    for module, names in {
-        "json": "dumps dump loads load", "pickle": "dumps dump loads load", "marshal": "dumps dump loads load",
-        "yaml": "dump safe_dump dump_all safe_load load safe_load_all load_all", "tomllib": "loads load", "tomli_w": "dumps dump",
-    }.items()
-    for name in names.split()
-)
+SERIALISERS = frozenset({
+    "json.dump", "json.dumps", "json.load", "json.loads",
+    "pickle.dump", "pickle.dumps", "pickle.load", "pickle.loads",
+    "marshal.dump", "marshal.dumps", "marshal.load", "marshal.loads",
+    "yaml.dump", "yaml.dump_all", "yaml.load", "yaml.load_all", "yaml.safe_dump", "yaml.safe_load", "yaml.safe_load_all",
+    "tomllib.load", "tomllib.loads",
+    "tomli_w.dump", "tomli_w.dumps",
+})
 
 
 def join(taints: list[str]) -> str:

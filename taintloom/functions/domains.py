@@ -22,23 +22,82 @@ RANK = {t: r for t, r, _ in TAINTS}
 TIER = {t: n for t, _, n in TAINTS}
 SEVERITY_RANK = {"SUPPRESS": 0, "WARNING": 1, "ERROR": 2}
 
-# severity and exceptionability of each rule, by taint in the order of MATRIX_TAINTS
-MATRIX_TAINTS = ("INTEGRAL", "ASSURED", "GUARDED", "EXTERNAL_RAW", "UNKNOWN_RAW", "UNKNOWN_GUARDED", "UNKNOWN_ASSURED", "MIXED_RAW")
-MATRIX_ROWS = {
-    "PY-WL-001": "Eu Es Wr St St Wr Es St",
-    "PY-WL-002": "Eu Es Wr Wr Wr Wr Es Ws",
-    "PY-WL-003": "Eu Eu Es St St Es Es St",
-    "PY-WL-004": "Eu Es Ws Wr Es Ws Ws Es",
-    "PY-WL-005": "Eu Es Ws Wr Es Ws Ws Es",
-    "PY-WL-006": "Eu Eu Es Es Es Es Es Es",
-    "PY-WL-007": "Es Wr Wr St St Wr Wr Ws",
-    "PY-WL-008": "Eu Eu Eu Eu Eu Eu Eu Eu",
-    "PY-WL-009": "Eu Eu Eu Eu Eu Eu Eu Eu",
-}
-_SEVERITY = {"E": "ERROR", "W": "WARNING", "S": "SUPPRESS"}
-_EXCEPTION = {"u": "UNCONDITIONAL", "s": "STANDARD", "r": "RELAXED", "t": "TRANSPARENT"}
-MATRIX = tuple((rule, t, _SEVERITY[c[0]], _EXCEPTION[c[1]]) for rule, cells in MATRIX_ROWS.items() for t, c in zip(MATRIX_TAINTS, cells.split()))
-RULES = (*MATRIX_ROWS, "SCN-021", "SCN-022", "SUP-001")
+# rule, taint, severity, exceptionability
+MATRIX = (
+    ("PY-WL-001", "INTEGRAL", "ERROR", "UNCONDITIONAL"),
+    ("PY-WL-001", "ASSURED", "ERROR", "STANDARD"),
+    ("PY-WL-001", "GUARDED", "WARNING", "RELAXED"),
+    ("PY-WL-001", "EXTERNAL_RAW", "SUPPRESS", "TRANSPARENT"),
+    ("PY-WL-001", "UNKNOWN_RAW", "SUPPRESS", "TRANSPARENT"),
+    ("PY-WL-001", "UNKNOWN_GUARDED", "WARNING", "RELAXED"),
+    ("PY-WL-001", "UNKNOWN_ASSURED", "ERROR", "STANDARD"),
+    ("PY-WL-001", "MIXED_RAW", "SUPPRESS", "TRANSPARENT"),
+    ("PY-WL-002", "INTEGRAL", "ERROR", "UNCONDITIONAL"),
+    ("PY-WL-002", "ASSURED", "ERROR", "STANDARD"),
+    ("PY-WL-002", "GUARDED", "WARNING", "RELAXED"),
+    ("PY-WL-002", "EXTERNAL_RAW", "WARNING", "RELAXED"),
+    ("PY-WL-002", "UNKNOWN_RAW", "WARNING", "RELAXED"),
+    ("PY-WL-002", "UNKNOWN_GUARDED", "WARNING", "RELAXED"),
+    ("PY-WL-002", "UNKNOWN_ASSURED", "ERROR", "STANDARD"),
+    ("PY-WL-002", "MIXED_RAW", "WARNING", "STANDARD"),
+    ("PY-WL-003", "INTEGRAL", "ERROR", "UNCONDITIONAL"),
+    ("PY-WL-003", "ASSURED", "ERROR", "UNCONDITIONAL"),
+    ("PY-WL-003", "GUARDED", "ERROR", "STANDARD"),
+    ("PY-WL-003", "EXTERNAL_RAW", "SUPPRESS", "TRANSPARENT"),
+    ("PY-WL-003", "UNKNOWN_RAW", "SUPPRESS", "TRANSPARENT"),
+    ("PY-WL-003", "UNKNOWN_GUARDED", "ERROR", "STANDARD"),
+    ("PY-WL-003", "UNKNOWN_ASSURED", "ERROR", "STANDARD"),
+    ("PY-WL-003", "MIXED_RAW", "SUPPRESS", "TRANSPARENT"),
+    ("PY-WL-004", "INTEGRAL", "ERROR", "UNCONDITIONAL"),
+    ("PY-WL-004", "ASSURED", "ERROR", "STANDARD"),
+    ("PY-WL-004", "GUARDED", "WARNING", "STANDARD"),
+    ("PY-WL-004", "EXTERNAL_RAW", "WARNING", "RELAXED"),
+    ("PY-WL-004", "UNKNOWN_RAW", "ERROR", "STANDARD"),
+    ("PY-WL-004", "UNKNOWN_GUARDED", "WARNING", "STANDARD"),
+    ("PY-WL-004", "UNKNOWN_ASSURED", "WARNING", "STANDARD"),
+    ("PY-WL-004", "MIXED_RAW", "ERROR", "STANDARD"),
+    ("PY-WL-005", "INTEGRAL", "ERROR", "UNCONDITIONAL"),
+    ("PY-WL-005", "ASSURED", "ERROR", "STANDARD"),
+    ("PY-WL-005", "GUARDED", "WARNING", "STANDARD"),
+    ("PY-WL-005", "EXTERNAL_RAW", "WARNING", "RELAXED"),
+    ("PY-WL-005", "UNKNOWN_RAW", "ERROR", "STANDARD"),
+    ("PY-WL-005", "UNKNOWN_GUARDED", "WARNING", "STANDARD"),
+    ("PY-WL-005", "UNKNOWN_ASSURED", "WARNING", "STANDARD"),
+    ("PY-WL-005", "MIXED_RAW", "ERROR", "STANDARD"),
+    ("PY-WL-006", "INTEGRAL", "ERROR", "UNCONDITIONAL"),
+    ("PY-WL-006", "ASSURED", "ERROR", "UNCONDITIONAL"),
+    ("PY-WL-006", "GUARDED", "ERROR", "STANDARD"),
+    ("PY-WL-006", "EXTERNAL_RAW", "ERROR", "STANDARD"),
+    ("PY-WL-006", "UNKNOWN_RAW", "ERROR", "STANDARD"),
+    ("PY-WL-006", "UNKNOWN_GUARDED", "ERROR", "STANDARD"),
+    ("PY-WL-006", "UNKNOWN_ASSURED", "ERROR", "STANDARD"),
+    ("PY-WL-006", "MIXED_RAW", "ERROR", "STANDARD"),
+    ("PY-WL-007", "INTEGRAL", "ERROR", "STANDARD"),
+    ("PY-WL-007", "ASSURED", "WARNING", "RELAXED"),
+    ("PY-WL-007", "GUARDED", "WARNING", "RELAXED"),
+    ("PY-WL-007", "EXTERNAL_RAW", "SUPPRESS", "TRANSPARENT"),
+    ("PY-WL-007", "UNKNOWN_RAW", "SUPPRESS", "TRANSPARENT"),
+    ("PY-WL-007", "UNKNOWN_GUARDED", "WARNING", "RELAXED"),
+    ("PY-WL-007", "UNKNOWN_ASSURED", "WARNING", "RELAXED"),
+    ("PY-WL-007", "MIXED_RAW", "WARNING", "STANDARD"),
+    ("PY-WL-008", "INTEGRAL", "ERROR", "UNCONDITIONAL"),
+    ("PY-WL-008", "ASSURED", "ERROR", "UNCONDITIONAL"),
+    ("PY-WL-008", "GUARDED", "ERROR", "UNCONDITIONAL"),
+    ("PY-WL-008", "EXTERNAL_RAW", "ERROR", "UNCONDITIONAL"),
+    ("PY-WL-008", "UNKNOWN_RAW", "ERROR", "UNCONDITIONAL"),
+    ("PY-WL-008", "UNKNOWN_GUARDED", "ERROR", "UNCONDITIONAL"),
+    ("PY-WL-008", "UNKNOWN_ASSURED", "ERROR", "UNCONDITIONAL"),
+    ("PY-WL-008", "MIXED_RAW", "ERROR", "UNCONDITIONAL"),
+    ("PY-WL-009", "INTEGRAL", "ERROR", "UNCONDITIONAL"),
+    ("PY-WL-009", "ASSURED", "ERROR", "UNCONDITIONAL"),
+    ("PY-WL-009", "GUARDED", "ERROR", "UNCONDITIONAL"),
+    ("PY-WL-009", "EXTERNAL_RAW", "ERROR", "UNCONDITIONAL"),
+    ("PY-WL-009", "UNKNOWN_RAW", "ERROR", "UNCONDITIONAL"),
+    ("PY-WL-009", "UNKNOWN_GUARDED", "ERROR", "UNCONDITIONAL"),
+    ("PY-WL-009", "UNKNOWN_ASSURED", "ERROR", "UNCONDITIONAL"),
+    ("PY-WL-009", "MIXED_RAW", "ERROR", "UNCONDITIONAL"),
+)
+RULES = (*dict.fromkeys(rule for rule, _, _, _ in MATRIX), "SCN-021", "SCN-022", "SUP-001")
 
 # decorator names by group
 REGISTRY = {
@@ -79,21 +138,41 @@ TRANSITIONS = {
     "integral_construction": "construction",
     "external_boundary": "ingress",
 }
-# decorators that contradict each other
-CONTRADICTIONS = {
-    "ERROR": (
-        "fail_open+fail_closed fail_open+integral_read fail_open+integral_writer fail_open+integral_construction fail_open+integrity_critical "
-        "external_boundary+int_data external_boundary+integral_read external_boundary+integral_construction validates_shape+validates_semantic "
-        "validates_shape+integral_read validates_semantic+external_boundary exception_boundary+must_propagate idempotent+compensatable "
-        "deterministic+time_dependent deterministic+external_boundary integral_read+restoration_boundary integral_writer+restoration_boundary "
-        "external_boundary+restoration_boundary validates_shape+restoration_boundary validates_semantic+restoration_boundary "
-        "validates_external+restoration_boundary integral_construction+restoration_boundary fail_closed+emits_or_explains "
-        "validates_external+validates_shape validates_external+validates_semantic int_data+validates_shape preserve_cause+exception_boundary "
-        "compensatable+integral_writer system_plugin+integral_read"
-    ),
-    "WARNING": "fail_open+deterministic compensatable+deterministic time_dependent+idempotent",
-}
-PAIRS = tuple((*p.split("+"), severity) for severity, pairs in CONTRADICTIONS.items() for p in pairs.split())
+# decorators that contradict each other, and what a pair on one function counts as
+PAIRS = (
+    ("fail_open", "fail_closed", "ERROR"),
+    ("fail_open", "integral_read", "ERROR"),
+    ("fail_open", "integral_writer", "ERROR"),
+    ("fail_open", "integral_construction", "ERROR"),
+    ("fail_open", "integrity_critical", "ERROR"),
+    ("external_boundary", "int_data", "ERROR"),
+    ("external_boundary", "integral_read", "ERROR"),
+    ("external_boundary", "integral_construction", "ERROR"),
+    ("validates_shape", "validates_semantic", "ERROR"),
+    ("validates_shape", "integral_read", "ERROR"),
+    ("validates_semantic", "external_boundary", "ERROR"),
+    ("exception_boundary", "must_propagate", "ERROR"),
+    ("idempotent", "compensatable", "ERROR"),
+    ("deterministic", "time_dependent", "ERROR"),
+    ("deterministic", "external_boundary", "ERROR"),
+    ("integral_read", "restoration_boundary", "ERROR"),
+    ("integral_writer", "restoration_boundary", "ERROR"),
+    ("external_boundary", "restoration_boundary", "ERROR"),
+    ("validates_shape", "restoration_boundary", "ERROR"),
+    ("validates_semantic", "restoration_boundary", "ERROR"),
+    ("validates_external", "restoration_boundary", "ERROR"),
+    ("integral_construction", "restoration_boundary", "ERROR"),
+    ("fail_closed", "emits_or_explains", "ERROR"),
+    ("validates_external", "validates_shape", "ERROR"),
+    ("validates_external", "validates_semantic", "ERROR"),
+    ("int_data", "validates_shape", "ERROR"),
+    ("preserve_cause", "exception_boundary", "ERROR"),
+    ("compensatable", "integral_writer", "ERROR"),
+    ("system_plugin", "integral_read", "ERROR"),
+    ("fail_open", "deterministic", "WARNING"),
+    ("compensatable", "deterministic", "WARNING"),
+    ("time_dependent", "idempotent", "WARNING"),
+)
 
 BUILTIN_VALIDATORS = (
     "jsonschema.validate", "jsonschema.Draft4Validator.validate", "jsonschema.Draft7Validator.validate", "pydantic.TypeAdapter.validate_python",
