@@ -829,3 +829,16 @@ def _scan_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["scan_sample_sources"] = _scan_sample
 ORACLES["scan_sample_sources"] = f"SELECT * FROM {values(S.PROJECT_FINDINGS, 'v', *S.PROJECT_COLUMNS)}"
+
+
+def _own_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two fragments for each cell through the whole scan, scored against the floors."""
+    from taintloom.plans import scan
+
+    schema = "specimen_id string, rule_id string, fragment string, taint_state string, verdict string, boundaries array<struct<function:string,transition:string>>"
+    return K.cell_verdicts(scan.verify_corpus(literal(spark.range(0), S.specimens(D.MATRIX), schema)))
+
+
+QUERIES["s13_own_corpus"] = _own_corpus
+ORACLES["s13_own_corpus"] = f"""SELECT rule_id, taint_state, severity, exceptionability, CASE WHEN severity = 'SUPPRESS' THEN 0 ELSE 1 END::BIGINT AS tp, 0::BIGINT AS fp, CASE WHEN severity = 'SUPPRESS' THEN 2 ELSE 1 END::BIGINT AS tn, 0::BIGINT AS fn,
+    0::BIGINT AS kfn, CASE WHEN severity <> 'SUPPRESS' THEN 1.0::DOUBLE END AS precision, CASE WHEN severity <> 'SUPPRESS' THEN 1.0::DOUBLE END AS recall, 'PASS' AS verdict FROM {MATRIX_SQL}"""

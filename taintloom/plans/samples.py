@@ -528,3 +528,28 @@ PROJECT_FINDINGS = [
     ("SUP-001", "app/contracts.py", "twice", 8, 4, 8, 14, "several changes outside a transaction", None, "ERROR", "STANDARD"),
     ("SUP-001", "app/user.py", None, 1, 0, 1, 33, "imports test-only fixture", None, "ERROR", "STANDARD"),
 ]
+
+# for each rule a fragment that it must report wherever its cell is not silent, and one that it must not
+FRAGMENTS = {
+    "PY-WL-001": ("def f(d):\n    return d.get('k', 1)\n", "def f(d):\n    return d.get('k')\n"),
+    "PY-WL-002": ("def f(o):\n    return o.name or 'none'\n", "def f(o):\n    return o.name\n"),
+    "PY-WL-003": ("def f(d):\n    return 'k' in d\n", "def f(d):\n    return d['k']\n"),
+    "PY-WL-004": ("def f():\n    try:\n        a()\n    except Exception:\n        log()\n", "def f():\n    try:\n        a()\n    except ValueError:\n        log()\n"),
+    "PY-WL-005": ("def f():\n    try:\n        a()\n    except ValueError:\n        pass\n", "def f():\n    try:\n        a()\n    except ValueError:\n        log()\n"),
+    "PY-WL-006": ("def f(r):\n    if r:\n        return 1\n    audit(r)\n", "def f(r):\n    audit(r)\n    return 1\n"),
+    "PY-WL-007": ("def f(x):\n    return isinstance(x, int)\n", "def f(x):\n    return x.kind\n"),
+    "PY-WL-008": ("def f(x):\n    return x\n", "def f(x):\n    raise ValueError\n"),
+    "PY-WL-009": ("def f(d):\n    if d['a']:\n        raise ValueError\n", "def f(d):\n    check_schema(d)\n    if d['a']:\n        raise ValueError\n"),
+}
+DECLARED = {"PY-WL-008": "shape_validation", "PY-WL-009": "semantic_validation"}
+
+
+def specimens(matrix: tuple[tuple[str, str, str, str], ...]) -> list[tuple]:
+    """(specimen_id, rule_id, fragment, taint_state, verdict, boundaries): two for each cell; in a silent cell neither may fire."""
+    out = []
+    for rule, taint, severity, _ in matrix:
+        fires, silent = FRAGMENTS[rule]
+        bounds = [("f", DECLARED[rule])] if rule in DECLARED else []
+        out.append((f"{rule}-{taint}-1", rule, fires, taint, "true_negative" if severity == "SUPPRESS" else "true_positive", bounds))
+        out.append((f"{rule}-{taint}-2", rule, silent, taint, "true_negative", bounds))
+    return out

@@ -64,11 +64,12 @@ def rejection_index(facts: DataFrame, validators: DataFrame, rounds: int = 1) ->
 
 def findings(
     facts: DataFrame, taints: DataFrame, boundaries: DataFrame, optional_fields: DataFrame, rounds: int = 1, level: int = 3,
-    validators: DataFrame | None = None, module_tiers: DataFrame | None = None,
+    validators: DataFrame | None = None, module_tiers: DataFrame | None = None, one_project: bool = True,
 ) -> DataFrame:
     """All findings of the rules. boundaries (function, transition, overlay_scope); optional_fields (field,
     approved_default as source text, scope); validators (name): functions that reject besides the builtin ones;
-    module_tiers (ordinal, path, default_taint): files of tier 1 that are skipped are errors."""
+    module_tiers (ordinal, path, default_taint): files of tier 1 that are skipped are errors. A boundary of any scope
+    lets its function test types; unless the files are one project, only one of the file's own scope does."""
     key = ["file_path", "qualname"]
     spark = facts.sparkSession
     hits = of_kind(facts, "hit").select("file_path", "qualname", F.col("name").alias("rule_id"), F.col("value").alias("message"), "line", "col", "end_line", "end_col", "flag")
@@ -78,7 +79,7 @@ def findings(
     rule = lambda *ids: hits.filter(F.col("rule_id").isin(*ids))
     plain = rule("PY-WL-001", "PY-WL-002", "PY-WL-004", "PY-WL-005", "PY-WL-006")
     gated = R.unless_declared(rule("PY-WL-003"), has(SHAPE), key)
-    typed = rule("PY-WL-007").filter("message != 'isinstance'").unionByName(R.unless_declared(rule("PY-WL-007").filter("message = 'isinstance'"), has([], any_scope=True), key))
+    typed = rule("PY-WL-007").filter("message != 'isinstance'").unionByName(R.unless_declared(rule("PY-WL-007").filter("message = 'isinstance'"), has([], any_scope=one_project), key))
     declared = lambda kinds: has(kinds).withColumn("__declared", F.lit(True))
     either = lambda df, kinds: df.join(declared(kinds), key, "left").filter("flag or __declared is not null").drop("__declared")
     index = rejection_index(facts, R.effective_validators(spark, validators), rounds)
@@ -193,5 +194,5 @@ def verify_corpus(specimens: DataFrame) -> DataFrame:
     taints = of_kind(found, "function").select("file_path", "qualname", "pos").join(one, "file_path").select("file_path", "qualname", "pos", "body_taint", F.lit("decorator").alias("taint_source"))
     b = specimens.select(F.concat(F.col("specimen_id"), F.lit(".py")).alias("overlay_scope"), F.explode("boundaries").alias("x")).select("x.function", "x.transition", "overlay_scope")
     none = specimens.sparkSession.createDataFrame([], "field string, approved_default string, scope string")
-    hits = findings(found, taints, b, none).filter("severity != 'SUPPRESS'").select("file_path", "rule_id").distinct().withColumn("fired", F.lit(True))
+    hits = findings(found, taints, b, none, one_project=False).filter("severity != 'SUPPRESS'").select("file_path", "rule_id").distinct().withColumn("fired", F.lit(True))
     return one.join(hits, ["file_path", "rule_id"], "left").select("specimen_id", "rule_id", F.col("body_taint").alias("taint_state"), "verdict", F.coalesce("fired", F.lit(False)).alias("fired"))

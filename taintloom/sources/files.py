@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,13 +61,50 @@ def write_baseline(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("overwrite").json(path)
 
 
+SPECIMEN = (
+    "specimen_id string, rule string, fragment string, taint_state string, verdict string, sha256 string, analysis_level_required int, category string, "
+    "boundaries array<struct<function:string,transition:string>>, optional_fields array<struct<field:string,approved_default:string>>"
+)
+SPECIMEN_BYTES = 1 << 20
+
+
+def _yaml_rows(batches):
+    """Specimens of YAML files, one a file; a file that is none gives a row with its name and no fragment."""
+    import yaml
+
+    text = lambda v: None if v is None else str(v)
+    for batch in batches:
+        out = []
+        for path, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            try:
+                data = yaml.safe_load(raw.decode("utf-8")) if raw is not None and len(raw) <= SPECIMEN_BYTES else None
+            except (yaml.YAMLError, UnicodeDecodeError):
+                data = None
+            if not isinstance(data, dict):
+                data = {"specimen_id": path}
+            bounds = [{"function": text(b.get("function")), "transition": text(b.get("transition"))} for b in data.get("boundaries") or []]
+            fields = [{"field": text(f.get("field")), "approved_default": repr(f.get("approved_default"))} for f in data.get("optional_fields") or []]
+            own = {k: text(data.get(k)) for k in ("specimen_id", "rule", "fragment", "taint_state", "verdict", "sha256", "category")}
+            out.append(own | {"analysis_level_required": int(data.get("analysis_level_required") or 1), "boundaries": bounds, "optional_fields": fields})
+        kinds = [(k, pa.string()) for k in ("specimen_id", "rule", "fragment", "taint_state", "verdict", "sha256")]
+        pair = lambda *names: pa.list_(pa.struct([(n, pa.string()) for n in names]))
+        kinds += [("analysis_level_required", pa.int32()), ("category", pa.string()), ("boundaries", pair("function", "transition")), ("optional_fields", pair("field", "approved_default"))]
+        yield pa.RecordBatch.from_pylist(out, schema=pa.schema(kinds))
+
+
 def specimens(spark: SparkSession, path: str, level: int = 3) -> DataFrame:
-    """Labelled fragments from JSON lines, up to an analysis level; a wrong hash of a fragment fails the load."""
-    schema = "specimen_id string, rule string, fragment string, taint_state string, verdict string, sha256 string, analysis_level_required int, category string, boundaries array<struct<function:string,transition:string>>"
-    rows = spark.read.schema(schema).json(path).filter(F.coalesce("analysis_level_required", F.lit(1)) <= level)
+    """Labelled fragments up to an analysis level, from JSON lines or from all YAML files below a folder; a wrong or
+    missing hash of a fragment fails the load, after those of higher levels are left out."""
+    if path.endswith((".json", ".jsonl")):
+        rows = spark.read.schema(SPECIMEN).json(path)
+    else:
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.y{a,}ml").load(path)
+        rows = raw.select("path", "content").mapInArrow(_yaml_rows, SPECIMEN)
+    rows = rows.filter(F.coalesce("analysis_level_required", F.lit(1)) <= level)
     good = F.sha2("fragment", 256) == F.coalesce("sha256", F.lit(""))
     rows = rows.withColumn("fragment", F.when(good, F.col("fragment")).otherwise(F.raise_error(F.concat(F.lit("hash of "), "specimen_id"))))
-    return rows.withColumnRenamed("rule", "rule_id").withColumn("boundaries", F.coalesce("boundaries", F.array().cast("array<struct<function:string,transition:string>>")))
+    pairs = {"boundaries": "function:string,transition:string", "optional_fields": "field:string,approved_default:string"}
+    return rows.withColumnRenamed("rule", "rule_id").withColumns({c: F.coalesce(c, F.array().cast(f"array<struct<{t}>>")) for c, t in pairs.items()})
 
 
 def sarif_results(findings: DataFrame) -> DataFrame:
