@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -193,6 +194,31 @@ def verify_corpus(specimens: DataFrame) -> DataFrame:
     one = specimens.select(F.concat(F.col("specimen_id"), F.lit(".py")).alias("file_path"), "specimen_id", "rule_id", F.col("taint_state").alias("body_taint"), "verdict")
     taints = of_kind(found, "function").select("file_path", "qualname", "pos").join(one, "file_path").select("file_path", "qualname", "pos", "body_taint", F.lit("decorator").alias("taint_source"))
     b = specimens.select(F.concat(F.col("specimen_id"), F.lit(".py")).alias("overlay_scope"), F.explode("boundaries").alias("x")).select("x.function", "x.transition", "overlay_scope")
-    none = specimens.sparkSession.createDataFrame([], "field string, approved_default string, scope string")
-    hits = findings(found, taints, b, none, one_project=False).filter("severity != 'SUPPRESS'").select("file_path", "rule_id").distinct().withColumn("fired", F.lit(True))
+    fields = specimens.sparkSession.createDataFrame([], "field string, approved_default string, scope string")
+    if "optional_fields" in specimens.columns:
+        fields = specimens.select(F.explode("optional_fields").alias("x"), F.concat(F.col("specimen_id"), F.lit(".py")).alias("scope")).select("x.field", "x.approved_default", "scope")
+    hits = findings(found, taints, b, fields, one_project=False).filter("severity != 'SUPPRESS'").select("file_path", "rule_id").distinct().withColumn("fired", F.lit(True))
     return one.join(hits, ["file_path", "rule_id"], "left").select("specimen_id", "rule_id", F.col("body_taint").alias("taint_state"), "verdict", F.coalesce("fired", F.lit(False)).alias("fired"))
+
+
+def unreadable(paths: DataFrame, facts: DataFrame) -> DataFrame:
+    """Facts of kind skipped for listed files of which nothing could be read."""
+    gone = paths.select(F.col("path").alias("file_path")).join(facts.select("file_path").distinct(), "file_path", "left_anti")
+    given = {"kind": F.lit("skipped"), "file_path": F.col("file_path"), "name": F.lit("Unreadable"), "line": F.lit(1), "col": F.lit(0)}
+    return gone.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in facts.schema])
+
+
+def fingerprints(facts: DataFrame, module_tiers: DataFrame, now: str) -> DataFrame:
+    """The fingerprint of every annotated function, as a baseline holds them."""
+    key = ["file_path", "qualname"]
+    marks = of_kind(facts, "annotation")
+    version = f"{sys.version_info.major}.{sys.version_info.minor}"
+    shown = F.array_sort(F.collect_list(F.concat_ws(":", "name", "value")))
+    per = marks.groupBy(*key).agg(F.array_sort(F.collect_set("name")).alias("decorators"), F.array_join(shown, ",").alias("attributes"))
+    classes = P.artefact_class(marks.withColumn("qualname", F.concat_ws("\0", *key))).withColumns({"file_path": F.substring_index("qualname", "\0", 1), "qualname": F.substring_index("qualname", "\0", -1)})
+    files = W.longest_prefix(per.select("file_path").distinct(), "file_path", module_tiers, "path", "default_taint", "ordinal")
+    out = per.join(classes, key).join(files, "file_path")
+    return out.select(
+        F.col("qualname").alias("qualified_name"), W.module_name(F.col("file_path")).alias("module"), "decorators", P.annotation_hash(version, F.col("qualname"), F.col("decorators"), F.col("attributes")).alias("annotation_hash"),
+        F.coalesce(lookup(D.TIER, "default_taint"), F.lit(4)).alias("tier_context"), "boundary_transition", F.lit(now).alias("last_changed"), "artefact_class",
+    )

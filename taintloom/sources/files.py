@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taintloom.functions.domains import SARIF_LEVEL
+from taintloom.operators.findings import run_properties
 from taintloom.operators.paths import in_scope
 
 REGISTER = (
@@ -19,17 +20,27 @@ REGISTER = (
 FINGERPRINT = "qualified_name string, module string, decorators array<string>, annotation_hash string, tier_context int, boundary_transition string, last_changed string, artefact_class string"
 
 
-def source_tree(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """(path relative to root, content) of every Python file below root, but for excluded directories."""
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.py").load(root)
+def _listed(spark: SparkSession, root: str, exclude: tuple[str, ...], *columns: str) -> DataFrame:
+    # what cannot be read gives no row here; scan.unreadable reports it from the list of paths
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.py").option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(root)
     base = root.rstrip("/").removeprefix("file:") + "/"
     path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/{1,3}", "/"), "^/+", "/")
-    out = read.select(F.replace(path, F.lit(base), F.lit("")).alias("path"), "content")
+    out = read.select(F.replace(path, F.lit(base), F.lit("")).alias("path"), *columns)
     for e in exclude:
         out = out.filter(~in_scope(F.col("path"), F.lit(e)))
     return out
 
 
+def source_tree(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """(path relative to root, content) of every Python file below root that can be read, but for excluded directories."""
+    return _listed(spark, root, exclude, "content")
+
+
+def source_paths(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """(path) of the same files and of those that cannot be read: contents are not."""
+    return _listed(spark, root, exclude)
+
+
 def exception_register(spark: SparkSession, path: str, matrix: DataFrame) -> DataFrame:
     """The register in its order. Rows of an unconditional cell, or without a fingerprint, fail the load."""
     read = spark.read.schema(f"exceptions array<struct<{', '.join(c.replace(' ', ':', 1) for c in REGISTER.split(', '))}>>").json(path, multiLine=True)
@@ -118,13 +129,33 @@ def sarif_results(findings: DataFrame) -> DataFrame:
     return f.orderBy("file_path", "line", "col", "rule_id", "ordinal").select("file_path", "line", "col", "rule_id", result.alias("result"))
 
 
-def write_sarif(findings: DataFrame, path: str, version: str, input_hash: str) -> None:
-    """One SARIF document on the driver's disk; results stream from the executors in order."""
+def write_sarif(findings: DataFrame, path: str, version: str, input_hash: str, properties: dict | None = None) -> None:
+    """One SARIF document on the driver's disk; results stream from the executors in order.
+
+    properties: what the run says of itself besides the counters of its findings and its input's hash; in a
+    verification run it holds no time and no commit.
+    """
     rules = sorted(r[0] for r in findings.select("rule_id").distinct().collect())
     head = {"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0"}
     driver = {"driver": {"name": "taintloom", "version": version, "rules": [{"id": r} for r in rules]}}
+    known = findings if "exception_id" in findings.columns else findings.withColumn("exception_id", F.lit(None).cast("string"))
+    counters = run_properties(known).first().asDict()
+    counters["implementedRules"] = [r for r in counters["implementedRules"].split(",") if r]
+    told = counters | {"inputHash": input_hash} | {k: v for k, v in (properties or {}).items() if v is not None}
     with open(path, "w", encoding="utf-8") as out:
-        out.write(json.dumps(head, sort_keys=True)[:-1] + ', "runs": [{"tool": ' + json.dumps(driver, sort_keys=True) + ', "properties": ' + json.dumps({"inputHash": input_hash}) + ', "results": [\n')
+        out.write(json.dumps(head, sort_keys=True)[:-1] + ', "runs": [{"tool": ' + json.dumps(driver, sort_keys=True) + ', "properties": ' + json.dumps(told, sort_keys=True) + ', "results": [\n')
         for k, row in enumerate(sarif_results(findings).toLocalIterator()):
             out.write((",\n" if k else "") + row.result)
         out.write("\n]}]}\n")
+
+
+def write_json(value: object, path: str) -> None:
+    """A small document (a baseline of the policy, a conformance status) on the driver's disk."""
+    with open(path, "w", encoding="utf-8") as out:
+        out.write(json.dumps(value, indent=2, sort_keys=True) + "\n")
+
+
+def write_fingerprints(rows: DataFrame, path: str, version: str) -> None:
+    """A baseline that fingerprint_baseline reads: one document, made on the executors."""
+    one = rows.agg(F.array_sort(F.collect_list(F.struct(*rows.columns))).alias("fingerprints")).withColumn("python_version", F.lit(version))
+    one.coalesce(1).write.mode("overwrite").json(path)
