@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -31,6 +31,16 @@ BITRATES = {
     (2, 3): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
 RATES = (44100, 48000, 32000)
+# Fixed values of the format: Layer II, how many subbands in a row have allocations of how many bits
+ALLOCATIONS = {
+    "version 1, 27 subbands": ((11, 4), (12, 3), (4, 2)),
+    "version 1, 30 subbands": ((11, 4), (12, 3), (7, 2)),
+    "version 1, 8 subbands": ((2, 4), (6, 3)),
+    "version 1, 12 subbands": ((2, 4), (10, 3)),
+    "version 2": ((4, 4), (7, 3), (19, 2)),
+}
+#: No frame of free format is longer.
+FREE_MOST = 1 << 13
 
 
 @dataclass(frozen=True)
@@ -57,6 +67,12 @@ _headers: dict[bytes, Header | None] = {}
 
 def header(four: bytes) -> Header | None:
     """The header, or None if it is none; free format counts as none, as its frames have no stated size."""
+    h = _loose(four)
+    return h if h is not None and h.size else None
+
+
+def _loose(four: bytes) -> Header | None:
+    """The header, one of free format too, with size 0."""
     if four not in _headers:
         if len(_headers) > 10_000:
             _headers.clear()
@@ -70,12 +86,14 @@ def _parse_header(four: bytes) -> Header | None:
     version = {3: 1, 2: 2, 0: 2.5}.get(four[1] >> 3 & 3)
     layer = 4 - (four[1] >> 1 & 3)
     rate_index, bits = four[2] >> 2 & 3, four[2] >> 4
-    if version is None or layer == 4 or rate_index == 3 or bits in (0, 15) or four[3] & 3 == 2:
+    if version is None or layer == 4 or rate_index == 3 or bits == 15 or four[3] & 3 == 2:
         return None
     rate = RATES[rate_index] // (1 if version == 1 else 2 if version == 2 else 4)
     kbps = BITRATES[1 if version == 1 else 2, layer][bits]
     padding = four[2] >> 1 & 1
     samples = 384 if layer == 1 else 576 if layer == 3 and version != 1 else 1152
+    if not bits:
+        return Header(version, layer, not four[1] & 1, 0, rate, four[3] >> 6 == 3, 0, samples)
     size = (12 * kbps * 1000 // rate + padding) * 4 if layer == 1 else samples // 8 * kbps * 1000 // rate + padding
     return Header(version, layer, not four[1] & 1, kbps, rate, four[3] >> 6 == 3, size, samples)
 
@@ -89,28 +107,64 @@ def crc16(data: bytes, crc: int = 0xFFFF) -> int:
     return crc
 
 
-_checks: dict[bytes, int] = {}
+_checks: dict[tuple[bytes, int], int] = {}
 
 
-def _checked(covered: bytes) -> int:
-    if covered not in _checks:
+def _checked(covered: bytes, bits: int) -> int:
+    """The checksum of the first bits of these bytes."""
+    if (covered, bits) not in _checks:
         if len(_checks) > 10_000:
             _checks.clear()
-        _checks[covered] = crc16(covered)
-    return _checks[covered]
+        crc = crc16(covered[: bits // 8])
+        for k in range(bits // 8 * 8, bits):
+            one = covered[k >> 3] >> (7 - (k & 7)) & 1
+            crc = (crc << 1 ^ (0x8005 if (crc >> 15 & 1) ^ one else 0)) & 0xFFFF
+        _checks[covered, bits] = crc
+    return _checks[covered, bits]
+
+
+def _allocations(h: Header) -> tuple[tuple[int, int], ...]:
+    """Layer II: the table that rate and bit rate of a channel choose."""
+    if h.version != 1:
+        return ALLOCATIONS["version 2"]
+    each = h.kbps // (1 if h.mono else 2)
+    if each <= 48:
+        return ALLOCATIONS["version 1, 12 subbands" if h.rate == 32000 else "version 1, 8 subbands"]
+    return ALLOCATIONS["version 1, 27 subbands" if h.rate == 48000 or each <= 80 else "version 1, 30 subbands"]
+
+
+def _covered2(data: bytes, at: int, h: Header) -> int:
+    """Layer II: the bits that a checksum covers behind it: allocations, and two for each that is not empty."""
+    bits = [n for count, n in _allocations(h) for _ in range(count)]
+    joint = data[at + 3] >> 6 == 1
+    bound = min(len(bits), 4 * ((data[at + 3] >> 4 & 3) + 1)) if joint else len(bits)
+    body = data[at + 6 : at + 6 + 64].ljust(64, b"\0")
+    held, place, used = int.from_bytes(body, "big"), 0, 0
+    for k, n in enumerate(bits):
+        # beyond the bound of joint stereo both channels share an allocation
+        for times in (2,) if not h.mono and k >= bound else (1,) * (1 if h.mono else 2):
+            used += times * bool(held >> (512 - place - n) & (1 << n) - 1)
+            place += n
+    return place + 2 * used
 
 
 def verify(data: bytes, at: int, h: Header) -> bool | None:
-    """Whether the frame's checksum holds: over the header's last two bytes and the bit allocation (Layer I) or
-    the side information (Layer III). None without one, or for Layer II, whose covered bits need its tables."""
-    if not h.protected or h.layer == 2:
+    """Whether the frame's checksum holds: over the header's last two bytes and the bit allocation (Layer I), that and
+    the choice of scale factors (Layer II) or the side information (Layer III). None without a checksum."""
+    if not h.protected:
         return None
-    covered = (16 if h.mono else 32) if h.layer == 1 else h.side
-    if h.layer == 1 and not h.mono and data[at + 3] >> 6 == 1:
-        bound = 4 * ((data[at + 3] >> 4 & 3) + 1)
-        covered = (2 * bound + 32 - bound) * 4 // 8
+    if h.layer == 2:
+        bits = _covered2(data, at, h)
+    elif h.layer == 1:
+        bits = (16 if h.mono else 32) * 8
+        if not h.mono and data[at + 3] >> 6 == 1:
+            bound = 4 * ((data[at + 3] >> 4 & 3) + 1)
+            bits = (2 * bound + 32 - bound) * 4
+    else:
+        bits = h.side * 8
     stored = int.from_bytes(data[at + 4 : at + 6], "big")
-    return _checked(data[at + 2 : at + 4] + data[at + 6 : at + 6 + covered]) == stored
+    covered = data[at + 2 : at + 4] + data[at + 6 : at + 6 + -(-bits // 8)]
+    return len(covered) * 8 >= 16 + bits and _checked(covered, 16 + bits) == stored
 
 
 @dataclass
@@ -118,6 +172,7 @@ class Parsed:
     tags: dict[str, str] = field(default_factory=dict)
     frames: list[int] = field(default_factory=list)  # offsets
     table: dict[str, int] | None = None
+    points: list[int] = field(default_factory=list)  # seek points of the table, bytes from its frame on
     samples: int = 0
     rate: int = 0
     microseconds: int = 0
@@ -165,27 +220,59 @@ def _tag1(data: bytes, tags: dict[str, str]) -> int:
     return len(data) - 128
 
 
-def _bitrate_table(data: bytes, at: int, h: Header) -> dict[str, int] | None:
-    """A Xing, Info or VBRI table in the frame: counts of frames and bytes."""
+def _bitrate_table(data: bytes, at: int, h: Header) -> tuple[dict[str, int], list[int]] | None:
+    """A Xing, Info or VBRI table in the frame: its counts, and the bytes from this frame to each of its seek points."""
+    number = lambda place, n: int.from_bytes(data[place : place + n], "big")
     for base in {at + 4 + h.side, at + 4 + 2 * h.protected + (16 if h.mono else 32) if h.layer == 1 else at + 4 + h.side, at + 4}:
         if data[base : base + 4] in (b"Xing", b"Info") and base + 8 <= at + h.size:
-            flags, place, out = int.from_bytes(data[base + 4 : base + 8], "big"), base + 8, {}
+            flags, place, out, points = number(base + 4, 4), base + 8, {}, []
             for bit, name in ((1, "frames"), (2, "bytes")):
                 if flags & bit:
-                    out[name] = int.from_bytes(data[place : place + 4], "big")
+                    out[name] = number(place, 4)
                     place += 4
-            if flags & 4:
-                out["toc"] = place - at
-            return out
+            if flags & 4 and place + 100 <= at + h.size:
+                points = [share * out.get("bytes", 0) // 256 for share in data[place : place + 100]]
+                place += 100
+            if flags & 8 and place + 4 <= at + h.size:
+                out["quality"] = number(place, 4)
+            return out, points
     base = at + 36
     if data[base : base + 4] == b"VBRI" and base + 26 <= at + h.size:
-        return {"bytes": int.from_bytes(data[base + 10 : base + 14], "big"), "frames": int.from_bytes(data[base + 14 : base + 18], "big")}
+        entries, scale, size = number(base + 18, 2), number(base + 20, 2), number(base + 22, 2)
+        points, place = [0], base + 26
+        while 0 < size <= 4 and len(points) <= entries and place + size <= at + h.size:
+            points.append(points[-1] + number(place, size) * scale)
+            place += size
+        return {"bytes": number(base + 10, 4), "frames": number(base + 14, 4)}, points[1:] and points
+    return None
+
+
+def _free(data: bytes, at: int, end: int, known: int) -> Header | None:
+    """A header of free format, whose frame's size is found: `known` bytes without padding, or up to the next header
+    like it where another one, or the end, lies as far behind that."""
+    h = _loose(data[at : at + 4])
+    if h is None or h.size:
+        return None
+    unit = 4 if h.layer == 1 else 1
+    padding = lambda place: (data[place + 2] >> 1 & 1) * unit
+    like = lambda place: data[place : place + 2] == data[at : at + 2] and place + 4 <= end and data[place + 2] & 0xFC == data[at + 2] & 0xFC
+    if known and (at + known + padding(at) == end or like(at + known + padding(at))):
+        return _sized(h, known, padding(at))
+    place = at
+    while 0 <= (place := data.find(data[at : at + 2], place + 1, min(end, at + FREE_MOST))):
+        size = place - at - padding(at)
+        if like(place) and size > 8 and ((nxt := place + size + padding(place)) == end or like(nxt)):
+            return _sized(h, size, padding(at))
     return None
 
 
+def _sized(h: Header, size: int, padding: int) -> Header:
+    return replace(h, size=size + padding, kbps=size * 8 * h.rate // h.samples // 1000)
+
+
 def _chained(data: bytes, at: int, h: Header, end: int) -> bool:
     """Whether the header's size leads to the end or to a header that agrees in version, layer and rate."""
-    nxt = header(data[at + h.size : at + h.size + 4])
+    nxt = _loose(data[at + h.size : at + h.size + 4])
     return at + h.size == end or nxt is not None and (nxt.version, nxt.layer, nxt.rate) == (h.version, h.layer, h.rate)
 
 
@@ -204,15 +291,17 @@ def parse(data: bytes) -> Parsed:
     the last one before a break in a chain, unless a new chain starts inside it. Elsewhere the search goes on."""
     out = Parsed()
     at, end = _tag2(data, out.tags), _tag1(data, out.tags)
-    in_step = False
+    in_step, known = False, 0
     while at + 4 <= end:
-        h = header(data[at : at + 4])
+        h = _loose(data[at : at + 4])
+        if h is not None and not h.size and (h := _free(data, at, end, known)) is not None:
+            known = h.size - (data[at + 2] >> 1 & 1) * (4 if h.layer == 1 else 1)
         if h is not None and at + h.size <= end:
             chained = _chained(data, at, h, end)
             if chained or in_step and not _inside(data, at, h, end):
                 in_step = True
                 if out.first is None and out.table is None and (table := _bitrate_table(data, at, h)) is not None:
-                    out.table, out.first = table, h
+                    (out.table, out.points), out.first = table, h
                 else:
                     out.first = out.first or h
                     out.frames.append(at)
@@ -286,7 +375,7 @@ def feature(data: bytes, p: Parsed) -> str:
 MEDIA = StructType([
     StructField("duration_us", LongType()), StructField("samples", LongType()), StructField("rate", LongType()), StructField("n_frames", LongType()),
     StructField("crc_good", LongType()), StructField("crc_bad", LongType()), StructField("skipped", LongType()),
-    StructField("seek_offsets", ArrayType(LongType())), StructField("tags", StringType()), StructField("feature", StringType()),
+    StructField("seek_offsets", ArrayType(LongType())), StructField("seek_points", ArrayType(LongType())), StructField("tags", StringType()), StructField("feature", StringType()),
 ])
 
 
@@ -297,7 +386,7 @@ def _media(column: pd.Series) -> pd.DataFrame:
         data = data or b""
         p = parse(data)
         tags = ";".join(f"{k}={v}" for k, v in sorted(p.tags.items()))
-        rows.append((p.microseconds, p.samples, p.rate, len(p.frames), p.good, p.bad, p.skipped, p.frames, tags, feature(data, p)))
+        rows.append((p.microseconds, p.samples, p.rate, len(p.frames), p.good, p.bad, p.skipped, p.frames, p.points, tags, feature(data, p)))
     return pd.DataFrame(rows, columns=MEDIA.names)
 
 
@@ -325,6 +414,7 @@ def store_text(df: DataFrame, text: str = "text", media: str = "media") -> DataF
 DIGEST = StructType([
     StructField("n_bytes", LongType()), StructField("payload_bytes", LongType()), StructField("payload_sha256", StringType()), StructField("tail_crc32", LongType()),
     StructField("media_bytes", LongType()), StructField("media_sha256", StringType()), StructField("duration_us", LongType()), StructField("feature", StringType()),
+    StructField("seek_offsets", ArrayType(LongType())),
 ])
 
 
@@ -335,7 +425,7 @@ def _digest(texts: pd.Series) -> pd.DataFrame:
         data = store(t)
         p = parse(data)
         payload = read(data, p)
-        rows.append((len(unpadded(payload, p)), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), p.microseconds, feature(data, p)))
+        rows.append((len(unpadded(payload, p)), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), p.microseconds, feature(data, p), p.frames))
     return pd.DataFrame(rows, columns=DIGEST.names)
 
 

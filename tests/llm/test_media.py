@@ -76,3 +76,73 @@ def test_round_trip(spark):
     assert kept[4].n_frames == 1 and kept[5].n_frames == 2 and len(kept[5].seek_offsets) == 2
     assert M.media_columns(spark.createDataFrame([(None,), (bytearray(b"junk"),)], "media binary")).select("n_frames").collect() == [(0,), (0,)]
     assert M.stored_digest(df.limit(0)).collect() == []
+
+
+def crc_of_bits(bits):
+    """The checksum by long division of a string of bits."""
+    crc = 0xFFFF
+    for b in bits:
+        top = crc >> 15 ^ int(b)
+        crc = (crc << 1 & 0xFFFF) ^ (0x8005 if top else 0)
+    return crc
+
+
+def layer2(head, allocations, channels, bound):
+    """A protected Layer II frame with random allocations, its checksum taken over bits written one by one."""
+    r = random.Random(sum(head))
+    bits, used = "", []
+    for k, n in enumerate([n for count, n in allocations for _ in range(count)]):
+        for c in range(channels if k < bound else 1):
+            value = r.choice([0, r.randrange(1 << n)])
+            bits += format(value, f"0{n}b")
+            used += [bool(value)] * (1 if k < bound else channels)
+    bits += "".join(format(r.randrange(4), "02b") for u in used if u)
+    check = crc_of_bits("".join(format(b, "08b") for b in head[2:]) + bits)
+    bits += "0" * (-len(bits) % 8)
+    body = bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8))
+    return (head + check.to_bytes(2, "big") + body).ljust(M.header(head).size, b"\x55")
+
+
+def test_layer_2_checksums():
+    a = M.ALLOCATIONS
+    cases = [  # version 1: kbit/s index, rate, mode; and version 2
+        (bytes([0xFF, 0xFC, 0xA4, 0x00]), a["version 1, 27 subbands"], 2, 99),  # 192 kbit/s, 48 kHz
+        (bytes([0xFF, 0xFC, 0xE0, 0x00]), a["version 1, 30 subbands"], 2, 99),  # 384 kbit/s, 44.1 kHz
+        (bytes([0xFF, 0xFC, 0x10, 0xC0]), a["version 1, 8 subbands"], 1, 99),  # 32 kbit/s, 44.1 kHz, mono
+        (bytes([0xFF, 0xFC, 0x18, 0xC0]), a["version 1, 12 subbands"], 1, 99),  # 32 kbit/s, 32 kHz, mono
+        (bytes([0xFF, 0xFC, 0xE0, 0x50]), a["version 1, 30 subbands"], 2, 8),  # joint stereo
+        (bytes([0xFF, 0xF4, 0x80, 0x00]), a["version 2"], 2, 99),
+    ]
+    for head, allocations, channels, bound in cases:
+        one = layer2(head, allocations, channels, bound)
+        p = M.parse(one * 3)
+        assert (len(p.frames), p.good, p.bad) == (3, 3, 0), head.hex()
+        broken = bytearray(one)
+        broken[7] ^= 4
+        assert M.parse(one + bytes(broken) + one).bad == 1
+
+
+def test_seek_points():
+    first = bytearray(frame(9))
+    first[36:40] = b"Xing"
+    first[40:52] = struct.pack(">III", 15, 4, 2560)
+    first[52:152] = bytes(range(100))
+    first[152:156] = struct.pack(">I", 77)
+    p = M.parse(bytes(first) + frame(9) * 3)
+    assert p.table == {"frames": 4, "bytes": 2560, "quality": 77} and p.points == [10 * i for i in range(100)]
+    first = bytearray(frame(9))
+    first[36:62] = b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 75, 4000, 4, 3, 2, 2, 1)
+    first[62:68] = struct.pack(">HHH", 5, 6, 7)
+    p = M.parse(bytes(first) + frame(9) * 3)
+    assert p.table == {"bytes": 4000, "frames": 4} and p.points == [0, 10, 22, 36]
+
+
+def test_free_format():
+    def free(padded, size=300):
+        return (bytes([0xFF, 0xFB, 0x02 if padded else 0x00, 0x00]).ljust(size + padded, b"\x11"))
+
+    data = b"junk" + free(0) + free(1) + free(1) + free(0)
+    p = M.parse(data)
+    assert p.frames == [4, 304, 605, 906] and p.skipped == 4
+    assert p.rates == {300 * 8 * 44100 // 1152 // 1000} and p.samples == 4 * 1152
+    assert M.parse(free(0)).frames == []
