@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -58,10 +60,19 @@ def take_cache(name: str, drop: Callable[[], None] = lambda: None) -> None:
     if others := [o for o in _caches if o != name]:
         for other in others:
             _caches.pop(other)()
-        pa.default_memory_pool().release_unused()
+        release()
     _caches[name] = drop
 
 
+def release() -> None:
+    """Give memory that is free in this process back to the system: workers live on with what they once took."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share. In local mode (tests) a temporary one is set where none is named."""
     conf = spark.sparkContext.getConf()
@@ -187,15 +198,19 @@ def components(edges: DataFrame) -> DataFrame:
         parts = n // ROUND_ROWS + 1
         hub = max(HUB_LEAST, int(n * HUB_SHARE))
         both = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # written, here and below: several plans read it, and each stays small
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        least = written(least.coalesce(parts))
         # large star: larger neighbours move to the least neighbour
         large = _with_least(both.filter("b > a"), least, least.filter(F.col("n") > hub)).select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: a node and its smaller neighbours move to the least of them
-        down = large.filter("b < a")
+        down = written(large.filter("b < a").coalesce(parts))
         small_least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = _with_least(down, small_least, small_least.filter(F.col("n") > hub))
         nxt = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small_least.select("a", F.col("m").alias("b")))
         nxt = written(nxt.filter("a != b").distinct().coalesce(parts))
+        forget(least)
+        forget(down)
         sums = nxt.agg(F.count("*"), F.sum(F.col("a").cast("decimal(20,0)")), F.sum(F.col("b").cast("decimal(20,0)")), F.expr("bit_xor(xxhash64(a, b))")).first()
         forget(known)
         known, n = nxt, sums[0]
