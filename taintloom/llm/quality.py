@@ -2,7 +2,7 @@
 
 Words and the character n-grams of words have learned vectors at hashed places; a document is their average,
 with one feature more for its end and one for each word pair that it repeats, and a softmax layer scores it.
-Trained by numpy stochastic gradient descent on the driver, on a bounded sample of labelled documents.
+Trained by numpy stochastic gradient descent in one task, on a bounded sample of labelled documents.
 """
 
 from __future__ import annotations
@@ -15,11 +15,12 @@ from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from taintloom.llm.common import forget, prepare, take_cache, utf8, written
+from taintloom.llm.common import forget, prepare, release, take_cache, utf8, written
 
 #: Labelled documents, and bytes of them, that training takes at most: those first in the order of a hash of their ids;
 #: of these a document that the bytes left cannot hold is passed over.
@@ -152,10 +153,9 @@ def taken(sizes: list[int], most: int) -> list[int]:
     return out
 
 
-def sample(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str) -> tuple[list[bytes], list[int]]:
-    """Whole texts and labels of at most SAMPLE documents and SAMPLE_BYTES bytes, spread by a hash of the id.
-
-    Their lengths reach the driver first, then the texts that fit. Of the texts of a repeated id one is taken.
+def sample(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str) -> DataFrame:
+    """(nth, b, label): whole texts and labels of at most SAMPLE documents and SAMPLE_BYTES bytes, spread by a hash of
+    the id. Only their lengths reach the driver. Of the texts of a repeated id one is taken.
     """
     order = [F.xxhash64(F.lit(17), "id"), F.col("id")]
     known = labels.filter(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("label"))
@@ -167,15 +167,27 @@ def sample(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label: st
     one = rows.groupBy("id", "label").agg(F.min(F.struct("hash", F.octet_length("b").alias("n"))).alias("x"))
     one = sorted(one.select(order[0].alias("o"), "id", "x.hash", "x.n").collect())
     fits = [one[i] for i in taken([r.n for r in one], SAMPLE_BYTES)]
-    if not fits:
-        return [], []
-    ids = rows.sparkSession.createDataFrame([(r.id, r.hash) for r in fits], rows.select("id", "hash").schema)
-    # texts of SAMPLE_BYTES bytes in all
-    got = rows.join(F.broadcast(ids), ["id", "hash"]).dropDuplicates(["id", "hash"]).select("id", "b", "label").collect()
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, hash long, nth int"
+    ids = rows.sparkSession.createDataFrame([(r.id, r.hash, i) for i, r in enumerate(fits)], schema)
+    return rows.join(F.broadcast(ids), ["id", "hash"]).dropDuplicates(["nth"]).select("nth", "b", "label")
+
+
+def _trained(batches):
+    """The odds of the model of all rows, as bytes: learned where the rows are, in their order."""
+    take_cache("quality", _known.clear)
+    rows = sorted((n, b, y) for batch in batches for n, b, y in zip(*[c.to_pylist() for c in batch.columns]))
+    odds = train([b for _, b, _ in rows], [y for _, _, y in rows]).odds.tobytes()
+    del rows
+    release()
+    yield pa.RecordBatch.from_arrays([pa.array([odds], pa.binary())], ["odds"])
+
+
+def learn(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str) -> Model:
+    """The model of the sample, trained in one task of bounded size; the driver gets BUCKETS numbers."""
+    rows = sample(docs, labels, text, doc_id, label)
+    got = rows.repartition(1).mapInArrow(_trained, "odds binary").collect()
     forget(rows)
-    place = {r.id: i for i, r in enumerate(fits)}
-    got = sorted(got, key=lambda r: place[r.id])
-    return [bytes(r.b) for r in got], [r.label for r in got]
+    return Model(np.frombuffer(got[0].odds, np.float64)) if got else train([], [])
 
 
 _known: dict[bytes, complex] = {}
@@ -228,7 +240,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id
     """
     spark = docs.sparkSession
     prepare(spark)
-    model = train(*sample(docs, labels, text, doc_id, label))
+    model = learn(docs, labels, text, doc_id, label)
     out = docs.withColumn("score", scorer(spark, model)(utf8(text)))
     held = F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(3)) == 1, F.lit(False))
     return out.withColumns({"held_out": held, "predicted": F.when(F.col("score") >= 0.5, 1).otherwise(0)})

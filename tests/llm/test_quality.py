@@ -65,6 +65,11 @@ def test_ngrams_are_of_characters(monkeypatch):
     assert np.concatenate(list(long_places("字".encode() * 500))).tolist() == places("字".encode() * 500)
 
 
+def sampled(docs, labels):
+    rows = sorted(quality.sample(docs, labels, "text", "doc_id", "quality").collect())
+    return [bytes(r.b) for r in rows], [r.label for r in rows]
+
+
 def test_a_document_too_long_for_the_sample_is_passed_over(spark, monkeypatch):
     assert quality.taken([90, 5, 8, 3, 1], 10) == [1, 3, 4]
     monkeypatch.setattr(quality, "SAMPLE_BYTES", 1000)
@@ -72,7 +77,7 @@ def test_a_document_too_long_for_the_sample_is_passed_over(spark, monkeypatch):
     text = lambda i: f"w{i} " * (5000 if i == ids[0] or i == ids[5] else 8)
     docs = spark.createDataFrame([(i, text(i)) for i in ids for _ in range(2)], "doc_id long, text string").repartition(3)
     labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
-    texts, known = quality.sample(docs, labels, "text", "doc_id", "quality")
+    texts, known = sampled(docs, labels)
     assert len(texts) == len(ids) - 2 and sum(map(len, texts)) <= 1000
     assert all(x == text(int(x.split()[0][1:])).encode() and y == int(x.split()[0][1:]) % 2 for x, y in zip(texts, known))
 
@@ -83,7 +88,7 @@ def test_scores_against_plain_features(spark):
 
     d = "/root/testdata/sf0.001"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
-    texts, known = quality.sample(docs, labels, "text", "doc_id", "quality")
+    texts, known = sampled(docs, labels)
     want_texts = {r["doc_id"]: (r["text"] or "").encode() for r in pq.read_table(f"{d}/documents.parquet").to_pylist()}
     marks = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{d}/labels.parquet").to_pylist()}
     learn = [i for i in marks if zlib.crc32(str(i).encode()) % 3 != 1]
