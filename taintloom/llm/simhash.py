@@ -205,8 +205,9 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     own = [F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash")]
     made = written(docs.select(*own, _fingerprints(utf8(text)).alias("fp")))
     _, first = _least(made, F.struct(F.col("id").isNull().alias("none"), "id", "hash"), RADIUS)
-    kept = first.select(F.col("least.id").alias("__id"), F.col("least.hash").alias("__hash"))
-    rows = docs.withColumn("__h", F.xxhash64(text))
-    rows = rows.join(kept, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")), "left_semi")
-    one = F.row_number().over(Window.partitionBy(doc_id, "__h").orderBy(F.xxhash64(*docs.columns)))
+    # one key of 128 bits deals rows to the join and to the choice among equal ones: texts are shuffled once
+    key = lambda i, h: F.concat_ws("-", *[F.hex(F.xxhash64(F.lit(k), i.isNull(), i, h)) for k in (0, 1)])
+    kept = first.select(key(F.col("least.id"), F.col("least.hash")).alias("__k"))
+    rows = docs.withColumn("__k", key(F.col(doc_id), F.xxhash64(text))).join(kept, "__k", "left_semi")
+    one = F.row_number().over(Window.partitionBy("__k").orderBy(F.xxhash64(*docs.columns)))
     return rows.withColumn("__n", one).filter("__n = 1").select(*docs.columns)
