@@ -58,7 +58,7 @@ RELATIONS["functions"] = """
     SELECT DISTINCT 'src/f' || CAST(c_custkey % 50 AS STRING) || '.py' AS file_path, 'fn' || CAST(c_custkey AS STRING) AS qualname,
            CAST(c_custkey AS BIGINT) AS pos, CAST(1 + c_nationkey % 4 AS INT) AS tier FROM customer"""
 RELATIONS["boundaries"] = """
-    SELECT 'fn' || CAST(c_custkey * 2 AS STRING) AS function,
+    SELECT 'fn' || CAST(c_custkey * 3 AS STRING) AS function,
            CASE c_custkey % 5 WHEN 0 THEN 'shape_validation' WHEN 1 THEN 'semantic_validation' WHEN 2 THEN 'combined_validation' WHEN 3 THEN 'external_validation' ELSE 'restoration' END AS transition,
            'mod/' || CASE c_custkey % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'es' ELSE 'de' END AS overlay_path,
            CASE WHEN c_custkey % 7 <> 0 THEN CAST(c_custkey % 6 AS INT) END AS from_tier, CAST(1 + c_custkey % 4 AS INT) AS to_tier,
