@@ -31,6 +31,7 @@ GROUPS = 12
 GROUP = 6  # directions that one block fixes
 CELL = 6.0  # width of a block's cells, in the same deviations
 PART = 2048  # vectors of a block that meet in one task
+PAIRS = 1 << 15  # colliding pairs verified at once: their vectors are copied
 
 
 def distance(cosine: float) -> float:
@@ -142,7 +143,11 @@ def _counted(cosine: float, count: int, window: float, need: int):
         names = column("names").flatten().to_numpy().reshape(len(rows), -1)
         cls, many, part, parts, g = (column(c).to_numpy() for c in ("class", "many", "part", "parts", "g"))
         task = column("task").to_numpy()
-        sums, left, right = np.zeros(len(rows), np.int64), [], []
+        sums = np.zeros(len(rows), np.int64)
+        different, node = np.unique(cls, return_inverse=True)
+        # the tree of each class, as far as known: pairs within one tree join nothing and never reach Python numbers
+        forest, tree = Forest(), np.arange(len(different))
+        left, right = [], []
 
         def take(i: np.ndarray, j: np.ndarray) -> None:
             # pairs of one part meet in the task of that part with itself, and in the first block that they share
@@ -154,21 +159,29 @@ def _counted(cosine: float, count: int, window: float, need: int):
             i, j = i[good], j[good]
             np.add.at(sums, i, many[j])
             np.add.at(sums, j, many[i])
-            left.append(cls[i])
-            right.append(cls[j])
+            p, q = node[i], node[j]
+            apart = tree[p] != tree[q]
+            made = [(a, b) for a, b in zip(p[apart].tolist(), q[apart].tolist()) if forest.link(a, b)]
+            if made:
+                left.extend(a for a, _ in made)
+                right.extend(b for _, b in made)
+                moved = list(forest.up)
+                tree[moved] = [forest.find(n) for n in moved]
+
+        def take_all(i: np.ndarray, j: np.ndarray) -> None:
+            for at in range(0, len(i), PAIRS):
+                take(i[at : at + PAIRS], j[at : at + PAIRS])
 
         for i, j in pairs_of_small(proj, bounds, 48):
-            take(i, j)
+            take_all(i, j)
         sizes = np.diff(bounds)
         for c in np.flatnonzero(sizes > 48):
             for i, j in pairs_of_large(proj, bounds[c], bounds[c + 1]):
-                take(i, j)
+                take_all(i, j)
         seen = np.flatnonzero(sums)
-        forest = Forest()
-        made = [(p, q) for p, q in zip(np.concatenate(left).tolist(), np.concatenate(right).tolist()) if forest.link(p, q)] if left else []
-        a = np.r_[cls[seen], np.array([p for p, _ in made], np.int64)]
-        b = np.r_[cls[seen], np.array([q for _, q in made], np.int64)]
-        n = np.r_[sums[seen], np.zeros(len(made), np.int64)]
+        a = np.r_[cls[seen], different[np.array(left, np.int64)]]
+        b = np.r_[cls[seen], different[np.array(right, np.int64)]]
+        n = np.r_[sums[seen], np.zeros(len(left), np.int64)]
         yield pa.RecordBatch.from_arrays([pa.array(v) for v in (a, b, n)], ["a", "b", "links"])
 
     def run(batches):
