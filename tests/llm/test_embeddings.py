@@ -1,9 +1,11 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from taintloom.llm import embeddings
 from taintloom.llm.embeddings import CELL, GROUP, GROUPS, near_embeddings, needed, shared_cell_chance
 
 SCHEMA = "vec_id long, embedding array<float>, label int, n_links string, class int"
@@ -109,6 +111,33 @@ def test_recall_on_the_check_table(spark):
     assert found >= 0.97 * links
 
 
+@pytest.mark.parametrize("pairs", [7, 1 << 15])
+def test_a_dense_block_in_pieces(monkeypatch, pairs):
+    """Two groups of near copies in one block: all links are counted, and as many pairs made as join."""
+    monkeypatch.setattr(embeddings, "PAIRS", pairs)
+    r = np.random.default_rng(6)
+    centres = np.array([[3.0, 0, 0, 0, 0, 0, 0, 0], [3.0, 1, 0, 0, 0, 0, 0, 0]])
+    x = (centres[np.arange(300) % 2] + r.standard_normal((300, 8)) * 0.01).astype(np.float32)
+    many = 1 + np.arange(300) % 3
+    n, same = len(x), lambda v: np.full(300, v, np.int64)
+    columns = [pa.array(v) for v in (same(5), same(0).astype(np.int32), same(0), np.arange(n) * 10, many, same(0), same(1))]
+    names = pa.FixedSizeListArray.from_arrays(pa.array(np.zeros(n, np.int64)), 1).cast(pa.list_(pa.int64()))
+    lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 8).cast(pa.list_(pa.float32()))
+    batch = pa.RecordBatch.from_arrays([*columns, names, lists], ["key", "g", "task", "class", "many", "part", "parts", "names", "embedding"])
+    out = [row for b in embeddings._counted(0.98, 24, 6.0, 20)([batch]) for row in b.to_pylist()]
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = (u @ u.T >= 0.98) & ~np.eye(n, dtype=bool)
+    sums = {row["a"] // 10: row["links"] for row in out if row["links"]}
+    assert sums == {i: int((near[i] * many).sum()) for i in range(n)}
+    made = [(row["a"] // 10, row["b"] // 10) for row in out if not row["links"]]
+    assert all(near[p, q] for p, q in made) and len(made) == n - 2
+    group = {i: i for i in range(n)}
+    for p, q in made:
+        old, new = group[p], group[q]
+        group = {k: new if v == old else v for k, v in group.items()}
+    assert len(set(group.values())) == 2
+
+
 def test_calibration():
     assert 1 - (1 - shared_cell_chance(CELL, GROUP)) ** GROUPS > 0.99
     assert 10 < needed(24, 2.2, 1e-4) < 24
